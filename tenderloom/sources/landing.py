@@ -139,9 +139,12 @@ def open_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_notices(opened: DataFrame) -> DataFrame:
-    """One row per notice with its raw payload and its place on the page."""
-    return opened.select(
-        *[c for c in opened.columns if c not in ("payloads", "page_failure")],
-        F.posexplode("payloads").alias("position", "payload"),
+def page_notices(opened: DataFrame, keep_pages: bool = False) -> DataFrame:
+    """One row per notice with its raw payload and its place on the page. With ``keep_pages`` a
+    page without notices leaves one row with a null payload, and failures stay on the rows."""
+    dropped = ("payloads",) if keep_pages else ("payloads", "page_failure")
+    rows = opened.select(
+        *[c for c in opened.columns if c not in dropped],
+        F.posexplode_outer("payloads").alias("position", "payload"),
     )
+    return rows if keep_pages else rows.filter(F.col("payload").isNotNull())
