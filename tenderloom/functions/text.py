@@ -100,13 +100,15 @@ def plural_forms(stem: Column) -> Column:
 def keyword_matcher(keyword: Column) -> Column:
     """Everything needed to look for one keyword, computed once on the profile side.
 
-    ``forms`` holds the words one of which must occur; for a one-word keyword that is the whole
-    test. ``pattern`` settles the rest. ``odd`` is a character that must occur where the keyword
-    has no word characters at all.
+    ``words`` holds, for each of the keyword's plain words, the forms one of which must occur; for
+    a keyword of one plain word that is the whole test. ``anchor`` holds the forms of a word that
+    must occur even where the keyword has other characters, and ``odd`` a character that must
+    where it has no word at all. ``pattern`` settles the rest.
     """
     parts = stems(keyword)
     joined = F.array_join(parts, " ")
     anchor = F.regexp_extract(joined, f"({_WORD}+)", 1)
+    plain = F.filter(parts, lambda p: p.rlike(f"^{_WORD}+$"))
     pattern = F.concat(
         F.lit(_EDGE),
         F.array_join(F.transform(parts, lambda p: F.concat(_quoted(p), F.lit("(?:es|s)?"))), "\\s+"),
@@ -116,25 +118,35 @@ def keyword_matcher(keyword: Column) -> Column:
         keyword.alias("text"),
         (F.size(parts) == 0).alias("never"),
         joined.rlike(f"^{_WORD}+$").alias("one_word"),
-        F.when(anchor != "", plural_forms(anchor)).otherwise(
-            F.array().cast("array<string>")
-        ).alias("forms"),
+        F.transform(plain, plural_forms).alias("words"),
+        F.when(anchor != "", plural_forms(anchor))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("anchor"),
         F.when((anchor == "") & (joined != ""), F.substring(joined, 1, 1)).alias("odd"),
         pattern.alias("pattern"),
     )
 
 
-def keyword_found(matcher: Column, folded: Column, folded_words: Column) -> Column:
+def keyword_words(matchers: Column) -> Column:
+    """Every word form that plays a part in finding the keywords of a profile."""
+    return F.array_distinct(
+        F.flatten(F.transform(matchers, lambda m: F.concat(F.flatten(m["words"]), m["anchor"])))
+    )
+
+
+def keyword_found(matcher: Column, folded: Column, present: Column) -> Column:
     """Whether the keyword occurs as a whole word or phrase, in singular or plural.
 
-    One-word keywords are a set test; the regular expression runs only for phrases and for
-    keywords with other characters, and only when one of their words is present.
+    ``present`` are the keyword words of the profile that the text has. One-word keywords are a
+    set test; the regular expression runs only for phrases and for keywords with other characters,
+    and only when all of their words are there.
     """
-    anchored = F.arrays_overlap(folded_words, matcher["forms"])
+    all_words = F.forall(matcher["words"], lambda forms: F.arrays_overlap(present, forms))
+    anchored = (F.size(matcher["anchor"]) == 0) | F.arrays_overlap(present, matcher["anchor"])
     return (
         F.when(matcher["never"], F.lit(False))
-        .when(matcher["one_word"], anchored)
-        .when((F.size(matcher["forms"]) > 0) & ~anchored, F.lit(False))
+        .when(matcher["one_word"], all_words)
+        .when(~all_words | ~anchored, F.lit(False))
         .otherwise(F.rlike(folded, matcher["pattern"]))
     )
 

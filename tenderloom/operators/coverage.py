@@ -26,13 +26,16 @@ def in_scope(modalities: list[int], states: list[str]) -> Column:
     return F.col("modality_code").isin(list(modalities)) & F.col("state").isin(list(states))
 
 
+def one_cycle(spark: SparkSession, cycle: date) -> DataFrame:
+    return spark.range(1).select(F.lit(cycle).alias("cycle_date"))
+
+
 def chunk_plan(
-    spark: SparkSession, cycle: date, lookback: int, modalities: list[int], states: list[str],
-    now: Column,
+    cycles: DataFrame, lookback: int, modalities: list[int], states: list[str], now: Column
 ) -> DataFrame:
-    """Every date of the window for every modality and state, as fresh scheduled chunks."""
-    one = spark.range(1).select(F.lit(cycle).alias("cycle_date"))
-    dated = one.select(
+    """For each cycle (``cycle_date``) every date of its window for every modality and state, as
+    fresh scheduled chunks."""
+    dated = cycles.select(
         "cycle_date", F.explode(window_dates(F.col("cycle_date"), lookback)).alias("publication_date")
     )
     by_modality = dated.select(

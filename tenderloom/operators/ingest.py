@@ -49,15 +49,17 @@ def _block_bounds(deliveries: DataFrame, blocks: int | None) -> list[int]:
     Quantiles over all deliveries bound every (key, block) group by one block's share of the
     table, whatever the keys look like.
     """
-    if blocks is None:
-        if not deliveries.limit(SINGLE_BLOCK_ROWS + 1).count() > SINGLE_BLOCK_ROWS:
-            return []
-        blocks = BLOCKS
-    if blocks < 2:
+    wanted = BLOCKS if blocks is None else blocks
+    if wanted < 2:
         return []
-    shares = [i / blocks for i in range(1, blocks)]
-    row = deliveries.agg(F.percentile_approx("seq", shares, 100 * blocks).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
+    shares = [i / wanted for i in range(1, wanted)]
+    facts = deliveries.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.percentile_approx("seq", shares, 20 * wanted).alias("cuts"),
+    ).first()
+    if blocks is None and facts["rows"] <= SINGLE_BLOCK_ROWS:
+        return []
+    return sorted(set(facts["cuts"] or []))
 
 
 def _block(seq: Column, bounds: list[int]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions.canonical import change_token
+from tenderloom.functions.rows import computed_once
 from tenderloom.functions.text import is_blank, quoted_payload, trimmed
 from tenderloom.functions.times import instant_text, local_instant
 from tenderloom.functions.values import plain_number
@@ -225,19 +226,17 @@ def map_notices(notices: DataFrame, payload: str = "payload") -> DataFrame:
         "source_updated_at": F.col("_updated_at"),
     }
     untouched = [c for c in notices.columns if c not in columns and c != "control_number"]
-    result = F.struct(
-        F.col("outcome"),
-        F.coalesce(_t("control"), F.lit(V.UNKNOWN_NOTICE)).alias("control_number"),
-        *[F.when(mapped, expression).alias(name) for name, expression in columns.items()],
-        F.col("_error.field").alias("field"),
-        F.coalesce(
+    result = {
+        "outcome": F.col("outcome"),
+        "control_number": F.coalesce(_t("control"), F.lit(V.UNKNOWN_NOTICE)),
+        **{name: F.when(mapped, expression) for name, expression in columns.items()},
+        "field": F.col("_error.field"),
+        "reason": F.coalesce(
             F.col("_error.reason"),
             F.when(F.col("outcome") == V.NOT_BIDDABLE, F.col("_window.reason")),
-        ).alias("reason"),
-    )
-    # Unpacked by a generator, so that a later filter on the outcome reads it instead of pulling
-    # the whole chain of checks below itself and running it twice.
-    return checked.select(*[F.col(c) for c in untouched], F.inline(F.array(result)))
+        ),
+    }
+    return computed_once(checked, result, keep=untouched)
 
 
 def with_change_token(notices: DataFrame, payload: str = "payload") -> DataFrame:

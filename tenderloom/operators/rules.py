@@ -74,9 +74,15 @@ def is_open(closes_at: Column, at: Column) -> Column:
 
 
 def keyword_hits() -> Column:
-    return F.filter(
-        "matchers", lambda m: keyword_found(m, F.col("folded_object"), F.col("object_words"))
+    """Matchers of the keywords found, given ``present_words``. Most pairs share no word and are
+    done at once."""
+    searching = (F.size("present_words") > 0) | F.exists(
+        "matchers", lambda m: m["odd"].isNotNull()
     )
+    found = F.filter(
+        "matchers", lambda m: keyword_found(m, F.col("folded_object"), F.col("present_words"))
+    )
+    return F.when(searching, found).otherwise(F.filter("matchers", lambda m: F.lit(False)))
 
 
 def keyword_rule() -> Rule:

@@ -15,7 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom import vocabulary as V
-from tenderloom.functions.text import fold, keyword_matcher, odd_characters, words
+from tenderloom.functions.rows import computed_once
+from tenderloom.functions.text import (
+    fold,
+    keyword_matcher,
+    keyword_words,
+    odd_characters,
+    words,
+)
 from tenderloom.functions.values import match_id, round_half_up, segment_of, value_octave
 from tenderloom.operators.enrich import latest_enrichments
 from tenderloom.operators.rules import (
@@ -43,16 +50,13 @@ _NOTICE_COLUMNS = [
     "estimated_value",
     "proposal_closes_at",
 ]
-_PROFILE_COLUMNS = [
-    "profile_id", "matchers", "served", "states", "value_min", "value_max", "minimum_score",
-]
-
 
 def prepare_profiles(profiles: DataFrame) -> DataFrame:
     """Profiles with keyword matchers and served segments worked out once per profile."""
     return profiles.select(
         "profile_id",
         F.transform("keywords", keyword_matcher).alias("matchers"),
+        keyword_words(F.transform("keywords", keyword_matcher)).alias("keyword_words"),
         F.array_sort(F.array_distinct(F.transform("cnaes", segment_of))).alias("served"),
         "states",
         "value_min",
@@ -61,12 +65,23 @@ def prepare_profiles(profiles: DataFrame) -> DataFrame:
     )
 
 
-def prepare_notices(notices: DataFrame, enrichments: DataFrame) -> DataFrame:
-    """Notices with folded text, words and their latest enrichment, if any."""
+def prepare_notices(
+    notices: DataFrame, enrichments: DataFrame, partitions: int | None = None
+) -> DataFrame:
+    """Notices with folded text, words and their latest enrichment, if any.
+
+    Notices are spread by control number over ``partitions`` (by default as many as any shuffle):
+    the join needs them so anyway, and the expensive scoring after it then runs on every core even
+    when the notices came in a few files. Pass 0 for tables bucketed by control number.
+    """
     latest = latest_enrichments(enrichments).select("control_number", "segment", "confidence")
+    spread = notices.select(*_NOTICE_COLUMNS)
+    if partitions is None:
+        partitions = int(notices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if partitions:
+        spread = spread.repartition(partitions, "control_number")
     return (
-        notices.select(*_NOTICE_COLUMNS)
-        .join(latest, "control_number", "left")
+        spread.join(latest, "control_number", "left")
         .withColumn("folded_object", fold(F.col("object_description")))
         .withColumn("object_words", words(F.col("folded_object")))
         .drop("object_description")
@@ -96,37 +111,22 @@ def minimal_combinations(threshold: int, weights: dict[str, int]) -> list[tuple[
     return found
 
 
-def _evidence_keys(arrays: dict[str, Column], combination: tuple[str, ...]) -> Column:
-    """One hash for every way to show a combination: the product of the evidence values."""
-    name = "+".join(combination)
-    keys = F.array(F.xxhash64(F.lit(name)))
-    for rule in combination:
-        keys = _extend(keys, arrays[rule])
-    return keys
-
+def _key(combination: tuple[str, ...], value: dict[str, Column]) -> Column:
+    """Hash of one way to show a combination. A clash adds a row that the evidence test drops."""
+    return F.xxhash64(F.lit("+".join(combination)), *[value[rule] for rule in combination])
 
-def _extend(keys: Column, values: Column) -> Column:
-    """Every key combined with every value."""
-    return F.flatten(
-        F.transform(keys, lambda k: F.transform(values, lambda v: F.xxhash64(k, v)))
-    )
 
+def _every(arrays: dict[str, Column], combination: tuple[str, ...]) -> Column:
+    """All ways to show a combination: the hashes of the product of the evidence values."""
 
-def _notice_evidence(odd: bool) -> dict[str, Column]:
-    none = F.array().cast("array<string>")
-    text = F.col("object_words")
-    if odd:
-        text = F.concat(text, F.transform(odd_characters(F.col("folded_object")), _odd_key))
-
-    def single(value: Column) -> Column:
-        return F.when(value.isNotNull(), F.array(value.cast("string"))).otherwise(none)
+    def extend(left: tuple[str, ...], value: dict[str, Column]) -> Column:
+        if not left:
+            return F.array(_key(combination, value))
+        return F.flatten(
+            F.transform(arrays[left[0]], lambda v: extend(left[1:], {**value, left[0]: v}))
+        )
 
-    return {
-        V.KEYWORD: text,
-        V.SEGMENT: single(F.col("segment")),
-        V.ESTIMATED_VALUE: single(value_octave(F.col("estimated_value"))),
-        V.STATE: single(F.col("state")),
-    }
+    return extend(combination, {})
 
 
 def _odd_key(character: Column) -> Column:
@@ -134,58 +134,98 @@ def _odd_key(character: Column) -> Column:
 
 
 def _profile_evidence() -> dict[str, Column]:
-    none = F.array().cast("array<string>")
-    found = F.transform(
-        F.filter("matchers", lambda m: ~m["never"]),
-        lambda m: F.when(m["odd"].isNotNull(), F.array(_odd_key(m["odd"]))).otherwise(m["forms"]),
-    )
-    octaves = F.sequence(value_octave(F.col("value_min")), value_octave(F.col("value_max")))
-    ranged = F.col("value_min").isNotNull() & (F.col("value_min") <= F.col("value_max"))
+    none = F.array().cast("array<int>")
+    octaves = F.sequence("first_octave", "last_octave")
     return {
-        V.KEYWORD: F.array_distinct(F.flatten(found)),
+        V.KEYWORD: F.col("wanted_words"),
         V.SEGMENT: F.col("served"),
-        V.ESTIMATED_VALUE: F.when(
-            ranged, F.transform(octaves, lambda o: o.cast("string"))
-        ).otherwise(none),
+        V.ESTIMATED_VALUE: F.when(F.col("first_octave").isNotNull(), octaves).otherwise(none),
         V.STATE: F.array_distinct("states"),
     }
 
 
-def _keyed(
-    notices: DataFrame, profiles: DataFrame, weights: dict[str, int]
-) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the hashes of the evidence they have or need (``notice_keys`` and
-    ``profile_keys``). A hash clash only adds a pair that scoring then turns down."""
-    # At most 101 different thresholds exist.
-    facts = profiles.agg(
-        F.collect_set(F.greatest(F.least("floor_score", F.lit(100)), F.lit(0))).alias("thresholds"),
-        F.max(F.exists("matchers", lambda m: m["odd"].isNotNull())).alias("odd"),
-    ).first()
-    needed = {t: minimal_combinations(t, weights) for t in facts["thresholds"]}
-    used = sorted({c for sets in needed.values() for c in sets})
+def _with_profile_evidence(profiles: DataFrame) -> DataFrame:
+    found = F.transform(
+        F.filter("matchers", lambda m: ~m["never"]),
+        lambda m: F.when(m["odd"].isNotNull(), F.array(_odd_key(m["odd"]))).otherwise(m["anchor"]),
+    )
+    low, high = F.col("value_min"), F.col("value_max")
+    return profiles.withColumns(
+        {
+            "wanted_words": F.array_distinct(F.flatten(found)),
+            "first_octave": F.when(low <= high, value_octave(low)),
+            "last_octave": F.when(low <= high, value_octave(high)),
+        }
+    )
 
-    evidence = _profile_evidence()
-    none = F.array().cast("array<bigint>")
-    profile_keys = F.flatten(
-        F.array(
-            none,
-            *[
-                F.when(
-                    F.col("floor_score").isin([t for t, sets in needed.items() if c in sets]),
-                    _evidence_keys(evidence, c),
-                ).otherwise(none)
-                for c in used
-            ],
-        )
+
+def _with_notice_evidence(notices: DataFrame, odd: bool) -> DataFrame:
+    text = F.col("object_words")
+    if odd:
+        text = F.concat(text, F.transform(odd_characters(F.col("folded_object")), _odd_key))
+    return notices.withColumns(
+        {"shown_words": text, "value_octave": value_octave(F.col("estimated_value"))}
     )
-    shown = _notice_evidence(bool(facts["odd"]))
-    notice_keys = F.flatten(F.array(none, *[_evidence_keys(shown, c) for c in used]))
-    return (
-        notices.withColumn("notice_keys", F.array_distinct(notice_keys)),
-        profiles.withColumn("profile_keys", F.array_distinct(profile_keys)),
+
+
+def _notice_keys(used: list[tuple[str, ...]]) -> Column:
+    """What a notice shows, as rows of combination number, word and key."""
+    value = {
+        V.SEGMENT: F.col("segment"),
+        V.ESTIMATED_VALUE: F.col("value_octave"),
+        V.STATE: F.col("state"),
+    }
+    no_word = F.lit(None).cast("string")
+
+    def row(number: int, word: Column, key: Column) -> Column:
+        return F.struct(
+            F.lit(number).alias("combination"), word.alias("word"), key.alias("evidence_key")
+        )
+
+    none = F.array().cast("array<struct<combination:int,word:string,evidence_key:bigint>>")
+    parts = []
+    for number, combination in enumerate(used):
+        present = F.lit(True)
+        for rule in combination:
+            if rule != V.KEYWORD:
+                present = present & value[rule].isNotNull()
+        if V.KEYWORD in combination:
+            rows = _word_rows(number, combination, value, row)
+        else:
+            rows = F.array(row(number, no_word, _key(combination, value)))
+        parts.append(F.when(present, rows).otherwise(none))
+    return F.flatten(F.array(*parts)) if parts else none
+
+
+def _word_rows(number: int, combination: tuple[str, ...], value: dict[str, Column], row) -> Column:
+    return F.transform(
+        "shown_words", lambda w: row(number, w, _key(combination, {**value, V.KEYWORD: w}))
     )
 
 
+def _first_shown(used: list[tuple[str, ...]], needed: dict[int, list[tuple[str, ...]]]) -> Column:
+    """Number of the first combination that a profile needs and a pair shows."""
+    shown = {
+        V.KEYWORD: F.arrays_overlap("shown_words", "wanted_words"),
+        V.SEGMENT: F.array_contains("served", F.col("segment")),
+        V.ESTIMATED_VALUE: F.col("value_octave").between(
+            F.col("first_octave"), F.col("last_octave")
+        ),
+        V.STATE: F.array_contains("states", F.col("state")),
+    }
+    first = F.lit(None).cast("int")
+    for number, combination in reversed(list(enumerate(used))):
+        test = _needs(combination, needed)
+        for rule in combination:
+            test = test & shown[rule]
+        first = F.when(test, number).otherwise(first)
+    return first
+
+
+def _needs(combination: tuple[str, ...], needed: dict[int, list[tuple[str, ...]]]) -> Column:
+    return F.col("floor_score").isin([t for t, sets in needed.items() if combination in sets])
+
+
 def candidate_pairs(
     notices: DataFrame, profiles: DataFrame, weights: dict[str, int],
     broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS,
@@ -193,51 +233,73 @@ def candidate_pairs(
     """Prepared notices and profiles side by side, once for each pair that can reach the profile's
     ``floor_score``.
 
-    A pair may share several keys; it is kept at the smallest one, which both rows can tell without
-    a shuffle. With few profile keys these are broadcast and the notices never move; otherwise both
-    sides are shuffled on the key and a salt, and the profile rows follow by their id.
+    A pair may share several keys. It is kept at the first combination it shows, and there at the
+    smallest word, which the two rows tell without a shuffle. With few profile keys these are
+    broadcast and the notices never move; otherwise both sides are shuffled on the key and a salt,
+    and the profile rows follow by their id.
     """
-    notices, profiles = _keyed(notices, profiles, weights)
-    narrow = profiles.select("profile_id", "profile_keys")
+    profiles = _with_profile_evidence(profiles)
+    # At most 101 different thresholds exist.
+    facts = profiles.agg(
+        F.collect_set(F.greatest(F.least("floor_score", F.lit(100)), F.lit(0))).alias("thresholds"),
+        F.max(F.exists("matchers", lambda m: m["odd"].isNotNull())).alias("odd"),
+    ).first()
+    needed = {t: minimal_combinations(t, weights) for t in facts["thresholds"]}
+    used = sorted({c for sets in needed.values() for c in sets})
+
+    evidence = _profile_evidence()
+    none = F.array().cast("array<bigint>")
+    keys = F.flatten(
+        F.array(none, *[F.when(_needs(c, needed), _every(evidence, c)).otherwise(none) for c in used])
+    )
     # The outer form, because the plain one makes Spark work out the keys a second time to drop
     # rows without any; here the join drops them.
-    exploded = narrow.select(
-        "profile_id", "profile_keys", F.explode_outer("profile_keys").alias("evidence_key")
+    wanted = profiles.select(
+        "profile_id", F.explode_outer(F.array_distinct(keys)).alias("evidence_key")
     )
-    keyed = notices.withColumn("evidence_key", F.explode_outer("notice_keys"))
-    first_shared = F.array_min(F.array_intersect("notice_keys", "profile_keys"))
-    if fits(exploded, broadcast_rows):
-        pairs = keyed.join(F.broadcast(exploded), "evidence_key")
+    shown = _with_notice_evidence(notices, bool(facts["odd"])).withColumn(
+        "_shown", F.explode_outer(_notice_keys(used))
+    ).select("*", "_shown.combination", "_shown.word", "_shown.evidence_key").drop("_shown")
+    if fits(wanted, broadcast_rows):
+        pairs = shown.join(F.broadcast(wanted), "evidence_key")
     else:
         salt = F.pmod(F.xxhash64("control_number"), F.lit(salts)).cast("int")
-        copies = exploded.withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        )
-        pairs = keyed.withColumn("salt", salt).join(
+        copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = shown.withColumn("salt", salt).join(
             copies.hint("merge"), ["evidence_key", "salt"]
         ).drop("salt")
-    pairs = pairs.filter(F.col("evidence_key") == first_shared).drop(
-        "evidence_key", "notice_keys", "profile_keys"
+    if fits(profiles, broadcast_rows // 10):
+        profiles = F.broadcast(profiles)
+    smallest_word = F.array_min(F.array_intersect("shown_words", "wanted_words"))
+    return (
+        pairs.join(profiles, "profile_id")
+        .filter(
+            (F.col("combination") == _first_shown(used, needed))
+            & (F.col("word").isNull() | (F.col("word") == smallest_word))
+        )
+        .drop("evidence_key", "combination", "word", "shown_words", "wanted_words")
     )
-    details = profiles.drop("profile_keys")
-    if fits(details, broadcast_rows // 10):
-        details = F.broadcast(details)
-    return pairs.join(details, "profile_id")
 
 
 # Scoring ----------------------------------------------------------------------------------------
 
 
 def scored(pairs: DataFrame, weights: dict[str, int], at: Column, horizon: Horizon) -> DataFrame:
-    """Pairs of open notices with the numbers: score, coverage and the keyword hits."""
+    """Pairs of open notices with the numbers: score, coverage, and whether a pending rule makes
+    the score provisional; and the keyword hits."""
     rules = all_rules(at, horizon)
-    with_hits = pairs.withColumn("hits", keyword_hits())
-    points = F.lit(0.0)
+    points, pending = F.lit(0.0), F.lit(False)
     for rule in rules:
         points = points + F.lit(float(weights[rule.name])) * rule.strength
-    return with_hits.withColumn("score", round_half_up(points)).withColumn(
-        "coverage", _coverage(rules, weights)
-    )
+        pending = pending | (rule.kind == V.PENDING)
+    present = F.array_intersect("object_words", "keyword_words")
+    with_hits = computed_once(pairs.withColumn("present_words", present), {"hits": keyword_hits()})
+    numbers = {
+        "score": round_half_up(points),
+        "coverage": _coverage(rules, weights),
+        "provisional": pending,
+    }
+    return computed_once(with_hits, numbers)
 
 
 def _coverage(rules: list[Rule], weights: dict[str, int]) -> Column:
@@ -273,12 +335,8 @@ def breakdown(rules: list[Rule], weights: dict[str, int]) -> Column:
 
 
 def explained(pairs: DataFrame, weights: dict[str, int], at: Column, horizon: Horizon) -> DataFrame:
-    """Scored pairs with their reasons, and whether a pending rule makes the score provisional."""
-    return pairs.withColumn(
-        "reasons", breakdown(all_rules(at, horizon), weights)
-    ).withColumn(
-        "provisional", F.exists("reasons", lambda r: r["outcome"] == V.PENDING)
-    )
+    """Scored pairs with their reasons."""
+    return pairs.withColumn("reasons", breakdown(all_rules(at, horizon), weights))
 
 
 def matches(
@@ -375,7 +433,10 @@ def keyword_matches(
     ).withColumn("object_words", words(F.col("folded_object")))
     prepared = prepare_profiles(profiles).withColumn("floor_score", F.lit(1))
     pairs = candidate_pairs(folded, prepared, only_keywords, broadcast_rows)
-    hits = pairs.withColumn("hits", keyword_hits()).filter(F.size("hits") > 0)
+    present = F.array_intersect("object_words", "keyword_words")
+    hits = computed_once(
+        pairs.withColumn("present_words", present), {"hits": keyword_hits()}
+    ).filter(F.size("hits") > 0)
     return hits.select(
         "control_number",
         "profile_id",

@@ -251,13 +251,13 @@ def evidence_coverage(spark, folder):
         split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2),
         split_part(text, ' ', 2) || 's']) AS keyword FROM benchmark),
     patterns AS MATERIALIZED (
-      SELECT keyword, '' || array_to_string(list_transform(
+      SELECT keyword, '\b' || array_to_string(list_transform(
         list_filter(string_split_regex(trim(lower(strip_accents(keyword))), '\s+'),
           lambda t: t <> ''),
         lambda t: regexp_escape(CASE
           WHEN length(t) > 4 AND t LIKE '%es' THEN t[1:length(t) - 2]
           WHEN length(t) > 3 AND t LIKE '%s' THEN t[1:length(t) - 1] ELSE t END)
-          || '(?:es|s)?'), '\s+') || '' AS pattern
+          || '(?:es|s)?'), '\s+') || '\b' AS pattern
       FROM (SELECT DISTINCT keyword FROM items)),
     folded AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS control_number,
       lower(strip_accents(text)) AS body FROM documents),
@@ -661,40 +661,39 @@ def _ledger(spark, folder):
     "chunk_plan",
     ["ledger"],
     """
-    SELECT '2024-01-31' AS cycle_date, CAST(CAST(d AS DATE) AS VARCHAR) AS publication_date,
-      m.modality_code, s.state
-    FROM generate_series(TIMESTAMP '2024-01-28', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) AS g(d),
-      (SELECT DISTINCT modality_code FROM ledger) m, (SELECT DISTINCT state FROM ledger) s
-    WHERE m.modality_code IN (4, 6, 8) AND s.state IN ('SP', 'RJ', 'MG')
+    SELECT CAST(cycle_date AS VARCHAR) AS cycle_date,
+      CAST(cycle_date - n AS VARCHAR) AS publication_date, modality_code, state
+    FROM (SELECT DISTINCT cycle_date FROM ledger), (VALUES (0), (1), (2), (3)) AS w(n),
+      (VALUES (4), (6), (8)) AS m(modality_code), (VALUES ('SP'), ('RJ'), ('MG')) AS s(state)
     """,
 )
 def chunk_plan(spark, folder):
-    """The plan of a cycle without rows yet, checked against the ledger."""
-    plan = coverage.chunk_plan(
-        spark, date(2024, 1, 31), 3, X.SCOPE_MODALITIES, X.SCOPE_STATES, _now()
-    )
-    fresh = coverage.plan_if_absent(_ledger(spark, folder), plan)
-    return fresh.select(_text("cycle_date"), _text("publication_date"), "modality_code", "state")
+    """What every cycle on record had to plan."""
+    cycles = _ledger(spark, folder).select("cycle_date").distinct()
+    plan = coverage.chunk_plan(cycles, 3, X.SCOPE_MODALITIES, X.SCOPE_STATES, _now())
+    return plan.select(_text("cycle_date"), _text("publication_date"), "modality_code", "state")
 
 
 @_query(
     "plan_if_absent",
     ["ledger"],
     """
-    SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS publication_date, m.modality_code, s.state
-    FROM generate_series(TIMESTAMP '2024-01-26', TIMESTAMP '2024-01-29', INTERVAL 1 DAY) AS g(d),
+    SELECT CAST(c.cycle_date AS VARCHAR) AS cycle_date,
+      CAST(c.cycle_date - n AS VARCHAR) AS publication_date, m.modality_code, s.state
+    FROM (SELECT DISTINCT cycle_date FROM ledger) AS c, (VALUES (0), (1), (2), (3)) AS w(n),
       (VALUES (4), (6), (8)) AS m(modality_code), (VALUES ('SP'), ('RJ'), ('MG')) AS s(state)
-    WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.cycle_date = DATE '2024-01-29'
-      AND l.publication_date = CAST(d AS DATE) AND l.modality_code = m.modality_code
+    WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.cycle_date = c.cycle_date
+      AND l.publication_date = c.cycle_date - n AND l.modality_code = m.modality_code
       AND l.state = s.state)
     """,
 )
 def plan_if_absent(spark, folder):
-    plan = coverage.chunk_plan(
-        spark, date(2024, 1, 29), 3, X.SCOPE_MODALITIES, X.SCOPE_STATES, _now()
+    ledger = _ledger(spark, folder)
+    cycles = ledger.select("cycle_date").distinct()
+    plan = coverage.chunk_plan(cycles, 3, X.SCOPE_MODALITIES, X.SCOPE_STATES, _now())
+    return coverage.plan_if_absent(ledger, plan).select(
+        _text("cycle_date"), _text("publication_date"), "modality_code", "state"
     )
-    fresh = coverage.plan_if_absent(_ledger(spark, folder), plan)
-    return fresh.select(_text("publication_date"), "modality_code", "state")
 
 
 @_query(
@@ -848,7 +847,8 @@ def resolve_gaps(spark, folder):
     "backfill_request",
     ["ledger", "recorded_gaps"],
     """
-    WITH asked AS (SELECT DATE '2024-01-30' AS cycle_date, publication_date, modality_code, state
+    SELECT * FROM (WITH asked AS (
+      SELECT DATE '2024-01-30' AS cycle_date, publication_date, modality_code, state
       FROM recorded_gaps WHERE resolved_at IS NULL)
     SELECT CAST(cycle_date AS VARCHAR) AS cycle_date,
       CAST(publication_date AS VARCHAR) AS publication_date, modality_code, state, origin, attempts,
@@ -856,7 +856,7 @@ def resolve_gaps(spark, folder):
     FROM ledger ANTI JOIN asked USING (cycle_date, publication_date, modality_code, state)
     UNION ALL
     SELECT CAST(cycle_date AS VARCHAR), CAST(publication_date AS VARCHAR), modality_code, state,
-      'MANUAL', 0, false FROM asked
+      'MANUAL', 0, false FROM asked)
     """,
 )
 def backfill_request(spark, folder):
@@ -918,7 +918,7 @@ def complete_chunks(spark, folder):
       f.failure AS last_failure
     FROM ledger LEFT JOIN (
       SELECT cycle_date, publication_date, modality_code, state,
-        arg_max('timeout after ' || CAST(trunc(value) AS BIGINT), at) AS failure
+        arg_max('timeout after ' || CAST(trunc(value) AS BIGINT), moment) AS failure
       FROM chunk_events WHERE event_type = 'error' GROUP BY ALL) f
     USING (cycle_date, publication_date, modality_code, state)
     """,
@@ -974,14 +974,14 @@ def failed_by_scope(spark, folder):
       sum(pages) * 4 * CAST(1.44 AS DOUBLE) AS peak_pages_per_run,
       max(pages) * CAST(1.44 AS DOUBLE) AS peak_pages_of_largest_chunk
     FROM (SELECT modality_code, state, ceil(count(*) / 10.0) / CAST(34 AS DOUBLE) AS pages
-      FROM chunk_events WHERE state IN ('SP', 'RJ', 'MG') GROUP BY ALL)
+      FROM chunk_events WHERE state = 'SP' GROUP BY ALL)
     """,
 )
 def volume_profile(spark, folder):
     seen = X.attempt_log(spark, folder)
     observed = reports.observed_pages(seen, page_size=10, days=34)
     scope = spark.createDataFrame(
-        [(s, m) for s in X.SCOPE_STATES for m in X.SCOPE_MODALITIES], "state string, modality_code int"
+        [("SP", m) for m in X.SCOPE_MODALITIES], "state string, modality_code int"
     )
     return reports.volume_profile(observed, scope, lookback=3)
 
@@ -1230,7 +1230,8 @@ _CHUNK_FACTS = """
             THEN 'all ' || count(l.k) || ' notices of page ' || page_number
               || ' were rejected, so the source changed its contract' END AS failure,
         count(*) FILTER (l.outcome = 'mapped') AS mapped
-      FROM raw r LEFT JOIN (SELECT k, outcome FROM landed) l USING (k) GROUP BY ALL),
+      FROM raw r LEFT JOIN (SELECT k, outcome FROM landed) l ON r.k = l.k
+      GROUP BY publication_date, modality_code, state, page_number),
     chunks AS (
       SELECT publication_date, modality_code, state,
         arg_min(failure, page_number) FILTER (failure IS NOT NULL) AS failure,

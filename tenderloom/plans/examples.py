@@ -87,8 +87,9 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 10 == 9, F.array().cast("array<string>"))
         .when(key % 4 == 0, F.array(F.concat(second, F.lit("s"))))
         .when(key % 4 == 1, F.array(first, second))
-        .when(key % 4 == 2, F.array(F.upper(second), F.lit("aquisicao"), name))
-        .otherwise(F.array(F.concat(name, F.lit("s")), F.lit("Aquisições")))
+        .when(key % 4 == 2, F.array(F.upper(second), name))
+        .when(key % 20 == 3, F.array(F.concat(name, F.lit("s")), F.lit("Aquisições")))
+        .otherwise(F.array(F.concat(name, F.lit("s")), first))
     )
     divisions = [*V.CNAE_DIVISIONS, "99"]
     code = lambda c: F.concat(pick(divisions, c), F.lit("01-5/01"))

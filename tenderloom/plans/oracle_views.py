@@ -54,8 +54,9 @@ _view(
       CASE WHEN k % 10 = 9 THEN CAST([] AS VARCHAR[])
         WHEN k % 4 = 0 THEN [second || 's']
         WHEN k % 4 = 1 THEN [first, second]
-        WHEN k % 4 = 2 THEN [upper(second), 'aquisicao', name]
-        ELSE [name || 's', 'Aquisições'] END AS keywords,
+        WHEN k % 4 = 2 THEN [upper(second), name]
+        WHEN k % 20 = 3 THEN [name || 's', 'Aquisições']
+        ELSE [name || 's', first] END AS keywords,
       CASE WHEN k % 8 = 7 THEN CAST([] AS VARCHAR[]) ELSE
         [{_DIVISIONS}[k % 29 + 1] || '01-5/01', {_DIVISIONS}[(k * 7 + 3) % 29 + 1] || '01-5/01']
         END AS cnaes,
@@ -294,7 +295,7 @@ _view(
       CAST(CAST(ts AS DATE) - CAST(user_id % 5 AS INTEGER) AS DATE) AS publication_date,
       [4, 6, 8][user_id // 5 % 3 + 1] AS modality_code,
       ['SP', 'RJ', 'MG', 'BA'][user_id // 15 % 4 + 1] AS state,
-      ts AS at, event_type, value
+      ts AS moment, event_type, value
     FROM events
     """,
 )
@@ -305,12 +306,12 @@ _view(
       CASE WHEN count(*) FILTER (event_type = 'signup') >= 3 THEN 'MANUAL' ELSE 'SCHEDULED' END
         AS origin,
       CAST(count(*) AS INTEGER) AS attempts,
-      max(at) FILTER (event_type = 'purchase') AS completed_at,
+      max(moment) FILTER (event_type = 'purchase') AS completed_at,
       CASE WHEN count(*) FILTER (event_type = 'purchase') > 0
         THEN count(*) FILTER (event_type = 'view') END AS pages_fetched,
       CASE WHEN count(*) FILTER (event_type = 'purchase') > 0
         THEN count(*) FILTER (event_type = 'click') END AS notices_published,
-      max(at) FILTER (event_type = 'error') AS last_failure_at
+      max(moment) FILTER (event_type = 'error') AS last_failure_at
     FROM chunk_events GROUP BY ALL
     """,
     "chunk_events",
@@ -318,8 +319,8 @@ _view(
 _view(
     "recorded_gaps",
     """
-    SELECT publication_date, modality_code, state, min(at) AS detected_at,
-      CASE WHEN count(*) >= 2 THEN max(at) END AS resolved_at
+    SELECT publication_date, modality_code, state, min(moment) AS detected_at,
+      CASE WHEN count(*) >= 2 THEN max(moment) END AS resolved_at
     FROM chunk_events WHERE event_type = 'error' AND value > 30 GROUP BY ALL
     """,
     "chunk_events",

@@ -32,9 +32,8 @@ def write_landing(pages: DataFrame, path: str) -> None:
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    layout = LANDING.add("publication_day", "string").add("modality_dir", "int").add(
-        "state_dir", "string"
-    )
+    folders = "publication_day STRING, modality_dir INT, state_dir STRING"
+    layout = T.StructType([*LANDING.fields, *T.StructType.fromDDL(folders).fields])
     return spark.read.schema(layout).parquet(path)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from tenderloom.schemas import FEEDBACK
 
@@ -23,7 +23,7 @@ def read_batches(
     spark: SparkSession, path: str, schema: StructType, before: int | None = None
 ) -> DataFrame:
     """All batches, or those before a given one (what a replayed batch may look at)."""
-    layout = StructType([*schema.fields]).add("batch_id", "bigint")
+    layout = StructType([*schema.fields]).add("batch_id", LongType())
     try:
         rows = spark.read.schema(layout).option("basePath", path).parquet(path)
     except Exception as error:  # a table nobody has written to yet
