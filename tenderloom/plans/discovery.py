@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tenderloom import vocabulary as V
 from tenderloom.operators.coverage import complete_chunks, record_attempts
 from tenderloom.operators.mapping import map_notices, with_change_token
+from tenderloom.plans.sizing import fits
 from tenderloom.schemas import LEDGER_KEY
 from tenderloom.sources.landing import CHUNK, open_pages, page_notices
 from tenderloom.sources.messages import messages_for
@@ -37,7 +38,10 @@ def discover(owed: DataFrame, pages: DataFrame, now: Column) -> DiscoveryRun:
     chunks go on. Returned tables share ``mapped``, which is worth keeping (``persist``).
     """
     chunks = owed.select(*LEDGER_KEY)
-    opened = open_pages(pages.join(chunks.select(*CHUNK).distinct(), CHUNK, "left_semi"))
+    asked = chunks.select(*CHUNK).distinct()
+    # The owed chunks bound every list of chunks below, so one check decides for all of them.
+    few = fits(asked)
+    opened = open_pages(pages.join(F.broadcast(asked) if few else asked, CHUNK, "left_semi"))
     # The notice has a state and a modality of its own, so the chunk's get other names.
     origin = {"modality_code": "chunk_modality", "state": "chunk_state"}
     page = ["publication_date", "chunk_modality", "chunk_state", "page_number"]
@@ -98,6 +102,8 @@ def discover(owed: DataFrame, pages: DataFrame, now: Column) -> DiscoveryRun:
     )
     attempts = worked.select(*LEDGER_KEY, now.alias("at"), "failure")
     settled = succeeded.select(*CHUNK).distinct().withColumnsRenamed(origin)
+    if few:
+        settled = F.broadcast(settled)
     publishable = mapped.filter(F.col("outcome") == V.MAPPED).join(settled, page[:-1], "left_semi")
     messages = messages_for(with_change_token(publishable), arrival_number())
     return DiscoveryRun(messages, results, attempts, mapped)

@@ -42,9 +42,10 @@ def notices(spark: SparkSession, folder: str) -> DataFrame:
     )
     name = F.coalesce("p_name", F.lit("item"))
     # Every third text is accented and plural, so that folding has something to do.
+    form = F.floor(key / 3) % 3
     text = (
-        F.when(key % 3 == 0, F.concat(F.translate(name, "aeo", "áéõ"), F.lit("s")))
-        .when(key % 3 == 1, F.upper(name))
+        F.when(form == 0, F.concat(F.translate(name, "aeo", "áéõ"), F.lit("s")))
+        .when(form == 1, F.upper(name))
         .otherwise(name)
     )
     closes = F.timestamp_micros(

@@ -31,7 +31,7 @@ _view(
     "notices",
     f"""
     SELECT CAST(o_orderkey AS VARCHAR) AS control_number,
-      'Aquisição de ' || CASE o_orderkey % 3
+      'Aquisição de ' || CASE o_orderkey // 3 % 3
           WHEN 0 THEN translate(name, 'aeo', 'áéõ') || 's' WHEN 1 THEN upper(name) ELSE name END
         || ' (' || lower(c_mktsegment) || ')' AS object_description,
       {_STATES}[c_nationkey + 1] AS state,
