@@ -42,6 +42,8 @@ _EVIDENCE = [V.KEYWORD, V.SEGMENT, V.ESTIMATED_VALUE, V.STATE]
 # Copies of the profile keys, and slices of the notices, when the keys are too many to broadcast:
 # spreads a key that a large share of all notices carries.
 SALTS = 32
+# Distinct keyword words up to which notices are reduced to them before the join.
+VOCABULARY_WORDS = 10_000
 
 _NOTICE_COLUMNS = [
     "control_number",
@@ -75,19 +77,21 @@ def prepare_notices(
     when the notices came in a few files. Pass 0 for tables bucketed by control number.
     """
     latest = latest_enrichments(enrichments).select("control_number", "segment", "confidence")
-    spread = notices.select(*_NOTICE_COLUMNS)
-    if partitions is None:
-        partitions = int(notices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if partitions:
-        spread = spread.repartition(partitions, "control_number")
     return (
-        spread.join(latest, "control_number", "left")
+        _spread(notices.select(*_NOTICE_COLUMNS), partitions)
+        .join(latest, "control_number", "left")
         .withColumn("folded_object", fold(F.col("object_description")))
         .withColumn("object_words", words(F.col("folded_object")))
         .drop("object_description")
     )
 
 
+def _spread(rows: DataFrame, partitions: int | None) -> DataFrame:
+    if partitions is None:
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, "control_number") if partitions else rows
+
+
 def open_notices(notices: DataFrame, at: datetime) -> DataFrame:
     return notices.filter(is_open(F.col("proposal_closes_at"), instant(at)))
 
@@ -168,6 +172,23 @@ def _with_notice_evidence(notices: DataFrame, odd: bool) -> DataFrame:
     )
 
 
+def _only_keyword_words(notices: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Notices reduced to the words that occur in any keyword, when those are few enough to be
+    named in the plan. Long texts then carry a handful of words instead of thousands."""
+    vocabulary = (
+        profiles.select(F.explode("keyword_words").alias("word"))
+        .distinct()
+        .limit(VOCABULARY_WORDS + 1)
+        .collect()
+    )
+    if len(vocabulary) > VOCABULARY_WORDS:
+        return notices
+    known = [r["word"] for r in vocabulary]
+    return notices.withColumn(
+        "object_words", F.filter("object_words", lambda w: w.isin(known))
+    )
+
+
 def _notice_keys(used: list[tuple[str, ...]]) -> Column:
     """What a notice shows, as rows of combination number, word and key."""
     value = {
@@ -239,6 +260,7 @@ def candidate_pairs(
     and the profile rows follow by their id.
     """
     profiles = _with_profile_evidence(profiles)
+    notices = _only_keyword_words(notices, profiles)
     # At most 101 different thresholds exist.
     facts = profiles.agg(
         F.collect_set(F.greatest(F.least("floor_score", F.lit(100)), F.lit(0))).alias("thresholds"),
@@ -421,12 +443,13 @@ def outcome_counts(
 
 
 def keyword_matches(
-    texts: DataFrame, profiles: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    texts: DataFrame, profiles: DataFrame, broadcast_rows: int = BROADCAST_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Texts (``control_number``, ``object_description``) in which a profile's keywords occur, with
     the keywords found and their share. Joined on words, over the whole text."""
     only_keywords = dict.fromkeys(V.RULES, 0) | {V.KEYWORD: 100}
-    folded = texts.select(
+    folded = _spread(texts, partitions).select(
         "control_number",
         fold(F.col("object_description")).alias("folded_object"),
         *[F.lit(None).cast(t).alias(n) for n, t in _UNUSED.items()],
