@@ -409,7 +409,21 @@ def _candidates(notices, enrichments, profiles, at, weights, horizon, margin, br
         "floor_score", F.greatest(F.col("minimum_score") - margin, F.lit(0))
     )
     pairs = candidate_pairs(subject, prepared, chosen, broadcast_rows)
-    return scored(pairs, chosen, instant(at), horizon)
+    hopeful = _at_most(chosen, instant(at), horizon) >= F.col("floor_score") - F.lit(0.5 + 1e-6)
+    return scored(pairs.filter(hopeful), chosen, instant(at), horizon)
+
+
+def _at_most(weights: dict[str, int], at: Column, horizon: Horizon) -> Column:
+    """The points a pair would have if all of its keywords were found, once any word of them is:
+    exact for the other rules, and cheaper than looking for every keyword."""
+    points = F.lit(0.0)
+    for rule in all_rules(at, horizon):
+        if rule.name != V.KEYWORD:
+            points = points + F.lit(float(weights[rule.name])) * rule.strength
+    any_word = F.arrays_overlap("object_words", "keyword_words") | F.exists(
+        "matchers", lambda m: m["odd"].isNotNull()
+    )
+    return points + F.when(any_word, float(weights[V.KEYWORD])).otherwise(0.0)
 
 
 def disqualified(notices: DataFrame, at: datetime) -> DataFrame:

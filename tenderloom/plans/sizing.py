@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a side may have to be sent to every executor. The sides tested are narrow keys, so this
-# stays within tens of megabytes.
+# What a side may have to be sent to every executor.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most this many rows; stops reading once it has more."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table for broadcast when it is measured to be small, else leave the join to Spark."""
-    return F.broadcast(df) if fits(df, rows) else df
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most this many rows and bytes (as text). Each task stops reading
+    once it alone has more rows."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    facts = df.limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
+    ).first()
+    return facts["rows"] <= rows and facts["bytes"] <= size

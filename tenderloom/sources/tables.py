@@ -7,6 +7,7 @@ key is found on reading.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
@@ -26,9 +27,10 @@ def read_batches(
     layout = StructType([*schema.fields]).add("batch_id", LongType())
     try:
         rows = spark.read.schema(layout).option("basePath", path).parquet(path)
-    except Exception as error:  # a table nobody has written to yet
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        # A table nobody has written to yet.
         rows = spark.createDataFrame([], layout)
     return rows if before is None else rows.filter(F.col("batch_id") < before)
 

@@ -143,6 +143,19 @@ def start_batch_ingest(
     )
 
 
+def keyed_notices(spark, folder: str) -> DataFrame:
+    """The notices table as the keyed ingest left it: the last stored delivery of every number."""
+    layout = T.StructType(
+        [
+            T.StructField("seq", T.LongType()),
+            *NOTICES.fields,
+            T.StructField("outcome", T.StringType()),
+        ]
+    )
+    stored = read_batches(spark, f"{folder}/verdicts", layout).filter(F.col("outcome") == STORED)
+    return current_rows(stored, KEY, ["batch_id", "seq"]).select(*NOTICES.fieldNames())
+
+
 def current_notices(spark, folder: str) -> DataFrame:
     """The notices table the batch ingest maintains."""
     layout = T.StructType([T.StructField("seq", T.LongType()), *NOTICES.fields])
@@ -152,6 +165,7 @@ def current_notices(spark, folder: str) -> DataFrame:
 
 __all__ = [
     "current_notices",
+    "keyed_notices",
     "keyed_verdicts",
     "start_batch_ingest",
     "start_keyed_ingest",

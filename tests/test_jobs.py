@@ -56,6 +56,8 @@ def test_stream_and_replay(spark, tmp_path):
     assert {r.control_number: r.source_updated_at for r in current} == {
         "a": dt.datetime(2026, 9, 3, 13, 0), "b": None
     }
+    keyed = streaming.keyed_notices(spark, home)
+    assert sorted(keyed.collect()) == sorted(streaming.current_notices(spark, f"{home}/b").collect())
     counted = spark.read.parquet(f"{home}/b/outcomes").filter("batch_id = 1").collect()
     assert {r.outcome: r.messages for r in counted} == {"unchanged": 3, "stale": 1}
     seen = spark.read.parquet(f"{home}/b/lateness").filter("batch_id = 0").first()
