@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenderloom.llm import quality, rules, tokens
+from tenderloom.llm import automata, licenses, mixing, quality, rules, suffixes, tokens
 from tenderloom.llm.common import table
 
 
@@ -10,6 +10,22 @@ def op2_quality_rules(spark, sf_dir):
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return automata.without_earlier_spans(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_source_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark, sf_dir):
+    return suffixes.without_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -22,5 +38,16 @@ def op10_quality_scores(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op9_token_counts, op10_quality_scores)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_quality_rules,
+        op3_substring_dedup,
+        op4_license_scan,
+        op6_source_mix,
+        op7_suffix_dedup,
+        op9_token_counts,
+        op10_quality_scores,
+    )
+}
 SQL: dict[str, str] = {}
