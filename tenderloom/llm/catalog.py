@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenderloom.llm import automata, licenses, mixing, quality, rules, suffixes, tokens
+from tenderloom.llm import automata, leaks, licenses, mixing, near, quality, rules, suffixes, tokens
 from tenderloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op7_suffix_dedup(spark, sf_dir):
     return suffixes.without_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_leaks(spark, sf_dir):
+    return leaks.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -44,8 +52,10 @@ QUERIES = {
         op2_quality_rules,
         op3_substring_dedup,
         op4_license_scan,
+        op5_near_duplicates,
         op6_source_mix,
         op7_suffix_dedup,
+        op8_benchmark_leaks,
         op9_token_counts,
         op10_quality_scores,
     )

@@ -63,3 +63,16 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def common_subsequence(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, a bit for each element of ``a``."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        hit = row & where.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
