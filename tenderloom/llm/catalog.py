@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tenderloom.llm import automata, leaks, licenses, mixing, near, quality, rules, suffixes, tokens
+from tenderloom.llm import automata, leaks, licenses, lines, mixing, near, quality, rules, suffixes, tokens
 from tenderloom.llm.common import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark, sf_dir):
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ def op10_quality_scores(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op2_quality_rules,
         op3_substring_dedup,
         op4_license_scan,
@@ -60,4 +65,4 @@ QUERIES = {
         op10_quality_scores,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_line_dedup": lines.sql()}

@@ -178,7 +178,8 @@ def mixed(
     keys = ["did", "th", "size", "source", "source_size", "target"]
     # Rows of one document that stand at different places of a stream are different rows.
     taken = (
-        pieces.join(chosen, on)
+        # Both sides grow with the words, whatever size the planner takes them for.
+        pieces.join(chosen.hint("merge"), on)
         .groupBy(*keys, "shard", "start")
         .agg((F.sum(part) + F.first("passes") * F.col("size")).cast("long").alias("taken"))
         .select(*keys, "taken")
