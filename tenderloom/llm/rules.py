@@ -33,6 +33,8 @@ SEED = 20_24
 
 @dataclass(frozen=True)
 class Test:
+    __test__ = False
+
     feature: str
     above: bool
     limit: float
