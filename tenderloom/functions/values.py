@@ -14,7 +14,11 @@ def round_half_up(points: Column) -> Column:
 
 def plain_number(value: Column) -> Column:
     """Decimal as text without trailing zeros; whole numbers without a point."""
-    text = value.cast("string")
+    return plain_text(value.cast("string"))
+
+
+def plain_text(text: Column) -> Column:
+    """The same for a number that is text already."""
     return F.when(
         text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
     ).otherwise(text)

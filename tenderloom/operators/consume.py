@@ -26,20 +26,25 @@ def read_messages(messages: DataFrame) -> DataFrame:
     readable = checked.withColumn(
         "payload", F.when(F.col("contract_fault").isNull(), F.col("raw_payload"))
     )
-    mapped = map_notices(readable)
+    # The hash is taken here, so that a payload without one is kept aside instead of ingested.
+    mapped = with_change_token(map_notices(readable))
     fault = F.when(F.col("contract_fault").isNotNull(), F.col("contract_fault")).when(
         F.col("outcome") == V.REJECTED,
         F.concat(
             F.lit("the payload cannot be mapped: "), F.col("field"), F.lit(": "), F.col("reason")
         ),
     )
+    fault = fault.when(
+        (F.col("outcome") == V.MAPPED) & F.col("source_payload_hash").isNull(),
+        F.lit("the payload has no content hash"),
+    )
     return mapped.withColumn("fault", fault)
 
 
 def deliveries(read: DataFrame) -> DataFrame:
     """Readable messages as notices to ingest, with their arrival number."""
     good = read.filter(F.col("fault").isNull() & (F.col("outcome") == V.MAPPED))
-    return with_change_token(good).select("seq", *NOTICES.fieldNames())
+    return good.select("seq", *NOTICES.fieldNames())
 
 
 def quarantine(read: DataFrame) -> DataFrame:

@@ -167,12 +167,17 @@ def request_backfills(ledger: DataFrame, requests: DataFrame, cycle: Column, now
 
 def complete_chunks(ledger: DataFrame, results: DataFrame) -> DataFrame:
     """Ledger with completions (``at``, ``pages``, ``published`` per chunk) written where the chunk
-    was still incomplete, so a second run never counts twice. All three columns change together."""
-    done = results.select(
-        *LEDGER_KEY,
-        F.col("at").alias("_at"),
-        F.col("pages").alias("_pages"),
-        F.col("published").alias("_published"),
+    was still incomplete, so a second run never counts twice. All three columns change together,
+    and of several results for a chunk the first counts."""
+    done = (
+        results.groupBy(*LEDGER_KEY)
+        .agg(F.min(F.struct("at", "pages", "published")).alias("_done"))
+        .select(
+            *LEDGER_KEY,
+            F.col("_done.at").alias("_at"),
+            F.col("_done.pages").alias("_pages"),
+            F.col("_done.published").alias("_published"),
+        )
     )
     joined = ledger.join(done, LEDGER_KEY, "left")
     wins = F.col("completed_at").isNull() & F.col("_at").isNotNull()

@@ -27,10 +27,8 @@ from tenderloom.vocabulary import STALE, STORED, UNCHANGED
 KEY = "control_number"
 HASH = "source_payload_hash"
 TIME = "source_updated_at"
-# Deliveries up to this number are handled as a single block per key.
-SINGLE_BLOCK_ROWS = 2_000_000
-BLOCKS = 512
-_HEAD = "struct<seg:bigint,ts:timestamp,seq:bigint,hash:string>"
+# A key with more deliveries than this is cut into blocks of about as many.
+BLOCK_ROWS = 1_000_000
 
 
 def verdict(previous_hash: Column, previous_time: Column, new_hash: Column, new_time: Column) -> Column:
@@ -43,23 +41,35 @@ def verdict(previous_hash: Column, previous_time: Column, new_hash: Column, new_
     )
 
 
-def _block_bounds(deliveries: DataFrame, blocks: int | None) -> list[int]:
-    """Arrival numbers that cut the deliveries into blocks of about equal size.
+def _coordinate(deliveries: DataFrame) -> Column:
+    """A number that never falls as arrivals go on: the arrival itself, or its first part."""
+    kind, at = deliveries.schema["seq"].dataType, F.col("seq")
+    if isinstance(kind, T.StructType):
+        kind, at = kind.fields[0].dataType, at[kind.fields[0].name]
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(at)
+    return F.unix_date(at).cast("bigint") if isinstance(kind, T.DateType) else at.cast("bigint")
 
-    Quantiles over all deliveries bound every (key, block) group by one block's share of the
-    table, whatever the keys look like.
+
+def _block_bounds(deliveries: DataFrame, blocks: int | None, rows: int = BLOCK_ROWS) -> list[int]:
+    """Coordinates of arrival that cut the busy keys' deliveries into blocks of about ``rows``.
+
+    Quantiles over the deliveries of all busy keys bound every (key, block) group by one block's
+    share of these. Without busy keys, or wanted ``blocks``, there is one block.
     """
-    wanted = BLOCKS if blocks is None else blocks
-    if wanted < 2:
+    placed = deliveries.select(KEY, _coordinate(deliveries).alias("_at"))
+    if blocks is None:
+        busy = placed.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+        total = busy.agg(F.sum("_n")).first()[0]
+        if not total:
+            return []
+        blocks = -(-total // rows) + 1
+        placed = placed.join(busy, KEY, "left_semi")
+    if blocks < 2:
         return []
-    shares = [i / wanted for i in range(1, wanted)]
-    facts = deliveries.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.percentile_approx("seq", shares, 20 * wanted).alias("cuts"),
-    ).first()
-    if blocks is None and facts["rows"] <= SINGLE_BLOCK_ROWS:
-        return []
-    return sorted(set(facts["cuts"] or []))
+    shares = [i / blocks for i in range(1, blocks)]
+    cuts = placed.agg(F.percentile_approx("_at", shares, 20 * blocks)).first()[0]
+    return sorted(set(cuts or []))
 
 
 def _block(seq: Column, bounds: list[int]) -> Column:
@@ -86,7 +96,7 @@ def _block(seq: Column, bounds: list[int]) -> Column:
 
 def _scan(deliveries: DataFrame, bounds: list[int]) -> DataFrame:
     """Verdicts by prefix maxima, block by block. Rows are shuffled once, by key and block."""
-    rows = deliveries.withColumn("_block", _block(F.col("seq"), bounds))
+    rows = deliveries.withColumn("_block", _block(_coordinate(deliveries), bounds))
     in_block = W.partitionBy(KEY, "_block").orderBy("seq")
     so_far = in_block.rowsBetween(W.unboundedPreceding, W.currentRow)
     undated = F.when(F.col(TIME).isNull(), 1).otherwise(0)
@@ -96,7 +106,7 @@ def _scan(deliveries: DataFrame, bounds: list[int]) -> DataFrame:
             F.struct(
                 F.col("_seg").cast("bigint").alias("seg"),
                 F.col(TIME).alias("ts"),
-                F.col("seq").cast("bigint").alias("seq"),
+                F.col("seq").alias("seq"),
                 F.col(HASH).alias("hash"),
             )
         ).over(so_far),
@@ -194,10 +204,12 @@ def _uneven_keys(deliveries: DataFrame) -> DataFrame:
 def verdicts(
     deliveries: DataFrame, *, hash_covers_time: bool = False, blocks: int | None = None
 ) -> DataFrame:
-    """Add ``outcome`` to deliveries (key, hash, time, and ``seq`` unique within a key).
+    """Add ``outcome`` to deliveries (key, hash, time, and ``seq`` unique within a key: a number, or
+    a struct compared field by field whose first field is a time, a day or a number).
 
     ``hash_covers_time`` promises that equal hashes of a key carry equal times and saves the check.
-    ``blocks`` fixes the number of arrival blocks; by default it follows the size of the input.
+    ``blocks`` fixes the number of arrival blocks; by default only keys with more than
+    ``BLOCK_ROWS`` deliveries are cut.
     """
     bounds = _block_bounds(deliveries, blocks)
     if hash_covers_time:
@@ -214,7 +226,8 @@ def verdicts_against(
     """Verdicts when a table of stored rows exists: each stored row of a delivered key counts as
     that key's first delivery and is taken out again afterwards."""
     stored = current.join(deliveries.select(KEY).distinct(), KEY, "left_semi").withColumn(
-        "seq", F.lit(-(2**63)).cast("bigint")
+        # Nothing arrives before it.
+        "seq", F.lit(None).cast(deliveries.schema["seq"].dataType)
     )
     marked = deliveries.withColumn("is_stored", F.lit(False)).unionByName(
         stored.withColumn("is_stored", F.lit(True)), allowMissingColumns=True
@@ -244,28 +257,39 @@ def apply_deliveries(
     return untouched.unionByName(fresh), decided
 
 
+def _first_of_key(rows: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
+    """Rows with ``_first``, true for exactly one row of each key. A busy key is ranked in parts
+    first, so no task ranks all of its rows."""
+    spread = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    places = [F.col(c).asc_nulls_first() for c in order]
+    own = W.partitionBy(KEY, "_part").orderBy(*places)
+    ranked = spread.withColumn("_first", F.row_number().over(own) == 1)
+    lead = W.partitionBy(KEY).orderBy(*places, "_part")
+    leaders = ranked.filter("_first").withColumn("_first", F.row_number().over(lead) == 1)
+    return leaders.unionByName(ranked.filter("not _first")).drop("_part")
+
+
 def insert_if_absent(incoming: DataFrame, current: DataFrame) -> DataFrame:
-    """Incoming rows with ``won``: true for the first arrival of a key that is not stored yet."""
-    firsts = incoming.groupBy(KEY).agg(F.min("seq").alias("_first"))
+    """Incoming rows with ``won``: true for the first arrival of a key that is not stored yet, and
+    for no other row of it, also when arrivals tie."""
     taken = current.select(KEY, F.lit(True).alias("_taken")).distinct()
-    winners = firsts.join(taken, KEY, "left_anti")
-    return (
-        incoming.join(winners, KEY, "left")
-        .withColumn("won", F.coalesce(F.col("seq") == F.col("_first"), F.lit(False)))
-        .drop("_first")
-    )
+    tried = _first_of_key(incoming, ["seq", HASH]).join(taken, KEY, "left")
+    return tried.withColumn("won", F.col("_first") & F.col("_taken").isNull()).drop("_first", "_taken")
 
 
 def replace_if_unchanged(incoming: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Compare and set: a row replaces the stored one only where the stored hash is still the one
-    the writer read (``expected_hash``). At most one incoming row per key.
+    the writer read (``expected_hash``). Of several such writers of a key the first arrival
+    (``seq``) wins and changes the hash, so the others lose.
 
     Returns the next state and the incoming rows with ``won``.
     """
     held = current.select(KEY, F.col(HASH).alias("_held"))
     tried = incoming.join(held, KEY, "left").withColumn(
-        "won", F.coalesce(F.col("_held") == F.col("expected_hash"), F.lit(False))
+        "_may", F.coalesce(F.col("_held") == F.col("expected_hash"), F.lit(False))
     )
+    able = _first_of_key(tried.filter("_may"), ["seq", HASH]).withColumnRenamed("_first", "won")
+    tried = able.unionByName(tried.filter("not _may").withColumn("won", F.lit(False))).drop("_may", "_held")
     winners = tried.filter("won").select(*current.columns)
     following = current.join(winners.select(KEY), KEY, "left_anti").unionByName(winners)
-    return following, tried.drop("_held")
+    return following, tried

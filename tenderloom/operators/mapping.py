@@ -13,7 +13,7 @@ from tenderloom.functions.canonical import change_token
 from tenderloom.functions.rows import computed_once
 from tenderloom.functions.text import is_blank, quoted_payload, trimmed
 from tenderloom.functions.times import instant_text, local_instant
-from tenderloom.functions.values import plain_number
+from tenderloom.functions.values import plain_text
 from tenderloom.schemas import MONEY, NOTICES
 from tenderloom import vocabulary as V
 
@@ -122,10 +122,6 @@ def _value_error() -> Column:
     field = FIELDS["value"]
     kind = F.schema_of_variant(_v("value"))
     wide = F.try_variant_get(_v("value"), "$", "double")
-    fraction = F.regexp_extract(_t("value"), r"^-?\d*\.(\d*?)0*$", 1)
-    exact = F.when(kind == "DOUBLE", F.col("_money").cast("double") == wide).otherwise(
-        F.length(fraction) <= MONEY.scale
-    )
     return (
         F.when(_missing("value"), F.lit(None).cast(_ERROR))
         .when(
@@ -133,13 +129,27 @@ def _value_error() -> Column:
             _error(field, F.concat(F.lit(V.NOT_A_NUMBER), _t("value"))),
         )
         .when(wide < 0, _error(field, F.concat(F.lit(V.NEGATIVE_VALUE), _t("value"))))
-        .when(
-            F.col("_money").isNull() | ~exact,
-            _error(field, F.concat(F.lit(V.TOO_PRECISE), _t("value"))),
-        )
     )
 
 
+def _amount() -> Column:
+    """The amount as it was written, without exponent or needless zeros."""
+    text = _t("value")
+    whole = F.try_variant_get(_v("value"), "$", MONEY.simpleString())
+    double = text.rlike("[eE]")
+    same = whole.cast("double") == F.try_variant_get(_v("value"), "$", "double")
+    return F.when(~double, plain_text(text)).when(same, plain_text(whole.cast("string"))).otherwise(text)
+
+
+def _range_value(amount: Column) -> Column:
+    """The amount cut after ten decimals, or the greatest value there is, for range tests."""
+    parts = F.regexp_extract(amount, r"^(\d+)(?:\.(\d{1,10}))?", 0)
+    most = F.lit("9" * (MONEY.precision - MONEY.scale) + "." + "9" * MONEY.scale)
+    cut = F.when(amount.rlike("[eE]"), F.col("_wide").cast("string")).otherwise(parts)
+    value = cut.try_cast(MONEY)
+    return F.when(amount.isNotNull(), F.coalesce(value, most.cast(MONEY)))
+
+
 def map_notices(notices: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``outcome`` with the typed columns, or with ``field`` and ``reason``.
 
@@ -165,7 +175,8 @@ def map_notices(notices: DataFrame, payload: str = "payload") -> DataFrame:
                 f"_{name}_at": local_instant(_t(name))
                 for name in ("opens", "closes", "published", "updated")
             },
-            "_money": F.try_variant_get("_value", "$", MONEY.simpleString()),
+            "_wide": F.try_variant_get("_value", "$", "double"),
+            "_amount": F.when(~_missing("value"), _amount()),
             "_modality_code": F.try_variant_get("_modality", "$", "int"),
             "_uf_code": F.upper(trimmed(_t("uf"))),
         }
@@ -217,7 +228,8 @@ def map_notices(notices: DataFrame, payload: str = "payload") -> DataFrame:
     columns = {
         "object_description": _t("object"),
         "state": F.col("_uf_code"),
-        "estimated_value": F.col("_money"),
+        "estimated_value": _range_value(F.col("_amount")),
+        "estimated_amount": F.col("_amount"),
         "modality_code": F.col("_modality_code"),
         "modality_name": _t("modality_name"),
         "published_at": F.col("_published_at"),
@@ -283,7 +295,6 @@ __all__ = [
     "map_notices",
     "mapped_notices",
     "not_biddable",
-    "plain_number",
     "rejected",
     "with_change_token",
 ]

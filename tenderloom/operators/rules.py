@@ -130,14 +130,23 @@ def segment_rule() -> Rule:
     )
 
 
-def value_in_range(value: Column, low: Column, high: Column) -> Column:
-    return F.coalesce(value.between(low, high), F.lit(False))
+def value_in_range(
+    value: Column, low: Column, high: Column, amount: Column | None = None
+) -> Column:
+    """Whether a value lies in a range. ``value`` may be cut after the decimals a limit can have;
+    with ``amount``, its exact text, what was cut counts at the upper limit."""
+    inside = value.between(low, high)
+    if amount is not None:
+        more = F.coalesce(amount != plain_number(value), F.lit(False))
+        inside = inside & ~((value == high) & more)
+    return F.coalesce(inside, F.lit(False))
 
 
 def value_rule() -> Rule:
     value, low, high = F.col("estimated_value"), F.col("value_min"), F.col("value_max")
-    inside = value_in_range(value, low, high)
-    texts = [plain_number(c) for c in (value, low, high)]
+    amount = F.coalesce("estimated_amount", plain_number(value))
+    inside = value_in_range(value, low, high, amount)
+    texts = [amount, plain_number(low), plain_number(high)]
     no_range = low.isNull() | high.isNull()
     return Rule(
         V.ESTIMATED_VALUE,

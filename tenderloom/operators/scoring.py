@@ -50,6 +50,7 @@ _NOTICE_COLUMNS = [
     "object_description",
     "state",
     "estimated_value",
+    "estimated_amount",
     "proposal_closes_at",
 ]
 
@@ -483,7 +484,10 @@ def keyword_matches(
 
 
 # Columns of a notice that keyword search alone does not look at.
-_UNUSED = {"segment": "string", "estimated_value": "decimal(38,10)", "state": "string"}
+_UNUSED = {
+    "segment": "string", "estimated_value": "decimal(38,10)",
+    "estimated_amount": "string", "state": "string",
+}
 
 
 def evaluate_pairs(
@@ -493,30 +497,36 @@ def evaluate_pairs(
     """The full result of given pairs (control number and profile id): matched, below threshold
     or disqualified, with score, coverage and reasons for the first two."""
     chosen, now = checked_weights(weights), instant(at)
-    subject = prepare_notices(notices, enrichments)
-    prepared = prepare_profiles(profiles)
-    joined = (
-        pairs.select("control_number", "profile_id")
-        .distinct()
-        .join(subject, "control_number")
-        .join(prepared, "profile_id")
+    asked = pairs.select("control_number", "profile_id").distinct()
+    open_now = F.coalesce(is_open(F.col("proposal_closes_at"), now), F.lit(False))
+
+    # A closed notice is disqualified whatever its text says, so nothing of it is read but the date.
+    closed = (
+        asked.join(notices.filter(~open_now).select("control_number", "proposal_closes_at"), "control_number")
+        .join(profiles.select("profile_id", "minimum_score"), "profile_id")
+        .select(
+            "control_number",
+            "profile_id",
+            F.lit(V.DISQUALIFIED).alias("result"),
+            F.lit(V.PROPOSAL_DEADLINE).alias("disqualified_by"),
+            closed_reason(now).alias("reason"),
+            F.col("minimum_score").alias("threshold"),
+        )
     )
-    closed = ~is_open(F.col("proposal_closes_at"), now)
+    subject = prepare_notices(notices.filter(open_now), enrichments)
+    joined = asked.join(subject, "control_number").join(prepare_profiles(profiles), "profile_id")
     numbers = explained(scored(joined, chosen, now, horizon), chosen, now, horizon)
-    result = (
-        F.when(closed, V.DISQUALIFIED)
-        .when(F.col("score") >= F.col("minimum_score"), V.MATCHED)
-        .otherwise(V.BELOW_THRESHOLD)
-    )
-    return numbers.select(
+    result = F.when(F.col("score") >= F.col("minimum_score"), V.MATCHED).otherwise(V.BELOW_THRESHOLD)
+    evaluated = numbers.select(
         "control_number",
         "profile_id",
         result.alias("result"),
-        F.when(closed, V.PROPOSAL_DEADLINE).alias("disqualified_by"),
-        F.when(closed, closed_reason(now)).alias("reason"),
-        F.when(~closed, F.col("score")).alias("score"),
-        F.when(~closed, F.col("coverage")).alias("coverage"),
-        F.when(~closed, F.col("provisional")).alias("provisional"),
+        F.lit(None).cast("string").alias("disqualified_by"),
+        F.lit(None).cast("string").alias("reason"),
         F.col("minimum_score").alias("threshold"),
-        F.when(~closed, F.col("reasons")).alias("reasons"),
+        "score",
+        "coverage",
+        "provisional",
+        "reasons",
     )
+    return evaluated.unionByName(closed, allowMissingColumns=True)

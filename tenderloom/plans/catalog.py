@@ -595,8 +595,9 @@ def replace_if_unchanged(spark, folder):
     """The first delivery of each notice, written by somebody who read content 1 of its year."""
     incoming = X.deliveries(spark, folder)
     firsts = incoming.groupBy("control_number").agg(
-        F.min_by(F.struct("source_payload_hash", "source_updated_at"), "seq").alias("r")
-    ).select("control_number", "r.*")
+        F.min("seq").alias("seq"),
+        F.min_by(F.struct("source_payload_hash", "source_updated_at"), "seq").alias("r"),
+    ).select("control_number", "seq", "r.*")
     year = F.coalesce(F.date_format("source_updated_at", "yyyy"), F.lit("-"))
     tried = firsts.withColumn("expected_hash", F.md5(F.concat(F.lit("1|"), year)))
     following, results = ingest.replace_if_unchanged(tried, X.stored_versions(spark, folder))
@@ -608,6 +609,65 @@ def replace_if_unchanged(spark, folder):
     )
 
 
+@_query(
+    "concurrent_writers",
+    ["deliveries", "stored_versions"],
+    """
+    SELECT * FROM (WITH tried AS (
+      SELECT d.control_number, d.seq, d.h, s.h AS held, d.seq % 2 = 0 AND s.h IS NOT NULL AS may
+      FROM deliveries d LEFT JOIN stored_versions s USING (control_number)),
+    first AS (SELECT control_number, min(seq) AS seq FROM tried WHERE may GROUP BY 1)
+    SELECT s.control_number, coalesce(t.h, s.h) AS source_payload_hash,
+      t.seq AS winner, 1 AS stored_rows
+    FROM stored_versions s LEFT JOIN first f USING (control_number)
+    LEFT JOIN tried t ON t.control_number = f.control_number AND t.seq = f.seq)
+    """,
+)
+def concurrent_writers(spark, folder):
+    """Every delivery of an even part was written by somebody who read what is stored; the first of
+    them wins, the others lose, and no key is stored twice."""
+    stored = X.stored_versions(spark, folder)
+    held = stored.select("control_number", F.col("source_payload_hash").alias("expected_hash"))
+    even = (F.col("seq") % 1_000_000_000) % 2 == 0
+    writers = X.deliveries(spark, folder).join(held, "control_number", "left").withColumn(
+        "expected_hash", F.when(even, F.col("expected_hash")).otherwise(F.lit("something else"))
+    )
+    following, results = ingest.replace_if_unchanged(writers, stored)
+    winners = results.filter("won").select("control_number", F.col("seq").alias("winner"))
+    counted = following.groupBy("control_number").agg(
+        F.min("source_payload_hash").alias("source_payload_hash"), F.count(F.lit(1)).cast("int").alias("stored_rows")
+    )
+    return counted.join(winners, "control_number", "left").select(
+        "control_number", "source_payload_hash", "winner", "stored_rows"
+    )
+
+
+@_query(
+    "two_runs_one_batch",
+    ["raw"],
+    """
+    SELECT control_number, 'Compra de ' || trade AS object_description,
+      CASE WHEN kind <> 15 THEN strftime(day, '%Y-%m-%d 15:00:00') END AS source_updated_at
+    FROM raw WHERE outcome = 'mapped'
+    """,
+)
+def two_runs_one_batch(spark, folder):
+    """Two runs consumed at once: in the later one every notice has new text, undated ones too, and
+    stands on an earlier page. What the later run says is what stays."""
+    raw = X.raw_notices(spark, folder)
+    later = raw.withColumn("payload", F.regexp_replace("payload", "Aquisição de", "Compra de"))
+    sent = None
+    for day, (rows, page) in enumerate([(raw, F.col("page_number") + 500), (later, 500 - F.col("page_number"))]):
+        run = F.timestamp_micros(F.unix_micros(_now()) + day * 86_400_000_000)
+        place = messages.arrival(run, F.col("publication_date"), F.lit(6), F.lit("SP"), page, F.col("o_orderkey"))
+        mapped = mapping.with_change_token(mapping.map_notices(rows).filter(F.col("outcome") == V.MAPPED))
+        one = messages.messages_for(mapped, place)
+        sent = one if sent is None else sent.unionByName(one)
+    arrived = consume.deliveries(consume.read_messages(sent))
+    kept = ingest.last_stored(ingest.verdicts(arrived, hash_covers_time=True))
+    return kept.select("control_number", "object_description", _text("source_updated_at"))
+
+
 @_query(
     "changed_notices",
     ["deliveries", "stored_versions"],
@@ -1061,7 +1121,11 @@ def page_scan(spark, folder):
     ["landed"],
     """
     SELECT control_number, 'Aquisição de ' || trade AS object_description, state,
-      CASE WHEN kind NOT IN (13, 14) THEN CAST(amount AS DOUBLE) END AS estimated_value,
+      CASE WHEN kind NOT IN (13, 14) THEN regexp_replace(amount, '\.?0+$', '') END
+        AS estimated_amount,
+      CASE WHEN kind IN (13, 14) THEN NULL
+        WHEN k % 2003 = 1 THEN repeat('9', 28) || '.' || repeat('9', 10)
+        ELSE regexp_extract(amount, '\d+\.\d\d') || '00000000' END AS estimated_value,
       modality_code, strftime(day, '%Y-%m-%d 03:00:00') AS published_at,
       strftime(day + 1, '%Y-%m-%d 11:00:00') AS proposal_opens_at,
       epoch_us(day + 14 + INTERVAL '20 hours 30 minutes') + 500000 AS closes_micros,
@@ -1073,7 +1137,7 @@ def map_notices(spark, folder):
     mapped = _mapped_pages(spark, folder)
     return mapped.filter(F.col("outcome") == V.MAPPED).select(
         "control_number", "object_description", "state",
-        F.col("estimated_value").cast("double").alias("estimated_value"),
+        "estimated_amount", F.col("estimated_value").cast("string").alias("estimated_value"),
         "modality_code", _text("published_at"), _text("proposal_opens_at"),
         F.unix_micros("proposal_closes_at").alias("closes_micros"), _text("source_updated_at"),
     )
@@ -1283,15 +1347,71 @@ def discovery_results(spark, folder):
     _CHUNK_FACTS.replace("WITH pages", "SELECT * FROM (WITH pages")
     + """
     SELECT 1 AS schema_version, control_number,
-      CASE WHEN kind <> 15 THEN strftime(day, '%Y-%m-%dT15:00:00Z') END AS source_updated_at
+      CASE WHEN kind <> 15 THEN strftime(day, '%Y-%m-%dT15:00:00Z') END AS source_updated_at,
+      '2026-09-22 12:00:00' AS run, CAST(publication_date AS VARCHAR) AS publication_date,
+      modality_code, state, page_number
     FROM landed JOIN chunks USING (publication_date, modality_code, state)
     WHERE outcome = 'mapped' AND failure IS NULL)
     """,
 )
 def discovery_messages(spark, folder):
     return _discovered(spark, folder).messages.select(
-        "schema_version", "control_number", "source_updated_at"
+        "schema_version", "control_number", "source_updated_at",
+        F.col("seq.run").cast("string").alias("run"),
+        F.col("seq.publication_date").cast("string").alias("publication_date"),
+        "seq.modality_code", "seq.state", "seq.page_number",
+    )
+
+
+_AFTER_RUN = """
+    SELECT CAST(publication_date AS VARCHAR) AS publication_date, modality_code, state, failure,
+      failure IS NULL AS completed, CASE WHEN failure IS NULL THEN pages END AS pages_fetched,
+      CASE WHEN failure IS NULL THEN published END AS notices_published, 1 AS attempts,
+      CASE WHEN failure IS NULL THEN '2026-09-22 12:00:00' END AS gap_resolved_at,
+      CASE WHEN failure IS NULL THEN CAST(published AS BIGINT) ELSE 0 END AS messages
+    FROM chunks)
+    """
+
+
+def _stored_run(spark, folder, crash: bool):
+    """Runs that write. With ``crash`` the first one dies between publishing and the ledger."""
+    home = shared_folder(spark, "discovery")
+    owed = X.owed_chunks(spark, folder)
+    gaps = owed.select(
+        "publication_date", "modality_code", "state", "planned_at",
+    ).withColumnRenamed("planned_at", "detected_at").withColumn("resolved_at", F.lit(None).cast("timestamp"))
+    pages = X.landing(spark, folder)
+    if crash:
+        earlier = F.timestamp_micros(F.unix_micros(_now()) - 3_600_000_000)
+        messages.publish(discovery.discover(owed, pages, earlier).messages, f"{home}/messages", 0)
+    discovery.run_and_store(owed, pages, owed, gaps, _now(), home, 1)
+    chunk = ["publication_date", "modality_code", "state"]
+    sent = spark.read.parquet(f"{home}/messages").select(
+        *[F.col(f"seq.{c}").alias(c) for c in chunk], "control_number"
     )
+    per_chunk = sent.distinct().groupBy(*chunk).agg(F.count(F.lit(1)).alias("messages"))
+    resolved = spark.read.parquet(f"{home}/gaps/batch_id=1").select(*chunk, "resolved_at")
+    ledger = spark.read.parquet(f"{home}/ledger/batch_id=1")
+    return ledger.join(resolved, chunk, "left").join(per_chunk, chunk, "left").select(
+        _text("publication_date"), "modality_code", "state", F.col("last_failure").alias("failure"),
+        F.col("completed_at").isNotNull().alias("completed"), "pages_fetched", "notices_published", "attempts",
+        _text("resolved_at", "gap_resolved_at"), F.coalesce("messages", F.lit(0)).cast("bigint").alias("messages"),
+    )
+
+
+@_query("discovery_run", ["raw", "landed"],
+        _CHUNK_FACTS.replace("WITH pages", "SELECT * FROM (WITH pages") + _AFTER_RUN)
+def discovery_run(spark, folder):
+    """A run that publishes, completes its chunks and resolves their gaps."""
+    return _stored_run(spark, folder, crash=False)
+
+
+@_query("discovery_replay", ["raw", "landed"],
+        _CHUNK_FACTS.replace("WITH pages", "SELECT * FROM (WITH pages") + _AFTER_RUN)
+def discovery_replay(spark, folder):
+    """The same after a crash between publishing and the ledger: messages are repeated, none is lost,
+    and every chunk is completed once."""
+    return _stored_run(spark, folder, crash=True)
 
 
 @_query(
@@ -1331,7 +1451,9 @@ _FAULTS = f"""
 
 @_query("message_contract", ["raw"], f"SELECT seq, fault FROM ({_FAULTS})")
 def message_contract(spark, folder):
-    return X.messages(spark, folder).select("seq", messages.contract_fault().alias("fault"))
+    return X.messages(spark, folder).select(
+        F.col("seq.place").alias("seq"), messages.contract_fault().alias("fault")
+    )
 
 
 @_query(
@@ -1350,21 +1472,20 @@ def version_gate(spark, folder):
     return gated.groupBy("schema_version", "fault").agg(F.count(F.lit(1)).alias("messages"))
 
 
-@_query(
-    "quarantine",
-    ["raw"],
-    f"""
+_KEPT_ASIDE = f"""
     SELECT seq, CASE WHEN fault IS NOT NULL THEN fault
       WHEN seq % 97 = 0 THEN 'message version 2 is newer than the 1 this consumer reads'
       WHEN seq % 73 = 0 THEN 'the payload cannot be mapped: notice: the payload is not JSON'
       ELSE 'the payload cannot be mapped: ' || field || ': ' || reason END AS reason
     FROM ({_FAULTS}) JOIN (SELECT k AS seq, field, reason FROM raw) USING (seq)
     WHERE fault IS NOT NULL OR seq % 97 = 0 OR seq % 73 = 0 OR outcome = 'rejected'
-    """,
-)
+    """
+
+
+@_query("quarantine", ["raw"], _KEPT_ASIDE)
 def quarantine(spark, folder):
     return consume.quarantine(consume.read_messages(X.messages(spark, folder))).select(
-        "seq", "reason"
+        F.col("seq.place").alias("seq"), "reason"
     )
 
 
@@ -1378,7 +1499,7 @@ def quarantine(spark, folder):
 )
 def consumed_messages(spark, folder):
     read = consume.read_messages(X.messages(spark, folder))
-    return consume.deliveries(read).select("seq", "control_number")
+    return consume.deliveries(read).select(F.col("seq.place").alias("seq"), "control_number")
 
 
 # Validation -------------------------------------------------------------------------------------
@@ -1547,17 +1668,15 @@ def _publish_deliveries(spark: SparkSession, folder: str, home: str) -> None:
     """Three runs of messages: everything, everything again, then older versions."""
     everything = X.delivery_messages(spark, folder)
     for run in range(3):
-        part = everything.filter(F.floor(F.col("seq") / 10**12) == run)
+        part = everything.filter(F.date_diff(F.col("seq.publication_date"), F.to_date(_now())) == run)
         messages.publish(part, f"{home}/messages", run)
 
 
 _STREAMED = """
-    SELECT outcome, count(*) AS messages FROM (
-      SELECT 'stored' AS outcome FROM raw WHERE outcome = 'mapped'
-      UNION ALL SELECT 'unchanged' FROM raw WHERE outcome = 'mapped'
-      UNION ALL SELECT CASE WHEN kind = 15 THEN 'unchanged' ELSE 'stale' END FROM raw
-        WHERE outcome = 'mapped')
-    GROUP BY outcome
+    SELECT control_number, 0 AS run, 'stored' AS outcome FROM raw WHERE outcome = 'mapped'
+    UNION ALL SELECT control_number, 1, 'unchanged' FROM raw WHERE outcome = 'mapped'
+    UNION ALL SELECT control_number, 2, CASE WHEN kind = 15 THEN 'unchanged' ELSE 'stale' END
+    FROM raw WHERE outcome = 'mapped'
     """
 
 
@@ -1570,7 +1689,39 @@ def stream_ingest(spark, folder):
         source = messages.read_message_stream(spark, f"{home}/messages")
         streaming.start_keyed_ingest(source, home).awaitTermination()
     verdicts = spark.read.parquet(f"{home}/verdicts")
-    return verdicts.groupBy("outcome").agg(F.count(F.lit(1)).alias("messages"))
+    run = F.date_diff(F.col("seq.publication_date"), F.to_date(_now())).alias("run")
+    return verdicts.select("control_number", run, "outcome")
+
+
+@_query(
+    "stream_lateness",
+    ["raw"],
+    """
+    SELECT CAST(count(*) FILTER (age <= 7) AS BIGINT) AS within_7, count(*) AS late,
+      CAST(max(age) AS INTEGER) AS oldest
+    FROM (SELECT date_diff('day', day, DATE '2026-09-22') AS age FROM raw WHERE outcome = 'mapped')
+    WHERE age >= 2
+    """,
+)
+def stream_lateness(spark, folder):
+    """How late the notices stored by the keyed stream came, over all micro-batches."""
+    home = shared_folder(spark, "stream")
+    _publish_deliveries(spark, folder, home)
+    source = messages.read_message_stream(spark, f"{home}/messages", files_per_batch=8)
+    streaming.start_keyed_ingest(source, home, _now()).awaitTermination()
+    return spark.read.parquet(f"{home}/lateness").agg(
+        F.sum("within_7").alias("within_7"), F.sum("late").alias("late"), F.max("oldest").alias("oldest")
+    )
+
+
+@_query("stream_quarantine", ["raw"], _KEPT_ASIDE)
+def stream_quarantine(spark, folder):
+    """What the stream keeps aside, with its reason."""
+    home = shared_folder(spark, "stream")
+    messages.publish(X.messages(spark, folder), f"{home}/messages", 0)
+    source = messages.read_message_stream(spark, f"{home}/messages", files_per_batch=8)
+    streaming.start_quarantine(source, home).awaitTermination()
+    return spark.read.parquet(f"{home}/quarantine").select(F.col("seq.place").alias("seq"), "reason")
 
 
 @_query(

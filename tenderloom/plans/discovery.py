@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom import vocabulary as V
-from tenderloom.operators.coverage import complete_chunks, record_attempts
+from tenderloom.operators.coverage import complete_chunks, record_attempts, resolve_gaps
 from tenderloom.operators.mapping import map_notices, with_change_token
 from tenderloom.plans.sizing import fits
 from tenderloom.schemas import LEDGER_KEY
 from tenderloom.sources.landing import CHUNK, open_pages, page_notices
-from tenderloom.sources.messages import messages_for
+from tenderloom.sources.messages import arrival, messages_for, publish
+from tenderloom.sources.tables import write_batch
 
 
 @dataclass(frozen=True)
@@ -30,12 +32,35 @@ class DiscoveryRun:
         return complete_chunks(record_attempts(ledger, self.attempts), self.results)
 
 
-def discover(owed: DataFrame, pages: DataFrame, now: Column) -> DiscoveryRun:
+def run_and_store(
+    owed: DataFrame, pages: DataFrame, ledger: DataFrame, gaps: DataFrame, now: Column, home: str, run: int
+) -> DiscoveryRun:
+    """One run, written: the mapped notices once, then the messages, then the ledger, then the gaps
+    that it settles. Each table has a folder for the run, which a repeated run replaces, so a crash
+    anywhere is mended by running again; until the ledger is written the chunks are owed as before."""
+    spark = ledger.sparkSession
+
+    def once(rows: DataFrame) -> DataFrame:
+        write_batch(rows, f"{home}/mapped", run)
+        return spark.read.schema(rows.schema).parquet(f"{home}/mapped/batch_id={run}")
+
+    found = discover(owed, pages, now, keep=once)
+    publish(found.messages, f"{home}/messages", run)
+    write_batch(found.next_ledger(ledger), f"{home}/ledger", run)
+    following = spark.read.schema(ledger.schema).parquet(f"{home}/ledger/batch_id={run}")
+    write_batch(resolve_gaps(gaps, following), f"{home}/gaps", run)
+    return found
+
+
+def discover(
+    owed: DataFrame, pages: DataFrame, now: Column, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> DiscoveryRun:
     """Work the owed chunks (ledger rows) from the pages landed for them.
 
     A chunk publishes all of its mapped notices or nothing. It fails when a page cannot be read,
     when every notice of a page is rejected, when a page is missing, or when nothing landed; other
-    chunks go on. Returned tables share ``mapped``, which is worth keeping (``persist``).
+    chunks go on. Returned tables share ``mapped``; ``keep`` may store it, so that pages are read and
+    mapped once.
     """
     chunks = owed.select(*LEDGER_KEY)
     asked = chunks.select(*CHUNK).distinct()
@@ -46,6 +71,7 @@ def discover(owed: DataFrame, pages: DataFrame, now: Column) -> DiscoveryRun:
     origin = {"modality_code": "chunk_modality", "state": "chunk_state"}
     page = ["publication_date", "chunk_modality", "chunk_state", "page_number"]
     rows = map_notices(page_notices(opened, keep_pages=True).withColumnsRenamed(origin))
+    rows = rows if keep is None else keep(rows)
     mapped = rows.filter(F.col("payload").isNotNull()).drop("page_failure", "total_pages")
 
     # Page counts first, then chunk counts, so that a chunk with very many pages spreads out.
@@ -105,17 +131,7 @@ def discover(owed: DataFrame, pages: DataFrame, now: Column) -> DiscoveryRun:
     if few:
         settled = F.broadcast(settled)
     publishable = mapped.filter(F.col("outcome") == V.MAPPED).join(settled, page[:-1], "left_semi")
-    messages = messages_for(with_change_token(publishable), arrival_number())
+    place = arrival(now, *[F.col(c) for c in page], F.col("position"))
+    messages = messages_for(with_change_token(publishable), place)
     return DiscoveryRun(messages, results, attempts, mapped)
 
-
-def arrival_number() -> Column:
-    """A number no two notices of a run share: day, modality, state, page and place, as digits."""
-    state = F.array_position(F.array(*[F.lit(s) for s in V.STATES]), F.col("chunk_state"))
-    return (
-        F.unix_date("publication_date").cast("bigint") * F.lit(10**14)
-        + F.pmod("chunk_modality", F.lit(100)) * F.lit(10**12)
-        + state * F.lit(10**10)
-        + F.col("page_number") * F.lit(10**4)
-        + F.col("position")
-    )

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderloom import vocabulary as V
+from tenderloom.functions.values import plain_number
 from tenderloom.operators.rules import instant
+from tenderloom.sources.messages import arrival
 
 EVALUATED_AT = datetime(2026, 9, 22, 12, 0, 0)
 MODALITIES = {4: "Concorrência", 6: "Pregão", 8: "Dispensa"}
@@ -54,15 +56,15 @@ def notices(spark: SparkSession, folder: str) -> DataFrame:
         + (key % 24) * F.lit(3_600_000_000)
     )
     code = modality_code(F.col("o_orderpriority"))
+    amount = F.when(key % 7 != 0, F.col("o_totalprice").cast("decimal(18,2)"))
     return joined.select(
         key.cast("string").alias("control_number"),
         F.concat(F.lit("Aquisição de "), text, F.lit(" ("), F.lower("c_mktsegment"), F.lit(")")).alias(
             "object_description"
         ),
         pick(V.STATES, F.col("c_nationkey")).alias("state"),
-        F.when(key % 7 != 0, F.col("o_totalprice").cast("decimal(18,2)")).cast(
-            "decimal(38,10)"
-        ).alias("estimated_value"),
+        amount.cast("decimal(38,10)").alias("estimated_value"),
+        plain_number(amount).alias("estimated_amount"),
         code.alias("modality_code"),
         F.when(code == 4, MODALITIES[4]).when(code == 6, MODALITIES[6]).otherwise(MODALITIES[8])
         .alias("modality_name"),
@@ -314,7 +316,12 @@ def raw_notices(spark: SparkSession, folder: str) -> DataFrame:
     stamp = lambda shift, clock: _quoted(
         F.concat(F.date_format(F.date_add(day, shift), "yyyy-MM-dd"), F.lit(f"T{clock}"))
     )
-    amount = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    # Some amounts have more decimals, or more digits, than a money column holds.
+    amount = F.concat(
+        F.when(key % 2003 == 1, F.lit("900000000000000000000000")).otherwise(F.lit("")),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+        F.when((key % 29 == 1) & (key % 2003 != 1), F.lit("0000000007")).otherwise(F.lit("")),
+    )
     null = F.lit("null")
     fields = [
         F.when(kind != 0, _field("numeroControlePNCP", _quoted(F.concat(F.lit("C-"), key.cast("string"))))),
@@ -426,11 +433,18 @@ def owed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _arrival(place: Column, run: Column | None = None) -> Column:
+    """A place in the runs of consecutive days, the first of them at the time of evaluation."""
+    day = F.lit(0) if run is None else run
+    at = F.timestamp_micros(F.unix_micros(instant(EVALUATED_AT)) + day * F.lit(86_400_000_000))
+    return arrival(at, F.to_date(at), F.lit(6), F.lit("SP"), F.lit(1), place)
+
+
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """Raw notices as messages, some of a newer version, some breaking the contract."""
     key = F.col("o_orderkey")
     return raw_notices(spark, folder).select(
-        key.cast("bigint").alias("seq"),
+        _arrival(key).alias("seq"),
         F.when(key % 97 == 0, 2).when(key % 89 == 0, 0).otherwise(1).alias("schema_version"),
         F.when(key % 83 != 0, F.concat(F.lit("C-"), key.cast("string"))).alias("control_number"),
         F.when(key % 79 == 0, " ").otherwise(F.md5("payload")).alias("content_hash"),
@@ -450,7 +464,7 @@ def delivery_messages(spark: SparkSession, folder: str) -> DataFrame:
     copies = raw.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("copy"))
     older = F.regexp_replace("payload", "T12:00:00", "T06:00:00")
     return copies.select(
-        (F.col("copy") * F.lit(10**12) + F.col("o_orderkey")).cast("bigint").alias("seq"),
+        _arrival(F.col("o_orderkey"), F.col("copy")).alias("seq"),
         F.lit(1).alias("schema_version"),
         F.concat(F.lit("C-"), F.col("o_orderkey").cast("string")).alias("control_number"),
         F.lit("unused").alias("content_hash"),

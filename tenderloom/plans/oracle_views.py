@@ -385,7 +385,10 @@ _view(
         CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 6 ELSE 8 END
           AS modality_code,
         {_STATES}[c_nationkey + 1] AS state, lower(c_mktsegment) AS trade,
-        CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
+        CASE WHEN o_orderkey % 2003 = 1 THEN '900000000000000000000000' ELSE '' END
+          || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)
+          || CASE WHEN o_orderkey % 29 = 1 AND o_orderkey % 2003 <> 1 THEN '0000000007' ELSE '' END
+          AS amount,
         CAST(o_orderkey // 2000 + 1 AS INTEGER) AS page_number
       FROM orders JOIN customer ON o_custkey = c_custkey)
     """,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Amounts are kept as exact text; ranges are tested on this type, where a value is cut, never rejected.
 MONEY = T.DecimalType(38, 10)
 
 NOTICES = T.StructType(
@@ -12,6 +13,7 @@ NOTICES = T.StructType(
         T.StructField("object_description", T.StringType(), False),
         T.StructField("state", T.StringType(), False),
         T.StructField("estimated_value", MONEY),
+        T.StructField("estimated_amount", T.StringType()),
         T.StructField("modality_code", T.IntegerType(), False),
         T.StructField("modality_name", T.StringType(), False),
         T.StructField("published_at", T.TimestampType(), False),
@@ -60,9 +62,21 @@ FEEDBACK = T.StructType(
     ]
 )
 
+# Where a message stands among all ever published: compared field by field, in this order.
+ARRIVAL = T.StructType(
+    [
+        T.StructField("run", T.TimestampType()),
+        T.StructField("publication_date", T.DateType()),
+        T.StructField("modality_code", T.IntegerType()),
+        T.StructField("state", T.StringType()),
+        T.StructField("page_number", T.IntegerType()),
+        T.StructField("place", T.LongType()),
+    ]
+)
+
 MESSAGES = T.StructType(
     [
-        T.StructField("seq", T.LongType(), False),
+        T.StructField("seq", ARRIVAL, False),
         T.StructField("schema_version", T.IntegerType()),
         T.StructField("control_number", T.StringType()),
         T.StructField("content_hash", T.StringType()),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,12 +51,17 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; only where that is unset, as
-    in a local test, does a machine-local folder stand in for it.
+    The cluster names its shared folder in ``spark.checkpoint.dir``; only where that is unset and
+    driver and executors are one process does a machine-local folder stand in for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(
+                f"spark.checkpoint.dir must name a folder all executors share, as master is {master}"
+            )
         base = tempfile.mkdtemp(prefix="tenderloom-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

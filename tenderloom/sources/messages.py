@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from tenderloom import vocabulary as V
 from tenderloom.functions.text import is_blank
 from tenderloom.functions.times import instant_text, is_canonical_instant
-from tenderloom.schemas import MESSAGES
+from tenderloom.schemas import ARRIVAL, MESSAGES
+
+
+def arrival(
+    run: Column, day: Column, modality: Column, state: Column, page: Column, place: Column
+) -> Column:
+    """Place of a message among all: its run comes first, so what a later run says is newer."""
+    parts = zip(ARRIVAL.fields, (run, day, modality, state, page, place))
+    return F.struct(*[part.cast(field.dataType).alias(field.name) for field, part in parts])
 
 
 def messages_for(notices: DataFrame, seq: Column, payload: str = "payload") -> DataFrame:
     """One message per mapped notice, at the current version."""
     return notices.select(
-        seq.cast("bigint").alias("seq"),
+        seq.alias("seq"),
         F.lit(V.MESSAGE_VERSION).alias("schema_version"),
         "control_number",
         F.col("source_payload_hash").alias("content_hash"),

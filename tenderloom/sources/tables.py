@@ -54,8 +54,12 @@ def find(rows: DataFrame, **equals: str) -> DataFrame:
 
 def upsert(rows: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Next state of a table whose key is derived from its content, such as matches: an incoming
-    row takes the place of the stored one. One incoming row per key."""
-    return rows.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+    row takes the place of the stored one. Of several incoming rows of a key one is stored, the
+    greatest by its columns from left to right."""
+    rest = [c for c in incoming.columns if c != key]
+    one = incoming.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row"))
+    one = one.select(key, "_row.*").select(*rows.columns)
+    return rows.join(one.select(key), key, "left_anti").unionByName(one)
 
 
 def feedback_events(match_ids: DataFrame, verdict: Column, given_at: Column) -> DataFrame:
@@ -74,8 +78,3 @@ def latest_verdicts(feedback: DataFrame) -> DataFrame:
         F.max(F.struct("given_at", "feedback_id", "verdict")).alias("_last")
     ).select("match_id", "_last.verdict", "_last.given_at")
 
-
-def write_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Store a table pre-shuffled and sorted on its join key, so that joins of two such tables
-    (notices and enrichments on the control number) move nothing."""
-    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

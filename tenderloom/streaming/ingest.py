@@ -7,6 +7,7 @@ late a message is gets counted, never used to drop it. There is no watermark for
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tenderloom.operators.consume import deliveries, quarantine, read_messages
 from tenderloom.operators.ingest import HASH, KEY, TIME, last_stored, verdicts_against
 from tenderloom.operators.reports import lateness
-from tenderloom.schemas import NOTICES
+from tenderloom.schemas import ARRIVAL, NOTICES
 from tenderloom.sources.tables import current_rows, read_batches, write_batch
 from tenderloom.vocabulary import STALE, STORED, UNCHANGED
 
@@ -27,6 +28,14 @@ _STATE = T.StructType(
 )
 
 
+def _place(arrival: Any) -> tuple:
+    """An arrival as something to sort by: a number, or fields compared one by one, nulls first."""
+    if hasattr(arrival, "asDict"):
+        arrival = arrival.asDict()
+    parts = arrival.values() if isinstance(arrival, dict) else [arrival]
+    return tuple((part is not None, part) for part in parts)
+
+
 def _decide(
     _key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
@@ -34,7 +43,8 @@ def _decide(
     stored = state.getOption
     stored_hash, stored_time = stored if stored else (None, None)
     # A micro-batch is bounded by the source's trigger limits.
-    rows = pd.concat(list(batches)).sort_values("seq", ignore_index=True)
+    rows = pd.concat(list(batches), ignore_index=True)
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: _place(rows["seq"].iat[i]))]
     times = rows[TIME].astype(object).where(rows[TIME].notna(), None)
     outcomes = []
     for new_hash, new_time in zip(rows[HASH], times):
@@ -68,16 +78,23 @@ def stream_deliveries(messages: DataFrame) -> DataFrame:
     return deliveries(read_messages(messages))
 
 
-def start_keyed_ingest(messages: DataFrame, folder: str, **trigger) -> StreamingQuery:
+def start_keyed_ingest(
+    messages: DataFrame, folder: str, now: Column | None = None, **trigger
+) -> StreamingQuery:
     """Ingest with the state store holding the stored hash and time of every notice.
 
     Nothing is read back from the tables, so a micro-batch costs what it carries. Each micro-batch
-    writes its verdicts under its own id and replaces them when replayed after a failure.
+    writes its verdicts, and how late what it stored came, under its own id and replaces them when
+    replayed after a failure.
     """
     decided = keyed_verdicts(stream_deliveries(messages))
+    seen_at = F.current_timestamp() if now is None else now
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, f"{folder}/verdicts", batch_id)
+        kept = batch.persist()
+        write_batch(lateness(kept.filter(F.col("outcome") == STORED), seen_at), f"{folder}/lateness", batch_id)
+        write_batch(kept, f"{folder}/verdicts", batch_id)
+        kept.unpersist()
 
     return (
         decided.writeStream.foreachBatch(sink)
@@ -112,7 +129,7 @@ def start_batch_ingest(
     crash in between is replayed and finds the table as it was.
     """
     seen_at = F.current_timestamp() if now is None else now
-    layout = T.StructType([T.StructField("seq", T.LongType()), *NOTICES.fields])
+    layout = T.StructType([T.StructField("seq", ARRIVAL), *NOTICES.fields])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -147,7 +164,7 @@ def keyed_notices(spark, folder: str) -> DataFrame:
     """The notices table as the keyed ingest left it: the last stored delivery of every number."""
     layout = T.StructType(
         [
-            T.StructField("seq", T.LongType()),
+            T.StructField("seq", ARRIVAL),
             *NOTICES.fields,
             T.StructField("outcome", T.StringType()),
         ]
@@ -158,7 +175,7 @@ def keyed_notices(spark, folder: str) -> DataFrame:
 
 def current_notices(spark, folder: str) -> DataFrame:
     """The notices table the batch ingest maintains."""
-    layout = T.StructType([T.StructField("seq", T.LongType()), *NOTICES.fields])
+    layout = T.StructType([T.StructField("seq", ARRIVAL), *NOTICES.fields])
     versions = read_batches(spark, f"{folder}/versions", layout)
     return current_rows(versions, KEY, ["batch_id", "seq"]).select(*NOTICES.fieldNames())
 

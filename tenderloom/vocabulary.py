@@ -137,6 +137,3 @@ NO_OPENING = (
 )
 CLOSES_FIRST = "the proposal window closes before it opens: %s then %s"
 EMPTY_BODY = "<empty body>"
-
-# Ours: a value with more than ten decimals does not fit the money column and is reported.
-TOO_PRECISE = "more precise than ten decimals or too large: "

@@ -46,6 +46,7 @@ def make(spark):
                     object_description="Aquisição de computadores e material de informática",
                     state="SP",
                     estimated_value=None,
+                    estimated_amount=None,
                     modality_code=6,
                     modality_name="Pregão",
                     published_at=dt.datetime(2026, 9, 1),

@@ -18,7 +18,11 @@ from tests.test_mapping import GONE, notice
 
 def message(seq, payload, version=1, control="c", stamp=None):
     body = payload if isinstance(payload, str) else json.dumps(payload)
-    return (seq, version, control, "h", stamp, body)
+    return (place(seq), version, control, "h", stamp, body)
+
+
+def place(n):
+    return (dt.datetime(2026, 9, 1), dt.date(2026, 9, 1), 6, "SP", 1, n)
 
 
 def test_stream_and_replay(spark, tmp_path):
@@ -44,12 +48,12 @@ def test_stream_and_replay(spark, tmp_path):
     publish(first, 0)
     run()
     verdicts = lambda: sorted(
-        (r.seq, r.outcome) for r in spark.read.parquet(f"{home}/verdicts").collect()
+        (r.seq.place, r.outcome) for r in spark.read.parquet(f"{home}/verdicts").collect()
     )
     assert verdicts() == [(1, "stored"), (2, "unchanged"), (3, "stale"), (4, "stored")]
     kept = spark.read.parquet(f"{home}/quarantine").collect()
-    assert sorted(r.seq for r in kept) == [5, 6] and all(r.reason and r.raw_payload for r in kept)
-    publish([(r[0] + 10, *r[1:]) for r in first], 1)
+    assert sorted(r.seq.place for r in kept) == [5, 6] and all(r.reason and r.raw_payload for r in kept)
+    publish([(place(r[0][-1] + 10), *r[1:]) for r in first], 1)
     run()
     assert [o for s, o in verdicts() if s > 10] == ["unchanged", "unchanged", "stale", "unchanged"]
     current = streaming.current_notices(spark, f"{home}/b").collect()
@@ -70,8 +74,8 @@ def test_message_contract(spark):
             message(4, good, stamp=""), message(5, good, stamp="2026-09-01T17:22:01.5Z"),
             message(6, good, stamp="2026-09-01T17:22:01Z"), message(7, notice(objetoCompra=GONE))]
     read = consume.read_messages(spark.createDataFrame(rows, MESSAGES))
-    assert sorted(r.seq for r in consume.quarantine(read).collect()) == [1, 2, 3, 4, 5, 7]
-    assert [r.seq for r in consume.deliveries(read).collect()] == [6]
+    assert sorted(r.seq.place for r in consume.quarantine(read).collect()) == [1, 2, 3, 4, 5, 7]
+    assert [r.seq.place for r in consume.deliveries(read).collect()] == [6]
 
 
 def test_a_failed_chunk_publishes_nothing(spark):

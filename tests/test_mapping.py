@@ -93,11 +93,18 @@ def test_first_failed_check_decides(mapped):
 
 def test_values_keep_their_digits(mapped):
     raw = json.dumps(notice(valorTotalEstimado="@"))
-    texts = ["1234567890123456789012345678.1234567891", "1e4", "0.12345678912", "1e-12", "10.500"]
+    texts = ["1234567890123456789012345678.1234567891", "1e4", "0.12345678912", "1e-12", "10.500", "1" * 30 + ".25", "1e30"]
     rows = mapped(*[raw.replace('"@"', t) for t in texts]).orderBy("n").collect()
-    assert [r.outcome for r in rows] == ["mapped", "mapped", "rejected", "rejected", "mapped"]
-    assert [str(r.estimated_value) for r in rows if r.estimated_value is not None] == [
-        "1234567890123456789012345678.1234567891", "10000.0000000000", "10.5000000000"
+    assert [r.outcome for r in rows] == ["mapped"] * 7
+    assert [r.estimated_amount for r in rows] == [
+        "1234567890123456789012345678.1234567891", "10000", "0.12345678912", "1.0E-12", "10.5",
+        "1" * 30 + ".25", "1.0E30",
+    ]
+    # For range tests the value is cut, or the greatest there is.
+    most = "9" * 28 + "." + "9" * 10
+    assert [str(r.estimated_value) for r in rows] == [
+        "1234567890123456789012345678.1234567891", "10000.0000000000", "0.1234567891", "0E-10",
+        "10.5000000000", most, most,
     ]
 
 
