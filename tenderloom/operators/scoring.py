@@ -39,10 +39,7 @@ from tenderloom.plans.sizing import BROADCAST_ROWS, fits
 
 # Evidence a pair can show besides the deadline, which every open notice has.
 _EVIDENCE = [V.KEYWORD, V.SEGMENT, V.ESTIMATED_VALUE, V.STATE]
-# Copies of the profile keys, and slices of the notices, when the keys are too many to broadcast:
-# spreads a key that a large share of all notices carries.
-SALTS = 32
-# Distinct keyword words up to which notices are reduced to them before the join.
+# Distinct keyword words that may be named in a plan.
 VOCABULARY_WORDS = 10_000
 
 _NOTICE_COLUMNS = [
@@ -173,21 +170,10 @@ def _with_notice_evidence(notices: DataFrame, odd: bool) -> DataFrame:
     )
 
 
-def _only_keyword_words(notices: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Notices reduced to the words that occur in any keyword, when those are few enough to be
-    named in the plan. Long texts then carry a handful of words instead of thousands."""
-    vocabulary = (
-        profiles.select(F.explode("keyword_words").alias("word"))
-        .distinct()
-        .limit(VOCABULARY_WORDS + 1)
-        .collect()
-    )
-    if len(vocabulary) > VOCABULARY_WORDS:
-        return notices
-    known = [r["word"] for r in vocabulary]
-    return notices.withColumn(
-        "object_words", F.filter("object_words", lambda w: w.isin(known))
-    )
+def _only_words(notices: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Notices reduced to some words, so that long texts carry a handful instead of thousands."""
+    known = [r["word"] for r in vocabulary.collect()]
+    return notices.withColumn("object_words", F.filter("object_words", lambda w: w.isin(known)))
 
 
 def _notice_keys(used: list[tuple[str, ...]]) -> Column:
@@ -250,18 +236,18 @@ def _needs(combination: tuple[str, ...], needed: dict[int, list[tuple[str, ...]]
 
 def candidate_pairs(
     notices: DataFrame, profiles: DataFrame, weights: dict[str, int],
-    broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Prepared notices and profiles side by side, once for each pair that can reach the profile's
     ``floor_score``.
 
-    A pair may share several keys. It is kept at the first combination it shows, and there at the
-    smallest word, which the two rows tell without a shuffle. With few profile keys these are
-    broadcast and the notices never move; otherwise both sides are shuffled on the key and a salt,
-    and the profile rows follow by their id.
+    A pair may share several keys. With few profile keys and words these go to the notices, which never
+    move; a pair is kept at the first combination it shows, and there at the smallest word, which the
+    two rows tell without a shuffle. Otherwise keys meet as narrow rows of ids, a key that many notices
+    carry is split by Spark at run time, pairs are made distinct, and only then profile and text join
+    them; the text never leaves the place it has by control number. Both ways return the same pairs.
     """
     profiles = _with_profile_evidence(profiles)
-    notices = _only_keyword_words(notices, profiles)
     # At most 101 different thresholds exist.
     facts = profiles.agg(
         F.collect_set(F.greatest(F.least("floor_score", F.lit(100)), F.lit(0))).alias("thresholds"),
@@ -280,22 +266,27 @@ def candidate_pairs(
     wanted = profiles.select(
         "profile_id", F.explode_outer(F.array_distinct(keys)).alias("evidence_key")
     )
-    shown = _with_notice_evidence(notices, bool(facts["odd"])).withColumn(
+    vocabulary = profiles.select(F.explode("keyword_words").alias("word")).distinct()
+    odd = bool(facts["odd"])
+    small = F.broadcast(profiles) if fits(profiles, broadcast_rows // 10) else profiles
+    if not (fits(vocabulary, min(broadcast_rows, VOCABULARY_WORDS)) and fits(wanted, broadcast_rows)):
+        shown = _with_notice_evidence(notices, odd).select(
+            "control_number", F.explode_outer(_notice_keys(used)).alias("_shown")
+        )
+        ids = (
+            shown.select("control_number", "_shown.evidence_key")
+            .join(wanted.hint("merge"), "evidence_key")
+            .select("control_number", "profile_id")
+            .distinct()
+        )
+        return ids.join(small, "profile_id").join(notices, "control_number").drop("wanted_words")
+    shown = _with_notice_evidence(_only_words(notices, vocabulary), odd).withColumn(
         "_shown", F.explode_outer(_notice_keys(used))
     ).select("*", "_shown.combination", "_shown.word", "_shown.evidence_key").drop("_shown")
-    if fits(wanted, broadcast_rows):
-        pairs = shown.join(F.broadcast(wanted), "evidence_key")
-    else:
-        salt = F.pmod(F.xxhash64("control_number"), F.lit(salts)).cast("int")
-        copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = shown.withColumn("salt", salt).join(
-            copies.hint("merge"), ["evidence_key", "salt"]
-        ).drop("salt")
-    if fits(profiles, broadcast_rows // 10):
-        profiles = F.broadcast(profiles)
     smallest_word = F.array_min(F.array_intersect("shown_words", "wanted_words"))
     return (
-        pairs.join(profiles, "profile_id")
+        shown.join(F.broadcast(wanted), "evidence_key")
+        .join(small, "profile_id")
         .filter(
             (F.col("combination") == _first_shown(used, needed))
             & (F.col("word").isNull() | (F.col("word") == smallest_word))

@@ -12,20 +12,13 @@ from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from check_oracles import compare, connect  # noqa: E402
 from tenderloom.plans.catalog import CATALOG  # noqa: E402
 
-# Covered by the streaming tests, or a thin layer over another query here.
-ELSEWHERE = {
-    "stream_ingest", "stream_batch_ingest", "matches_of_profile", "match_upsert",
-    "latest_feedback", "run_report", "discovery_results", "mapping_outcomes",
-    "not_biddable_notices", "evidence_coverage",
-}
-
 
 @pytest.fixture(scope="module")
 def db():
     return connect(str(FOLDER))
 
 
-@pytest.mark.parametrize("name", [n for n in CATALOG if n not in ELSEWHERE])
+@pytest.mark.parametrize("name", list(CATALOG))
 def test_query_agrees_with_sql(spark, db, name):
     df = queries()[name](spark, str(FOLDER))
     result = db.execute(oracle_sql()[name])
