@@ -98,9 +98,11 @@ def unmeasured(observed: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def volume_profile(
-    observed: DataFrame, scope: DataFrame, lookback: int, peak: float = V.PEAK_MULTIPLIER
+    observed: DataFrame, scope: DataFrame, lookback: int, peak: float = V.PEAK_MULTIPLIER,
+    by: list[str] = (),
 ) -> DataFrame:
-    """Pages of a day, of a run and of the largest chunk, on average and at peak.
+    """Pages of a day, of a run and of the largest chunk, on average and at peak, over the scope or
+    for each value of ``by``.
 
     A run fetches the lookback and the day itself. An unmeasured scope fails the job.
     """
@@ -109,15 +111,16 @@ def volume_profile(
         F.col("pages_per_day"),
         F.raise_error(
             F.concat(
-                F.lit("no page volume was ever observed for modality "),
+                F.lit("pages of modality "),
                 F.col("modality_code").cast("string"),
                 F.lit(" in "),
                 F.col("state"),
+                F.lit(" have not been measured, so their volume is unknown"),
             )
         ).cast("double"),
     )
     per_day = F.sum(pages)
-    return measured.agg(
+    return measured.groupBy(*by).agg(
         per_day.alias("pages_per_day"),
         (per_day * (lookback + 1)).alias("pages_per_run"),
         (per_day * (lookback + 1) * peak).alias("peak_pages_per_run"),

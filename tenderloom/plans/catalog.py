@@ -483,6 +483,28 @@ def feedback_precision(spark, folder):
     return reports.feedback_precision(X.feedback(spark, folder, matched), matched)
 
 
+@_query(
+    "feedback_appended",
+    ["matched"],
+    """
+    SELECT match_id, 2 AS events, 2 AS ids, 'NOT_RELEVANT' AS last_verdict FROM matched
+    """,
+)
+def feedback_appended(spark, folder):
+    """Two judgements of every match, the second taking the first back: both stay on record."""
+    home = shared_folder(spark, "feedback")
+    ids = _matched(spark, folder).select("match_id")
+    for hours, verdict in enumerate(["RELEVANT", "NOT_RELEVANT"]):
+        given = F.timestamp_micros(F.unix_micros(_now()) + hours * 3_600_000_000)
+        tables.write_batch(tables.feedback_events(ids, F.lit(verdict), given), home, hours)
+    events = spark.read.parquet(home)
+    counted = events.groupBy("match_id").agg(
+        F.count(F.lit(1)).cast("int").alias("events"), F.count_distinct("feedback_id").cast("int").alias("ids")
+    )
+    last = tables.latest_verdicts(events).select("match_id", F.col("verdict").alias("last_verdict"))
+    return counted.join(last, "match_id")
+
+
 @_query(
     "latest_feedback",
     ["matched"],
@@ -1046,6 +1068,40 @@ def volume_profile(spark, folder):
     return reports.volume_profile(observed, scope, lookback=3)
 
 
+_PAGES = """
+    SELECT state, modality_code, ceil(count(*) / 10.0) / CAST(34 AS DOUBLE) AS pages
+      FROM chunk_events GROUP BY ALL
+    """
+
+
+@_query(
+    "volume_per_state",
+    ["chunk_events"],
+    f"""
+    SELECT state, sum(pages) AS pages_per_day, sum(pages) * 4 AS pages_per_run,
+      sum(pages) * 4 * CAST(1.44 AS DOUBLE) AS peak_pages_per_run,
+      max(pages) * CAST(1.44 AS DOUBLE) AS peak_pages_of_largest_chunk
+    FROM ({_PAGES}) GROUP BY state
+    """,
+)
+def volume_per_state(spark, folder):
+    """The volume of every measured state."""
+    observed = reports.observed_pages(X.attempt_log(spark, folder), page_size=10, days=34)
+    scope = observed.select("state", "modality_code")
+    return reports.volume_profile(observed, scope, lookback=3, by=["state"])
+
+
+@_query(
+    "national_pages",
+    ["chunk_events"],
+    f"SELECT sum(pages) * CAST(6.0 AS DOUBLE) * 4 AS pages_per_run FROM ({_PAGES}) WHERE state = 'SP'",
+)
+def national_pages(spark, folder):
+    """The whole country, estimated from its best-measured state."""
+    observed = reports.observed_pages(X.attempt_log(spark, folder), page_size=10, days=34)
+    return reports.national_pages(observed.filter("state = 'SP'"), lookback=3)
+
+
 @_query(
     "observed_pages",
     ["chunk_events"],
@@ -1272,6 +1328,25 @@ def range_scan_every_state(spark, folder):
     return found.groupBy("state").agg(F.count(F.lit(1)).alias("notices"))
 
 
+@_query(
+    "landed_range",
+    ["raw"],
+    """
+    SELECT DISTINCT CAST(publication_date AS VARCHAR) AS publication_date, modality_code, state, page_number
+    FROM raw WHERE publication_date BETWEEN DATE '2023-01-01' AND DATE '2025-01-01'
+      AND modality_code IN (4, 8) AND state IN ('SP', 'RJ', 'BA')
+    """,
+)
+def landed_range(spark, folder):
+    """The range of a stored landing table, whose other folders are never listed."""
+    home = shared_folder(spark, "landing")
+    landing.write_landing(X.landing(spark, folder), home)
+    found = landing.scan_range(
+        landing.read_landing(spark, home), date(2023, 1, 1), date(2025, 1, 1), [4, 8], ["SP", "RJ", "BA"]
+    )
+    return found.select(_text("publication_date"), "modality_code", "state", "page_number")
+
+
 @_query(
     "chunk_scan",
     ["raw"],

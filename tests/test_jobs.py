@@ -121,7 +121,7 @@ def test_volume(spark):
     assert reports.national_pages(observed, 2).first()[0] == pytest.approx(1396.29, abs=0.01)
     other = spark.createDataFrame([("RJ", 6)], "state string, modality_code int")
     assert reports.unmeasured(observed, other).count() == 1
-    with pytest.raises(Exception, match="no page volume was ever observed for modality 6 in RJ"):
+    with pytest.raises(Exception, match="pages of modality 6 in RJ have not been measured"):
         reports.volume_profile(observed, other, 3).collect()
 
 
