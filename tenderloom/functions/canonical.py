@@ -19,9 +19,15 @@ def _refuse(constant: str):
 _DECODER = json.JSONDecoder(parse_float=Decimal, parse_int=Decimal, parse_constant=_refuse)
 
 
+# Digits of a number beyond which a payload is taken for broken.
+_MOST_DIGITS = 20_000
+
+
 def _number(value: Decimal) -> str:
     if not value:
         return "0"
+    if abs(value.adjusted()) > _MOST_DIGITS:
+        raise ValueError("a number too long to write out")
     text = format(value, "f")
     return text.rstrip("0").rstrip(".") if "." in text else text
 
@@ -51,7 +57,7 @@ def _token(payload: str | None) -> str | None:
     try:
         node, _ = _DECODER.raw_decode((payload or "").lstrip(" \t\r\n"))
         return hashlib.sha256(_render(node).encode("utf-8", "replace")).hexdigest()
-    except (ValueError, RecursionError):
+    except (ValueError, ArithmeticError, RecursionError):
         return None
 
 

@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tenderloom.operators import consume, enrich, reports, validate
+from tenderloom.operators import consume, enrich, ingest, reports, validate
 from tenderloom.plans.discovery import discover
 from tenderloom.schemas import LANDING, LEDGER, MESSAGES
+from tenderloom.session import shared_folder
 from tenderloom.sources import messages, tables
 from tenderloom.streaming import ingest as streaming
 from tests.test_coverage import chunk, day
@@ -78,6 +79,41 @@ def test_message_contract(spark):
     assert [r.seq.place for r in consume.deliveries(read).collect()] == [6]
 
 
+def test_a_payload_without_a_hash_is_kept_aside(spark):
+    endless = json.dumps(notice())[:-1] + ', "x": 1e99999}'
+    read = consume.read_messages(spark.createDataFrame([message(1, endless), message(2, notice())], MESSAGES))
+    assert [r.seq.place for r in consume.deliveries(read).collect()] == [2]
+    kept = consume.quarantine(read).collect()
+    assert [(r.seq.place, r.reason) for r in kept] == [(1, "the payload has no content hash")]
+
+
+def test_scratch_is_shared_on_a_cluster():
+    class Conf(dict):
+        def getConf(self):
+            return self
+
+    def session(master, folder=None):
+        context = Conf({"spark.checkpoint.dir": folder} if folder else {})
+        context.master = master
+        return type("Session", (), {"conf": Conf(), "sparkContext": context})()
+
+    with pytest.raises(ValueError, match="all executors share"):
+        shared_folder(session("spark://host:7077"), "x")
+    assert shared_folder(session("spark://host:7077", "hdfs:///tmp/"), "x").startswith("hdfs:///tmp/x-")
+    assert "tenderloom-" in shared_folder(session("local[4]"), "x")
+
+
+def test_later_runs_are_newer(spark):
+    runs = [dt.datetime(2026, 9, 1), dt.datetime(2026, 9, 2)]
+    rows = []
+    for run, page, text in zip(runs, (2, 1), ("old", "new")):
+        body = json.dumps(notice(objetoCompra=text, dataAtualizacaoGlobal=GONE))
+        rows.append(((run, dt.date(2026, 9, 1), 106, "SP", page, 0), 1, "c", "h", None, body))
+    arrived = consume.deliveries(consume.read_messages(spark.createDataFrame(rows[::-1], MESSAGES)))
+    kept = ingest.last_stored(ingest.verdicts(arrived, hash_covers_time=True, blocks=2)).collect()
+    assert [r.object_description for r in kept] == ["new"]
+
+
 def test_a_failed_chunk_publishes_nothing(spark):
     def landed(d, number, *notices, total=1, body=None):
         text = body or json.dumps({"data": list(notices), "totalPaginas": total})
