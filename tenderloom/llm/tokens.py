@@ -27,8 +27,8 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 LAST = 0x4FF
 # Entries of a worker's cache, after which it starts anew.
 CACHE = 400_000
-# Rows that the table of frequent pre-tokens is counted on, and its entries. It only saves time: the
-# counts are the same with any table.
+# Rows that the table of frequent pre-tokens is counted on (the first 20,000 characters of each, to
+# bound what the driver holds), and its entries. It only saves time: the counts are the same with any.
 SAMPLE_ROWS, FREQUENT = 1_000, 30_000
 
 
