@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 from tenderloom.llm.common import batches, merge, sha256, shown_id, texts, written
 from tenderloom.llm.windows import Windows, byte_grams, word_grams
 
-# Contents of one gram that are compared in one place at most.
-BIG = 512
+# Contents of one gram that are compared in one place at most: about a megabyte of symbols.
+BIG = 4_096
 SEGMENTS = "did long, th int, at long, gram long, content long"
 ANSWERS = "did long, th int, first int, last int"
-ROWS = 400_000
+# Symbols cut into segments at a time.
+TOGETHER = 200_000
+# What a segment is, as bits: repeated as a whole, to be compared, compared with, of a big group.
+IS_DONE, IS_OWN, IS_OTHER, IS_BIG = 1, 2, 4, 8
 
 DONE, WAITING, EDGE, WINDOW = 0, 1, 2, 3
 WORKED = (
@@ -50,6 +53,10 @@ class Bytes:
     def grams(cls, symbols: bytes) -> np.ndarray:
         return byte_grams(symbols, cls.gram)
 
+    @staticmethod
+    def chain(several: list[bytes]) -> bytes:
+        return b"".join(several)
+
     @staticmethod
     def join(parts: list[bytes]) -> bytes:
         return b"".join(parts)
@@ -71,9 +78,13 @@ class Words:
     def grams(cls, symbols: list[bytes]) -> np.ndarray:
         return word_grams(symbols, cls.gram)
 
+    @staticmethod
+    def chain(several: list[list[bytes]]) -> list[bytes]:
+        return [word for words in several for word in words]
+
     @staticmethod
     def join(parts: list[list[bytes]]) -> bytes:
-        return b" ".join(word for part in parts for word in part)
+        return b" ".join(b" ".join(part) for part in parts if part)
 
     @staticmethod
     def packed(symbols: list[bytes]) -> bytes:
@@ -109,36 +120,42 @@ def unpacked(data: bytes) -> bytes:
 def segments(docs: DataFrame, what: Repeats) -> DataFrame:
     """``SEGMENTS`` of every text that has a window."""
 
-    def flush(found):
-        did, th, at, gram, content = map(np.concatenate, zip(*found))
-        columns = [pa.array(x) for x in (did, th, at, gram, content)]
-        return pa.RecordBatch.from_arrays(columns, ["did", "th", "at", "gram", "content"])
+    def cut(dids, ths, several):
+        sizes = [len(symbols) for symbols in several]
+        grams = what.symbols.grams(what.symbols.chain(several))
+        found = Windows(grams, what.length, what.symbols.gram, sizes)
+        if not len(found.starts):
+            return None
+        at, gram, content = found.segments()
+        first = np.cumsum([0, *sizes[:-1]])[found.owners]
+        columns = [np.array(dids)[found.owners], np.array(ths, np.int32)[found.owners], at - (first << 16), gram, content]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["did", "th", "at", "gram", "content"])
 
     def run(frames):
-        found, rows = [], 0
+        held, size = ([], [], []), 0
         for _, dids, ths, data in batches(frames, "did", "th", "data"):
             for did, th, text in zip(dids, ths, data):
-                if len(text) < what.length:
+                symbols = what.symbols(text).symbols if len(text) >= what.length else ()
+                if len(symbols) < what.length:
                     continue
-                cut = Windows(what.symbols.grams(what.symbols(text).symbols), what.length, what.symbols.gram)
-                if not cut.count:
-                    continue
-                at, gram, content = cut.segments()
-                n = len(at)
-                found.append((np.full(n, did), np.full(n, th, np.int32), at, gram, content))
-                rows += n
-                if rows > ROWS:
-                    yield flush(found)
-                    found, rows = [], 0
-        if found:
-            yield flush(found)
+                for column, value in zip(held, (did, th, symbols)):
+                    column.append(value)
+                size += len(symbols)
+                if size > TOGETHER:
+                    made = cut(*held)
+                    held, size = ([], [], []), 0
+                    if made is not None:
+                        yield made
+        made = cut(*held) if size else None
+        if made is not None:
+            yield made
 
     return texts(docs).mapInArrow(run, SEGMENTS)
 
 
 def marked(found: DataFrame, what: Repeats) -> DataFrame:
-    """Segments that matter: ``done`` ones are repeated as a whole, ``own`` ones are to be compared
-    window by window, and the others are what these are compared with. ``big`` groups are not gathered."""
+    """Segments that matter, with what they are: some are repeated as a whole, some are to be compared
+    window by window, some are what these are compared with. Big groups are not gathered."""
     facts = [F.count(F.lit(1)).alias("n")]
     if what.earlier:
         facts += [F.min("did").alias("lowest"), F.max("did").alias("highest")]
@@ -151,7 +168,10 @@ def marked(found: DataFrame, what: Repeats) -> DataFrame:
     groups = contents.groupBy("gram").agg(
         F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first_any")
     )
-    known = candidates.join(contents.join(groups, "gram"), ["gram", "content"])
+    # A table of its own, or Spark would keep it dealt by gram and the join with the candidates too,
+    # where a hot gram can't be split.
+    facts = written(contents.join(groups, "gram"), "repeats-contents")
+    known = candidates.join(facts, ["gram", "content"])
     if what.earlier:
         done = F.col("first") < F.col("did")
         own = ~done & (F.col("first_any") < F.col("did"))
@@ -159,10 +179,9 @@ def marked(found: DataFrame, what: Repeats) -> DataFrame:
         done = F.col("n") > 1
         own = ~done
     other = (F.col("kinds") > 1) & (F.col("did") == F.col("first"))
-    return known.select(
-        "did", "th", "at", "gram", done.alias("done"), own.alias("own"), other.alias("other"),
-        (F.col("kinds") > BIG).alias("big"),
-    ).where("done or own or other")
+    bits = [(done, IS_DONE), (own, IS_OWN), (other, IS_OTHER), (F.col("kinds") > BIG, IS_BIG)]
+    is_ = sum((F.when(c, bit).otherwise(0) for c, bit in bits), F.lit(0))
+    return known.select("did", "th", "at", "gram", is_.cast("int").alias("is")).where(f"is & {IS_BIG - 1} <> 0")
 
 
 def _cover(starts, ends, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,10 +196,6 @@ def _result(text, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int,
     return n, int((ends - starts).sum()), len(starts), sha256(text.join(kept))
 
 
-def _rows(values: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(values, schema)
-
-
 WORKED_ARROW = pa.schema(
     [
         ("kind", pa.int32()), ("did", pa.int64()), ("th", pa.int32()), ("n", pa.int64()),
@@ -192,52 +207,84 @@ WORKED_ARROW = pa.schema(
 )
 
 
+class _Rows:
+    """Rows of one kind, column by column; columns it doesn't have are null."""
+
+    def __init__(self, kind: int, *names: str):
+        self.kind, self.names = kind, names
+        self.columns: list[list] = [[] for _ in names]
+
+    def add(self, *values) -> None:
+        for column, value in zip(self.columns, values):
+            column.append(value)
+
+    def batch(self) -> pa.RecordBatch:
+        n, own = len(self.columns[0]), dict(zip(self.names, self.columns))
+        own["kind"] = [self.kind] * n
+        arrays = [pa.array(own[f.name], f.type) if f.name in own else pa.nulls(n, f.type) for f in WORKED_ARROW]
+        return pa.RecordBatch.from_arrays(arrays, schema=WORKED_ARROW)
+
+
+def _windows(did: int, th: int, own: bool, first: int, keys: np.ndarray) -> pa.RecordBatch:
+    """Rows for the windows of one piece of a big group."""
+    n = len(keys)
+    known = {
+        "kind": np.full(n, WINDOW, np.int32), "did": np.full(n, did), "th": np.full(n, th, np.int32),
+        "own": np.full(n, own), "place": np.arange(first, first + n, dtype=np.int32), "key": keys,
+    }
+    arrays = [pa.array(known[f.name], f.type) if f.name in known else pa.nulls(n, f.type) for f in WORKED_ARROW]
+    return pa.RecordBatch.from_arrays(arrays, schema=WORKED_ARROW)
+
+
 def _work(what: Repeats) -> Callable:
     """Texts beside their segments that matter, to finished texts, waiting ones, edges and windows."""
+    width = what.length - what.symbols.gram + 1
 
-    def one(did: int, th: int, data: bytes, notes: list[dict] | None) -> Iterator[dict]:
-        text = what.symbols(unpacked(data))
-        notes = {note["at"]: note for note in notes or []}
-        starts = [at >> 16 for at, note in notes.items() if note["done"]]
-        ends = [(at >> 16) + (at & 0xFFFF) + what.length for at, note in notes.items() if note["done"]]
-        starts, ends = _cover(starts, ends, len(text.symbols))
-        if any(note["own"] for note in notes.values()):
-            yield {"kind": WAITING, "did": did, "th": th, "data": data, "starts": starts.tolist(), "ends": ends.tolist()}
-        else:
-            n, removed, spans, kept = _result(text, starts, ends)
-            yield {"kind": DONE, "did": did, "th": th, "n": n, "n_removed": removed, "n_spans": spans, "kept_sha256": kept}
-        for at, note in notes.items():
-            if not (note["own"] or note["other"]):
-                continue
-            first, last = at >> 16, (at >> 16) + (at & 0xFFFF)
-            piece = text.symbols[first : last + what.length]
-            cut = Windows(what.symbols.grams(piece), what.length, what.symbols.gram)
-            row = {"did": did, "th": th, "own": note["own"], "gram": note["gram"]}
-            if note["big"]:
-                every = np.arange(cut.count)
-                for i, key in enumerate(cut.content(every, every).tolist()):
-                    yield row | {"kind": WINDOW, "place": first + i, "key": key}
-                continue
-            middle = int(cut.anchors[0])
-            yield row | {
-                "kind": EDGE, "at": at,
-                "head": what.symbols.packed(piece[middle : middle + what.symbols.gram]),
-                "left": what.symbols.packed(piece[:middle]),
-                "right": what.symbols.packed(piece[middle:]),
-            }
+    def tables() -> tuple[_Rows, _Rows, _Rows]:
+        return (
+            _Rows(DONE, "did", "n", "n_removed", "n_spans", "kept_sha256"),
+            _Rows(WAITING, "did", "th", "data", "starts", "ends"),
+            _Rows(EDGE, "did", "th", "own", "gram", "at", "head", "left", "right"),
+        )
 
     def run(frames):
-        out, size = [], 0
-        for _, dids, ths, data, notes in batches(frames, "did", "th", "data", "notes"):
-            for row in zip(dids, ths, data, notes):
-                for made in one(*row):
-                    out.append(made)
-                    size += len(made.get("data", b"")) + 600
-                    if size > 16_000_000:
-                        yield _rows(out, WORKED_ARROW)
-                        out, size = [], 0
-        if out:
-            yield _rows(out, WORKED_ARROW)
+        (done, waiting, edges), size = tables(), 0
+        for _, dids, ths, datas, several in batches(frames, "did", "th", "data", "notes"):
+            for did, th, data, notes in zip(dids, ths, datas, several):
+                text = what.symbols(unpacked(data))
+                notes = {note["at"]: (note["is"], note["gram"]) for note in notes or []}
+                settled = [at for at, (is_, _) in notes.items() if is_ & IS_DONE]
+                starts, ends = _cover(
+                    [at >> 16 for at in settled],
+                    [(at >> 16) + (at & 0xFFFF) + what.length for at in settled],
+                    len(text.symbols),
+                )
+                size += 400
+                if any(is_ & IS_OWN for is_, _ in notes.values()):
+                    waiting.add(did, th, data, starts.tolist(), ends.tolist())
+                    size += len(data)
+                else:
+                    done.add(did, *_result(text, starts, ends))
+                for at, (is_, gram) in notes.items():
+                    if not is_ & (IS_OWN | IS_OTHER):
+                        continue
+                    first = at >> 16
+                    piece = text.symbols[first : first + (at & 0xFFFF) + what.length]
+                    grams = what.symbols.grams(piece)
+                    if is_ & IS_BIG:
+                        cut = Windows(grams, what.length, what.symbols.gram)
+                        every = np.arange(cut.count)
+                        yield _windows(did, th, bool(is_ & IS_OWN), first, cut.content(every, every))
+                        continue
+                    middle = int(np.argmin(grams[:width]))
+                    head, left = piece[middle : middle + what.symbols.gram], piece[:middle]
+                    parts = [what.symbols.packed(x) for x in (head, left, piece[middle:])]
+                    edges.add(did, th, bool(is_ & IS_OWN), gram, at, *parts)
+                    size += 1_000
+                if size > 16_000_000:
+                    yield from (rows.batch() for rows in (done, waiting, edges))
+                    (done, waiting, edges), size = tables(), 0
+        yield from (rows.batch() for rows in (done, waiting, edges))
 
     return run
 
@@ -269,7 +316,7 @@ def without_repeats(docs: DataFrame, what: Repeats, compare: Callable[[DataFrame
     to last.
     """
     matter = marked(segments(docs, what), what)
-    note = F.struct("at", "done", "own", "other", "big", "gram")
+    note = F.struct("at", "is", "gram")
     notes = matter.groupBy("did", "th").agg(F.collect_list(note).alias("notes"))
     both = packed(docs).join(notes, ["did", "th"], "left").select("did", "th", "data", "notes")
     worked = written(both.mapInArrow(_work(what), WORKED), "repeats-worked")
@@ -278,8 +325,10 @@ def without_repeats(docs: DataFrame, what: Repeats, compare: Callable[[DataFrame
     windows = worked.where(F.col("kind") == WINDOW).select("did", "th", "own", "place", "key")
     fact = F.min("did") if what.earlier else F.count(F.lit(1))
     keys = windows.groupBy("key").agg(fact.alias("fact"))
-    repeated = F.col("fact") < F.col("did") if what.earlier else F.col("fact") > 1
-    counted = windows.where("own").join(keys, "key").where(repeated)
+    if what.earlier:
+        counted = windows.where("own").join(keys, "key").where("fact < did")
+    else:
+        counted = windows.where("own").join(keys.where("fact > 1"), "key", "left_semi")
     answers = compare(edges).unionByName(
         counted.select("did", "th", F.col("place").alias("first"), F.col("place").alias("last"))
     )

@@ -36,14 +36,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Segments of the windows of ``length`` symbols, given the hashes of all grams of ``gram``."""
+    """Segments of the windows of ``length`` symbols, given the hashes of all grams of ``gram``.
 
-    def __init__(self, grams: np.ndarray, length: int, gram: int):
+    With ``sizes`` the symbols are those of several texts in a row; only windows inside one count, and
+    ``owners`` says whose a segment is.
+    """
+
+    def __init__(self, grams: np.ndarray, length: int, gram: int, sizes: list[int] | None = None):
         self.grams, self.length = grams, length
         self.width = length - gram + 1
         self.count = max(0, len(grams) - self.width + 1)
         if not self.count:
-            self.starts = self.ends = self.anchors = np.zeros(0, np.int64)
+            self.starts = self.ends = self.anchors = self.owners = np.zeros(0, np.int64)
             return
         least, place, span = grams, np.arange(len(grams), dtype=np.int32), 1
         while span < self.width:
@@ -52,10 +56,16 @@ class Windows:
             least = np.where(right, least[step:], least[:-step])
             place = np.where(right, place[step:], place[:-step])
             span += step
+        inside = np.arange(self.count)
+        if sizes is not None:
+            owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            inside = np.flatnonzero(owner[: self.count] == owner[length - 1 : length - 1 + self.count])
+            place = place[inside]
         change = np.flatnonzero(place[1:] != place[:-1])
-        self.starts = np.concatenate([[0], change + 1]).astype(np.int64)
-        self.ends = np.concatenate([change, [self.count - 1]]).astype(np.int64)
-        self.anchors = place[self.starts].astype(np.int64)
+        self.starts = inside[np.concatenate([[0], change + 1])] if len(inside) else inside
+        self.ends = inside[np.concatenate([change, [len(inside) - 1]])] if len(inside) else inside
+        self.anchors = place[np.concatenate([[0], change + 1])].astype(np.int64) if len(inside) else inside
+        self.owners = owner[self.starts] if sizes is not None else np.zeros(len(self.starts), np.int32)
 
     def _sums(self) -> np.ndarray:
         if not hasattr(self, "_prefix"):
