@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,26 @@ def batches(frames: Iterator, *names: str) -> Iterator[tuple]:
         yield (batch, *[batch.column(n).to_pylist() for n in names])
 
 
+def fewest(df: DataFrame, rows: int, seed: int, *ties: str) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash of ``did``. With many more, tasks first leave
+    out what can hardly be among them, or each would send as many as are wanted in all."""
+    span = 2**40
+    place = F.pmod(F.xxhash64("did", F.lit(seed)), F.lit(span))
+    n = df.count()
+    if n > rows:
+        df = df.where(place <= int(1.25 * rows / n * span))
+    return df.orderBy(place, "did", *ties).limit(rows)
+
+
+def structs(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """A column of lists of structs of numbers as the place where each row's list starts (and the last
+    one ends) in arrays of the fields; a null is an empty list."""
+    column = pa.concat_arrays([column])
+    values = column.values
+    fields = {f.name: values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(values.type)}
+    return column.offsets.to_numpy(), fields
+
+
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Half-open intervals as their maximal runs, in order; touching ones become one."""
     if not len(starts):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import batches, row_id
+from tenderloom.llm.common import batches, fewest, row_id
 from tenderloom.llm.stats import SHARES, measure
 
 BITS, RANK = 15, 8
@@ -132,10 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
         .agg(F.min("quality").alias("label"))
     )
     # The ids are chosen before any text is read, so that the join carries only their texts.
-    ids = (
-        docs.select("doc_id", row_id().alias("did")).where(~held_out()).select("did").distinct()
-        .join(good, "did").orderBy(F.xxhash64("did", F.lit(SEED)), "did").limit(rows)
-    )
+    own = docs.select("doc_id", row_id().alias("did")).where(~held_out()).select("did").distinct()
+    ids = fewest(own.join(good, "did"), rows, SEED)
     chosen = _with_length(docs).join(F.broadcast(ids), row_id() == F.col("did"))
 
     def run(frames):

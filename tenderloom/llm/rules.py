@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import batches, row_id, shown_id, texts, written
+from tenderloom.llm.common import batches, fewest, row_id, shown_id, texts, written
 from tenderloom.llm.stats import COUNTS, SHARES, measure
 
 FEATURES = SHARES
@@ -91,13 +91,7 @@ def labelled(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict[
         .groupBy(row_id().alias("did"))
         .agg(F.min("quality").alias("label"))
     )
-    chosen = (
-        stats.join(good, "did")
-        .orderBy(F.xxhash64("did", F.lit(SEED)), "did", "th")
-        .limit(rows)
-        .select("label", *FEATURES)
-        .toPandas()
-    )
+    chosen = fewest(stats.join(good, "did"), rows, SEED, "th").select("label", *FEATURES).toPandas()
     return {c: chosen[c].to_numpy() for c in chosen.columns}
 
 

@@ -135,3 +135,12 @@ def test_pretokens_of_random_texts():
         pick = lambda: chr(rng.choice([rng.randint(0, 127), rng.randint(0, LAST), rng.choice(blanks)]))
         text = "".join(pick() for _ in range(rng.randint(0, 14))) + rng.choice(["", "<|endoftext|>", " "])
         assert counter.count(text) == counter.whole(text), ascii(text)
+
+
+def test_the_sample_is_the_smallest_by_hash(spark):
+    from tenderloom.llm.common import fewest
+
+    df = spark.range(5_000).withColumnRenamed("id", "did").repartition(5)
+    all_ = [r.did for r in fewest(df, 9_000, 3).collect()]
+    assert len(all_) == 5_000
+    assert [r.did for r in fewest(df, 400, 3).collect()] == all_[:400]
