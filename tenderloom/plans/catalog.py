@@ -1175,7 +1175,7 @@ def page_scan(spark, folder):
 @_query(
     "map_notices",
     ["landed"],
-    """
+    r"""
     SELECT control_number, 'Aquisição de ' || trade AS object_description, state,
       CASE WHEN kind NOT IN (13, 14) THEN regexp_replace(amount, '\.?0+$', '') END
         AS estimated_amount,
