@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tenderloom.llm.common import batches
-from tenderloom.llm.repeats import ANSWERS, Repeats, Words, without_repeats
+from tenderloom.llm.repeats import ANSWERS, Repeats, Words, runs, without_repeats
 
 LENGTH = 50
 # Words of the pieces in one automaton; a group of equal grams is never cut.
@@ -88,9 +88,9 @@ def _shard(rows: list[tuple], length: int):
         automaton.add(list(words), did)
     for did, th, at, own, words in rows:
         if own:
-            for start, holder in automaton.first_holders(words, length):
-                if holder < did:
-                    yield did, th, (at >> 16) + start, (at >> 16) + start
+            found = [start for start, holder in automaton.first_holders(words, length) if holder < did]
+            for begin, end in runs(found):
+                yield did, th, (at >> 16) + begin, (at >> 16) + end
 
 
 def automaton_answers(edges: DataFrame, what: Repeats) -> DataFrame:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import batches, merge, sha256, shown_id, texts, written
+from tenderloom.llm.common import batches, merge, sha256, shown_id, structs, texts, written
 from tenderloom.llm.windows import Windows, byte_grams, word_grams
 
 # Contents of one gram that are compared in one place at most: about a megabyte of symbols.
@@ -161,6 +161,8 @@ def marked(found: DataFrame, what: Repeats) -> DataFrame:
         facts += [F.min("did").alias("lowest"), F.max("did").alias("highest")]
     grams = found.groupBy("gram").agg(*facts)
     grams = grams.where("lowest < highest" if what.earlier else "n > 1").select("gram")
+    # A table of its own, so that Spark can split the join where one gram is everywhere.
+    grams = written(grams, "repeats-grams")
     candidates = written(found.join(grams, "gram", "left_semi"), "repeats-candidates")
     contents = candidates.groupBy("gram", "content").agg(
         F.count(F.lit(1)).alias("n"), F.min("did").alias("first")
@@ -184,6 +186,15 @@ def marked(found: DataFrame, what: Repeats) -> DataFrame:
     return known.select("did", "th", "at", "gram", is_.cast("int").alias("is")).where(f"is & {IS_BIG - 1} <> 0")
 
 
+def runs(places: list[int]):
+    """First and last of each stretch of consecutive rising numbers."""
+    start = 0
+    for i in range(1, len(places) + 1):
+        if i == len(places) or places[i] != places[i - 1] + 1:
+            yield places[start], places[i - 1]
+            start = i
+
+
 def _cover(starts, ends, n: int) -> tuple[np.ndarray, np.ndarray]:
     return merge(np.asarray(starts, np.int64), np.minimum(np.asarray(ends, np.int64), n))
 
@@ -249,25 +260,25 @@ def _work(what: Repeats) -> Callable:
 
     def run(frames):
         (done, waiting, edges), size = tables(), 0
-        for _, dids, ths, datas, several in batches(frames, "did", "th", "data", "notes"):
-            for did, th, data, notes in zip(dids, ths, datas, several):
+        for batch, dids, ths, datas in batches(frames, "did", "th", "data"):
+            edge, notes = structs(batch.column("notes"))
+            for i, (did, th, data) in enumerate(zip(dids, ths, datas)):
                 text = what.symbols(unpacked(data))
-                notes = {note["at"]: (note["is"], note["gram"]) for note in notes or []}
-                settled = [at for at, (is_, _) in notes.items() if is_ & IS_DONE]
+                # Repeated rows bring every note as often.
+                places, one = np.unique(notes["at"][edge[i] : edge[i + 1]], return_index=True)
+                kinds, grams_ = (notes[f][edge[i] : edge[i + 1]][one] for f in ("is", "gram"))
+                settled = places[kinds & IS_DONE > 0]
                 starts, ends = _cover(
-                    [at >> 16 for at in settled],
-                    [(at >> 16) + (at & 0xFFFF) + what.length for at in settled],
-                    len(text.symbols),
+                    settled >> 16, (settled >> 16) + (settled & 0xFFFF) + what.length, len(text.symbols)
                 )
                 size += 400
-                if any(is_ & IS_OWN for is_, _ in notes.values()):
+                if (kinds & IS_OWN).any():
                     waiting.add(did, th, data, starts.tolist(), ends.tolist())
                     size += len(data)
                 else:
                     done.add(did, *_result(text, starts, ends))
-                for at, (is_, gram) in notes.items():
-                    if not is_ & (IS_OWN | IS_OTHER):
-                        continue
+                open_ = np.flatnonzero(kinds & (IS_OWN | IS_OTHER))
+                for at, is_, gram in zip(*(x[open_].tolist() for x in (places, kinds, grams_))):
                     first = at >> 16
                     piece = text.symbols[first : first + (at & 0xFFFF) + what.length]
                     grams = what.symbols.grams(piece)
@@ -294,12 +305,14 @@ def _finish(what: Repeats) -> Callable:
     names = ["did", "n", "n_removed", "n_spans", "kept_sha256"]
 
     def run(frames):
-        for _, dids, data, starts, ends, answers in batches(frames, "did", "data", "starts", "ends", "answers"):
+        for batch, dids, data, starts, ends in batches(frames, "did", "data", "starts", "ends"):
+            edge, answers = structs(batch.column("answers"))
             out = []
-            for did, raw, s, e, more in zip(dids, data, starts, ends, answers):
+            for i, (did, raw, s, e) in enumerate(zip(dids, data, starts, ends)):
                 text = what.symbols(unpacked(raw))
-                s = s + [x["first"] for x in more or []]
-                e = e + [x["last"] + what.length for x in more or []]
+                more = slice(edge[i], edge[i + 1])
+                s = np.concatenate([s, answers["first"][more]])
+                e = np.concatenate([e, answers["last"][more] + what.length])
                 out.append((did, *_result(text, *_cover(s, e, len(text.symbols)))))
             types = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays(

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tenderloom.llm.common import batches
-from tenderloom.llm.repeats import ANSWERS, Bytes, Repeats, without_repeats
+from tenderloom.llm.repeats import ANSWERS, Bytes, Repeats, runs, without_repeats
 
 LENGTH = 200
 TOKEN = 8
@@ -96,9 +96,8 @@ def _many(rows: list[dict], shared: list[int], length: int):
     for row, windows in zip(rows, tried):
         if row["own"]:
             first = row["at"] >> 16
-            for j, key in windows:
-                if seen[key] > 1:
-                    yield row["did"], row["th"], first + j, first + j
+            for begin, end in runs([j for j, key in windows if seen[key] > 1]):
+                yield row["did"], row["th"], first + begin, first + end
 
 
 def _sorted_bucket(rows: list[dict], length: int, gram: int):
