@@ -62,6 +62,28 @@ def test_near_classes_against_all_pairs(docs):
     assert [got[i] for i in range(len(texts))] == true_classes(texts)
 
 
+def test_true_pairs_in_a_family_of_dissimilar_texts(docs):
+    """Members of one template are mostly below 0.8 to each other, the first of a bucket too, but each has a
+    copy that is near."""
+    rng = random.Random(7)
+    template, texts = sentence(rng, 300).split(), []
+
+    def changed(words, places):
+        out = list(words)
+        for at in places:
+            out[at] = f"edit{rng.randint(0, 10**9)}"
+        return out
+
+    for _ in range(150):
+        member = changed(template, [37 + 75 * i + rng.randrange(30) for i in range(4)])
+        texts += [" ".join(member), " ".join(changed(member, rng.sample(range(300), 6)))]
+    rng.shuffle(texts)
+    want = true_classes(texts)
+    assert len(set(want)) < len(texts) - 75
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(*texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_shuffled_paragraphs_are_not_near(docs):
     rng = random.Random(2)
     parts = [sentence(rng, 120) for _ in range(6)]
