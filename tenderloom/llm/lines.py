@@ -3,8 +3,12 @@
 Positions whose next 2^k lines are equal form an interval of the suffix array with a common prefix of
 that length; they carry one rank. A round joins each position's rank with that of the position 2^k
 lines on, which gives the ranks of runs twice as long. Positions that are alone in their interval leave,
-so the tables shrink with every round. In an interval every position but the first is a later copy, and
-its lines go.
+so the tables shrink with every round. A run of any length is ranked by the ranks of its first and its last
+2^k lines. Of runs with equal ranks every one but the first is a later copy, and its lines go.
+
+Asked for are the lines of maximal repeated runs with enough words. Any such line is also in a repeated run
+that has enough words and cannot lose an end without losing them or the line; it starts or ends with the
+line, or is the shortest from its start. So the shortest runs from each line and up to each line do.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import batches, merge, row_id, sha256, shown_id, written
+from tenderloom.llm.common import batches, merge, row_id, sha256, shown_id, texts, written
 from tenderloom.llm.repeats import packed, unpacked
 
 # Words that a repeated run of lines must have.
@@ -43,29 +47,63 @@ def repeated(ranks: DataFrame) -> DataFrame:
     return many.join(first, "rank").withColumn("later", F.col("first") < position)
 
 
+def shortest_runs(docs: DataFrame, least_words: int) -> DataFrame:
+    """``(did, th, i, stop)``: from each line on, and up to each line, the shortest run with enough words,
+    where that has more than one line."""
+
+    def run(frames: Iterator):
+        for batch, data in batches(frames, "data"):
+            rows, starts, stops = [], [], []
+            for row, text in enumerate(data):
+                total = np.cumsum([0, *(len(x.split()) for x in text.split(b"\n"))])
+                ahead = np.searchsorted(total, total[:-1] + least_words)
+                back = np.searchsorted(total, total[1:] - least_words, "right") - 1
+                at = np.arange(len(total) - 1)
+                found = np.concatenate([np.stack([at, ahead], 1), np.stack([back, at + 1], 1)])
+                found = found[(found[:, 0] >= 0) & (found[:, 1] < len(total)) & (found[:, 1] > found[:, 0] + 1)]
+                found = np.unique(found, axis=0)
+                rows.append(np.full(len(found), row))
+                starts.append(found[:, 0])
+                stops.append(found[:, 1])
+            if rows:
+                row = pa.array(np.concatenate(rows))
+                ends = [pa.array(np.concatenate(x), pa.int32()) for x in (starts, stops)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("did").take(row), batch.column("th").take(row), *ends], ["did", "th", "i", "stop"]
+                )
+
+    return texts(docs).mapInArrow(run, "did long, th int, i int, stop int")
+
+
 def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``(did, th, start, stop)``: runs of lines with enough words that also stand earlier."""
-    found, length = None, 1
-    ranks = line_ranks(docs)
-    while True:
-        here = repeated(ranks)
-        runs = here.where(F.col("later") & (F.col("words") >= least_words)).select(
-            "did", "th", F.col("i").alias("start"), (F.col("i") + length).alias("stop")
-        )
-        found = runs if found is None else found.unionByName(runs)
-        here = here.select("did", "th", "i", "rank", "words").distinct()
-        on = here.select(
-            "did", "th", (F.col("i") - length).alias("i"), F.col("rank").alias("rank2"), F.col("words").alias("words2")
-        )
+    wanted = written(shortest_runs(docs, least_words), "lines-wanted")
+    longest = wanted.agg(F.max(F.col("stop") - F.col("i"))).first()[0] or 1
+    here = repeated(line_ranks(docs))
+    found = here.where(F.col("later") & (F.col("words") >= least_words)).select(
+        "did", "th", F.col("i").alias("start"), (F.col("i") + 1).alias("stop")
+    )
+    length = 1
+    while 2 * length <= longest:
+        here = here.select("did", "th", "i", "rank").distinct()
+        on = here.select("did", "th", (F.col("i") - length).alias("i"), F.col("rank").alias("rank2"))
         ranks = written(
-            here.join(on, ["did", "th", "i"]).select(
-                "did", "th", "i", F.xxhash64("rank", "rank2").alias("rank"), (F.col("words") + F.col("words2")).alias("words")
-            ),
+            here.join(on, ["did", "th", "i"]).select("did", "th", "i", F.xxhash64("rank", "rank2").alias("rank")),
             "lines-ranks",
         )
         length *= 2
         if ranks.limit(1).count() == 0:
-            return found
+            break
+        here = repeated(ranks)
+        ends = here.select("did", "th", "i", "rank").distinct()
+        size = F.col("stop") - F.col("i")
+        runs = wanted.where((size >= length) & (size < 2 * length)).join(ends, ["did", "th", "i"])
+        last = ends.select("did", "th", (F.col("i") + length).alias("stop"), F.col("rank").alias("rank2"))
+        runs = runs.join(last, ["did", "th", "stop"]).select(
+            "did", "th", "i", "stop", F.xxhash64(size, "rank", "rank2").alias("rank")
+        )
+        found = found.unionByName(repeated(runs).where("later").select("did", "th", F.col("i").alias("start"), "stop"))
+    return found
 
 
 def _kept(data: bytes, runs: list[dict] | None) -> tuple[list[bytes], int, int]:
@@ -88,8 +126,8 @@ def _with_runs(docs: DataFrame, least_words: int) -> DataFrame:
 def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per document: lines, lines removed, maximal removed runs, and the hash of what is kept.
 
-    Removed is every line in a run of 1, 2, 4, ... lines with at least ``least_words`` words in all that
-    also stands at an earlier position, in an earlier document (by id) or further up in the same one. A
+    Removed is every line in a run of any length with at least ``least_words`` words in all that also
+    stands at an earlier position, in an earlier document (by id) or further up in the same one. A
     null text is empty, which is one line without words; a null id stays null and is the earliest; rows
     repeated with id and text are one place, each returned; extra columns are ignored and an empty table
     gives an empty one. Equality of lines is taken from 64-bit hashes.

@@ -172,6 +172,28 @@ def test_short_lines_go_only_in_longer_runs(docs):
     assert kept[2] == ("z", 1) and kept[1] == (f"{one}\ny", None)
 
 
+def test_runs_of_any_length_go(docs):
+    """Against all run lengths: a run of three, and the short tail of a passage, have no power of two."""
+    rng = random.Random(4)
+    three, tail = "a b c d\ne f g h\ni j k l", " ".join(map(str, range(45))) + "\na\nb\n\nc\nd\ne"
+    texts = [f"x\n{three}\ny", f"{tail}\nv", f"z\n{three}\nw", f"u\n{tail}"]
+    for _ in range(40):
+        texts.append("\n".join(rng.choice(["a", "b c", "d e f", "", "g h i j k"]) for _ in range(rng.randint(1, 20))))
+    cut, seen, want = [t.split("\n") for t in texts], set(), []
+    for lines in cut:
+        gone = set()
+        for b in range(1, len(lines) + 1):
+            for a in range(b):
+                run = tuple(lines[a:b])
+                if run in seen and sum(len(x.split()) for x in run) >= 10:
+                    gone |= set(range(a, b))
+            # Runs that end further up or here may be the earlier copy of those that end below.
+            seen |= {tuple(lines[a:b]) for a in range(b)}
+        want.append(len(gone))
+    assert want[2:4] == [3, 7]
+    assert [r.n_removed for r in line_dedup(docs(*texts)).orderBy("doc_id").collect()] == want
+
+
 def test_documents_left_without_words_are_gone(docs, odd):
     text = " ".join("abcdefghijkl")
     assert {r.doc_id for r in shortened_documents(docs(text, text, "", None)).collect()} == {0, 2, 3}
