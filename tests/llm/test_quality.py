@@ -114,6 +114,17 @@ def test_scores_of_odd_rows(odd, none, labels):
     assert quality_scores(none, labels()).count() == 0
 
 
+def test_the_bound_of_the_fit_holds_for_rows(spark, labels, monkeypatch):
+    from tenderloom.llm import quality
+
+    rows = [(None if i % 2 else 1, f"text number {i} " * 9, None) for i in range(60)] + [(2, "another one", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    sizes = []
+    monkeypatch.setattr(quality.Machine, "fit", lambda self, rows, labels: sizes.append(len(rows)))
+    quality.fit(df, labels((None, 1, 0), (1, 0, 0), (2, 1, 0)), rows=3)
+    assert 1 <= sizes[0] <= 3
+
+
 def test_tokens_as_the_library_counts_them(odd, none):
     from tokenizers import Tokenizer
 
