@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tenderloom.llm import automata, leaks, licenses, lines, mixing, near, quality, rules, suffixes, tokens
+from tenderloom.llm import (
+    automata,
+    exact,
+    leaks,
+    licenses,
+    lines,
+    mixing,
+    near,
+    quality,
+    rules,
+    suffixes,
+    tokens,
+    tries,
+    whitening,
+)
 from tenderloom.llm.common import table
 
 
@@ -50,6 +64,18 @@ def op10_quality_scores(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark, sf_dir):
+    return exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark, sf_dir):
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,6 +89,13 @@ QUERIES = {
         op8_benchmark_leaks,
         op9_token_counts,
         op10_quality_scores,
+        op11_embedding_whitening,
+        op12_exact_dedup,
+        op13_conversation_trie,
     )
 }
-SQL: dict[str, str] = {"op1_line_dedup": lines.sql()}
+SQL: dict[str, str] = {
+    "op1_line_dedup": lines.sql(),
+    "op12_exact_dedup": exact.sql(),
+    "op13_conversation_trie": tries.sql(),
+}
