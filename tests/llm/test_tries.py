@@ -95,15 +95,15 @@ def many_tasks(spark):
 
 
 def test_one_long_conversation_over_many_tasks(spark, many_tasks):
-    rows = [(100, t, "user", f"turn {t % 7}") for t in range(3_000)] + [(c, t, "user", f"turn {t}") for c in (101, 102, 103) for t in range(9)]
-    rows += [(205, t, "user", "again") for t in range(700)]
+    rows = [(100, t, "user", f"turn {t % 7}") for t in range(300)] + [(c, t, "user", f"turn {t}") for c in (101, 102, 103) for t in range(9)]
+    rows += [(205, t, "user", "again") for t in range(60)]
     parts = frame(spark, rows)
     assert tries._local_names(parts).where("conv = 100").select("part").distinct().count() > 1
-    check(spark, rows, tries.LIMIT, 200)
+    check(spark, rows, tries.LIMIT, 20)
 
 
 def test_one_first_turn_for_all(spark):
-    rows = [(c, t, "user", "hello" if t == 0 else f"{c}") for c in range(0, 40_000, 100) for t in range(2)]
+    rows = [(c, t, "user", "hello" if t == 0 else f"{c}") for c in range(0, 20_000, 100) for t in range(2)]
     check(spark, rows, tries.LIMIT, 50)
 
 
