@@ -277,3 +277,13 @@ def test_mix_of_odd_rows(odd, none):
     left = mixed_documents(odd)
     assert left.columns == odd.columns and left.schema["taken"].dataType.typeName() == "long"
     assert mix(none).count() == 0 and mixed_documents(none).count() == 0
+
+
+def test_near_classes_of_the_sample_against_all_pairs(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = true_classes([r.text for r in rows])
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if want[i] == want[j]]
+    found = sum(got[rows[i].doc_id] == got[rows[j].doc_id] for i, j in pairs)
+    assert pairs and found >= 0.9 * len(pairs)
+    assert all(want[i] == want[j] for i in range(len(rows)) for j in range(i) if got[rows[i].doc_id] == got[rows[j].doc_id])
