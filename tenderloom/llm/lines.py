@@ -181,26 +181,24 @@ def shortened_documents(docs: DataFrame, least_words: int = LEAST_WORDS) -> Data
     return both.where(~changed | F.col("__left")).withColumns(new).select(*docs.columns)
 
 
-def sql(least_words: int = LEAST_WORDS, levels: int = 7) -> str:
-    """The same in DuckDB's SQL, for runs of up to 2**levels lines."""
-    per_level = " UNION ALL ".join(
-        f"""SELECT doc_id, i AS start, i + {2**k} AS stop FROM (
-          SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth, words FROM (
-            SELECT doc_id, i, sum(w) OVER ahead AS words, count(*) OVER ahead AS n,
-              md5(string_agg(md5(line), ',') OVER ahead) AS run
-            FROM lines WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {2**k - 1} FOLLOWING)
-          ) WHERE n = {2**k}
-        ) WHERE nth > 1 AND words >= {least_words}"""
-        for k in range(levels + 1)
-    )
+def sql(least_words: int = LEAST_WORDS) -> str:
+    """The same in DuckDB's SQL, over all pairs of equal lines: those that follow one another in both places
+    are a repeated run that cannot be made longer."""
     return f"""
       WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
       lines AS (
         SELECT doc_id, i, parts[i] AS line, len(regexp_extract_all(parts[i], '[^\\x20\\x09-\\x0D]+')) AS w
         FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM texts)
       ),
-      runs AS MATERIALIZED ({per_level}),
-      gone AS (SELECT DISTINCT doc_id, unnest(range(start, stop)) AS i FROM runs),
+      pairs AS (
+        SELECT b.doc_id, b.i, b.w, a.doc_id AS earlier, b.i - a.i AS apart
+        FROM lines a JOIN lines b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.i < b.i)
+      ),
+      runs AS (
+        SELECT doc_id, i, sum(w) OVER (PARTITION BY doc_id, earlier, apart, run) AS words FROM (
+          SELECT *, i - row_number() OVER (PARTITION BY doc_id, earlier, apart ORDER BY i) AS run FROM pairs)
+      ),
+      gone AS (SELECT DISTINCT doc_id, i FROM runs WHERE words >= {least_words}),
       marked AS (
         SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone FROM lines l LEFT JOIN gone g USING (doc_id, i)
       ),
