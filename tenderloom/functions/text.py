@@ -97,58 +97,76 @@ def plural_forms(stem: Column) -> Column:
     return F.array(stem, F.concat(stem, F.lit("s")), F.concat(stem, F.lit("es")))
 
 
-def keyword_matcher(keyword: Column) -> Column:
-    """Everything needed to look for one keyword, computed once on the profile side.
+def keyword_phrase(keyword: Column) -> Column:
+    """The name of what is looked for: its stems; null where nothing can be found. Keywords with one
+    name are found in the same texts."""
+    name = F.array_join(stems(keyword), " ")
+    return F.when(name != "", name)
 
-    ``words`` holds, for each of the keyword's plain words, the forms one of which must occur; for
-    a keyword of one plain word that is the whole test. ``anchor`` holds the forms of a word that
-    must occur even where the keyword has other characters, and ``odd`` a character that must
-    where it has no word at all. ``pattern`` settles the rest.
+
+def keyword_term(keyword: Column) -> Column:
+    """Everything needed to look for one keyword in texts.
+
+    A keyword of plain words is found by its words alone. One with other characters has a ``pattern``,
+    tried where a text has one of its ``anchors``: the forms of its first word, or else its first
+    character behind a ``#``, which no word has.
     """
     parts = stems(keyword)
     joined = F.array_join(parts, " ")
+    plain = F.forall(parts, lambda p: p.rlike(f"^{_WORD}+$"))
     anchor = F.regexp_extract(joined, f"({_WORD}+)", 1)
-    plain = F.filter(parts, lambda p: p.rlike(f"^{_WORD}+$"))
     pattern = F.concat(
         F.lit(_EDGE),
         F.array_join(F.transform(parts, lambda p: F.concat(_quoted(p), F.lit("(?:es|s)?"))), "\\s+"),
         F.lit(_EDGE),
     )
+    anchors = F.when(anchor != "", plural_forms(anchor)).otherwise(F.array(odd_key(F.substring(joined, 1, 1))))
     return F.struct(
-        keyword.alias("text"),
-        (F.size(parts) == 0).alias("never"),
-        joined.rlike(f"^{_WORD}+$").alias("one_word"),
-        F.transform(plain, plural_forms).alias("words"),
-        F.when(anchor != "", plural_forms(anchor))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("anchor"),
-        F.when((anchor == "") & (joined != ""), F.substring(joined, 1, 1)).alias("odd"),
-        pattern.alias("pattern"),
+        keyword_phrase(keyword).alias("phrase"),
+        parts.alias("parts"),
+        F.when(~plain, pattern).alias("pattern"),
+        F.when(~plain, anchors).alias("anchors"),
     )
 
 
-def keyword_words(matchers: Column) -> Column:
-    """Every word form that plays a part in finding the keywords of a profile."""
-    return F.array_distinct(
-        F.flatten(F.transform(matchers, lambda m: F.concat(F.flatten(m["words"]), m["anchor"])))
-    )
+def odd_key(character: Column) -> Column:
+    return F.concat(F.lit("#"), character)
 
 
-def keyword_found(matcher: Column, folded: Column, present: Column) -> Column:
-    """Whether the keyword occurs as a whole word or phrase, in singular or plural.
+def anchor_keys(folded: Column) -> Column:
+    """What a text has of possible anchors."""
+    return F.concat(words(folded), F.transform(odd_characters(folded), odd_key))
 
-    ``present`` are the keyword words of the profile that the text has. One-word keywords are a
-    set test; the regular expression runs only for phrases and for keywords with other characters,
-    and only when all of their words are there.
-    """
-    all_words = F.forall(matcher["words"], lambda forms: F.arrays_overlap(present, forms))
-    anchored = (F.size(matcher["anchor"]) == 0) | F.arrays_overlap(present, matcher["anchor"])
-    return (
-        F.when(matcher["never"], F.lit(False))
-        .when(matcher["one_word"], all_words)
-        .when(~all_words | ~anchored, F.lit(False))
-        .otherwise(F.rlike(folded, matcher["pattern"]))
-    )
+
+def word_runs(folded: Column, lengths: list[int]) -> Column:
+    """Distinct runs of so many words with nothing but whitespace between them, joined by a space."""
+    stretches = F.split(folded, "[^A-Za-z0-9_\\s]+")
+
+    def split_up(stretch: Column) -> Column:
+        return F.filter(F.split(stretch, "\\s+"), lambda w: w != F.lit(""))
+
+    def runs(length: int) -> Column:
+        if length == 1:
+            return words(folded)
+        each = F.transform(F.filter(F.transform(stretches, split_up), lambda s: F.size(s) >= length), lambda s: F.transform(
+            F.sequence(F.lit(1), F.size(s) - length + 1), lambda i: F.array_join(F.slice(s, i, F.lit(length)), " ")))
+        return F.array_distinct(F.flatten(each))
+
+    return F.flatten(F.array(*[runs(n) for n in lengths]))
+
+
+def run_key(run: Column) -> Column:
+    """A hash that is the same for a run of words and each run of their forms: ``s`` and ``e`` at the end
+    of a word don't count. Others may share it."""
+    one = F.rtrim(run, F.lit("es"))
+    return F.xxhash64(F.when(F.instr(run, " ") == 0, one).otherwise(F.regexp_replace(run, "[es]+(?= |$)", "")))
+
+
+def is_run_of(run: Column, parts: Column) -> Column:
+    """Whether the words of a run are forms of these stems, one for one."""
+    found = F.split(run, " ")
+    forms = F.zip_with(found, parts, lambda w, p: (w == p) | (w == F.concat(p, F.lit("s"))) | (w == F.concat(p, F.lit("es"))))
+    return (F.size(found) == F.size(parts)) & F.forall(forms, lambda f: f)
 
 
 def quoted_payload(payload: Column, limit: int, empty: str) -> Column:

@@ -18,7 +18,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tenderloom import vocabulary as V
-from tenderloom.functions.text import keyword_found
 from tenderloom.functions.times import instant_text
 from tenderloom.functions.values import plain_number
 
@@ -74,15 +73,8 @@ def is_open(closes_at: Column, at: Column) -> Column:
 
 
 def keyword_hits() -> Column:
-    """Matchers of the keywords found, given ``present_words``. Most pairs share no word and are
-    done at once."""
-    searching = (F.size("present_words") > 0) | F.exists(
-        "matchers", lambda m: m["odd"].isNotNull()
-    )
-    found = F.filter(
-        "matchers", lambda m: keyword_found(m, F.col("folded_object"), F.col("present_words"))
-    )
-    return F.when(searching, found).otherwise(F.filter("matchers", lambda m: F.lit(False)))
+    """Matchers of the keywords found, given the ``phrases`` that the text has."""
+    return F.filter("matchers", lambda m: F.array_contains("phrases", m["phrase"]))
 
 
 def keyword_rule() -> Rule:

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from tenderloom import vocabulary as V
 from tenderloom.functions.rows import computed_once
 from tenderloom.functions.text import (
+    anchor_keys,
     fold,
-    keyword_matcher,
-    keyword_words,
-    odd_characters,
-    words,
+    is_run_of,
+    keyword_phrase,
+    keyword_term,
+    run_key,
+    word_runs,
 )
 from tenderloom.functions.values import match_id, round_half_up, segment_of, value_octave
 from tenderloom.operators.enrich import latest_enrichments
@@ -39,9 +41,6 @@ from tenderloom.plans.sizing import BROADCAST_ROWS, fits
 
 # Evidence a pair can show besides the deadline, which every open notice has.
 _EVIDENCE = [V.KEYWORD, V.SEGMENT, V.ESTIMATED_VALUE, V.STATE]
-# Distinct keyword words that may be named in a plan.
-VOCABULARY_WORDS = 10_000
-
 _NOTICE_COLUMNS = [
     "control_number",
     "object_description",
@@ -52,35 +51,92 @@ _NOTICE_COLUMNS = [
 ]
 
 def prepare_profiles(profiles: DataFrame) -> DataFrame:
-    """Profiles with keyword matchers and served segments worked out once per profile."""
+    """Profiles with the names of their keywords and served segments worked out once per profile."""
+    named = F.transform("keywords", lambda k: F.struct(k.alias("text"), keyword_phrase(k).alias("phrase")))
     return profiles.select(
         "profile_id",
-        F.transform("keywords", keyword_matcher).alias("matchers"),
-        keyword_words(F.transform("keywords", keyword_matcher)).alias("keyword_words"),
+        named.alias("matchers"),
         F.array_sort(F.array_distinct(F.transform("cnaes", segment_of))).alias("served"),
         "states",
         "value_min",
         "value_max",
         "minimum_score",
+    ).withColumn(
+        "wanted_phrases",
+        F.array_distinct(
+            F.filter(F.transform("matchers", lambda m: m["phrase"]), lambda p: p.isNotNull())
+        ),
+    )
+
+
+def keyword_terms(profiles: DataFrame) -> DataFrame:
+    """Each keyword that is looked for, once, however many profiles have it."""
+    keywords = profiles.select(F.explode("keywords").alias("keyword")).distinct()
+    terms = keywords.select(keyword_term(F.col("keyword")).alias("t")).select("t.*")
+    return terms.filter(F.col("phrase").isNotNull()).dropDuplicates(["phrase"])
+
+
+def found_phrases(texts: DataFrame, terms: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``(control_number, phrases)``: the keywords that occur in each text (``control_number``,
+    ``folded_object``), as whole words, in singular or plural, by name.
+
+    Runs of words and keywords meet by one equality on a hash of their words without endings, and are
+    then compared word by word. Keywords with other characters meet the texts that have an anchor of
+    theirs, where their pattern decides. What travels is an id and a run of words, never a text.
+    """
+    facts = terms.agg(
+        F.collect_set(F.when(F.col("pattern").isNull(), F.size("parts"))).alias("lengths"),
+        F.max(F.col("pattern").isNotNull()).alias("odd"),
+    ).first()
+    small = fits(terms, broadcast_rows)
+
+    def side(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if small else rows.hint("merge")
+
+    plain = terms.filter(F.col("pattern").isNull()).select(
+        run_key(F.col("phrase")).alias("run_key"), "phrase", "parts"
     )
+    runs = texts.select(
+        "control_number", F.explode(word_runs(F.col("folded_object"), sorted(facts["lengths"]) or [1])).alias("run")
+    ).withColumn("run_key", run_key(F.col("run")))
+    found = runs.join(side(plain), "run_key").filter(is_run_of(F.col("run"), F.col("parts")))
+    found = found.select("control_number", "phrase")
+    if facts["odd"]:
+        odd = terms.filter(F.col("pattern").isNotNull()).select(
+            "phrase", "pattern", F.explode("anchors").alias("anchor")
+        )
+        anchors = texts.select("control_number", F.explode(anchor_keys(F.col("folded_object"))).alias("anchor"))
+        tried = anchors.join(side(odd), "anchor").select("control_number", "phrase", "pattern").distinct()
+        tried = texts.join(tried, "control_number").filter(F.rlike("folded_object", F.col("pattern")))
+        found = found.unionByName(tried.select("control_number", "phrase"))
+    return found.groupBy("control_number").agg(F.collect_set("phrase").alias("phrases"))
 
 
 def prepare_notices(
-    notices: DataFrame, enrichments: DataFrame, partitions: int | None = None
+    notices: DataFrame, enrichments: DataFrame, terms: DataFrame, partitions: int | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Notices with folded text, words and their latest enrichment, if any.
+    """Notices with the keywords found in their text and their latest enrichment, if any.
 
     Notices are spread by control number over ``partitions`` (by default as many as any shuffle):
-    the join needs them so anyway, and the expensive scoring after it then runs on every core even
-    when the notices came in a few files. Pass 0 for tables bucketed by control number.
+    the joins need them so anyway, and the expensive scoring after them then runs on every core even
+    when the notices came in a few files. Pass 0 for tables bucketed by control number. The text is
+    read for its keywords and left behind.
     """
     latest = latest_enrichments(enrichments).select("control_number", "segment", "confidence")
+    texts = _folded_texts(notices, partitions)
+    columns = [c for c in _NOTICE_COLUMNS if c != "object_description"]
     return (
-        _spread(notices.select(*_NOTICE_COLUMNS), partitions)
+        _spread(notices.select(*columns), partitions)
         .join(latest, "control_number", "left")
-        .withColumn("folded_object", fold(F.col("object_description")))
-        .withColumn("object_words", words(F.col("folded_object")))
-        .drop("object_description")
+        .join(found_phrases(texts, terms, broadcast_rows), "control_number", "left")
+        .withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
+    )
+
+
+def _folded_texts(texts: DataFrame, partitions: int | None) -> DataFrame:
+    return _spread(texts.select("control_number", "object_description"), partitions).select(
+        "control_number", fold(F.col("object_description")).alias("folded_object")
     )
 
 
@@ -131,15 +187,11 @@ def _every(arrays: dict[str, Column], combination: tuple[str, ...]) -> Column:
     return extend(combination, {})
 
 
-def _odd_key(character: Column) -> Column:
-    return F.concat(F.lit("#"), character)
-
-
 def _profile_evidence() -> dict[str, Column]:
     none = F.array().cast("array<int>")
     octaves = F.sequence("first_octave", "last_octave")
     return {
-        V.KEYWORD: F.col("wanted_words"),
+        V.KEYWORD: F.col("wanted_phrases"),
         V.SEGMENT: F.col("served"),
         V.ESTIMATED_VALUE: F.when(F.col("first_octave").isNotNull(), octaves).otherwise(none),
         V.STATE: F.array_distinct("states"),
@@ -147,50 +199,30 @@ def _profile_evidence() -> dict[str, Column]:
 
 
 def _with_profile_evidence(profiles: DataFrame) -> DataFrame:
-    found = F.transform(
-        F.filter("matchers", lambda m: ~m["never"]),
-        lambda m: F.when(m["odd"].isNotNull(), F.array(_odd_key(m["odd"]))).otherwise(m["anchor"]),
-    )
     low, high = F.col("value_min"), F.col("value_max")
     return profiles.withColumns(
         {
-            "wanted_words": F.array_distinct(F.flatten(found)),
             "first_octave": F.when(low <= high, value_octave(low)),
             "last_octave": F.when(low <= high, value_octave(high)),
         }
     )
 
 
-def _with_notice_evidence(notices: DataFrame, odd: bool) -> DataFrame:
-    text = F.col("object_words")
-    if odd:
-        text = F.concat(text, F.transform(odd_characters(F.col("folded_object")), _odd_key))
-    return notices.withColumns(
-        {"shown_words": text, "value_octave": value_octave(F.col("estimated_value"))}
-    )
-
-
-def _only_words(notices: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Notices reduced to some words, so that long texts carry a handful instead of thousands."""
-    known = [r["word"] for r in vocabulary.collect()]
-    return notices.withColumn("object_words", F.filter("object_words", lambda w: w.isin(known)))
-
-
 def _notice_keys(used: list[tuple[str, ...]]) -> Column:
-    """What a notice shows, as rows of combination number, word and key."""
+    """What a notice shows, as rows of combination number, keyword and key."""
     value = {
         V.SEGMENT: F.col("segment"),
         V.ESTIMATED_VALUE: F.col("value_octave"),
         V.STATE: F.col("state"),
     }
-    no_word = F.lit(None).cast("string")
+    no_phrase = F.lit(None).cast("string")
 
-    def row(number: int, word: Column, key: Column) -> Column:
+    def row(number: int, phrase: Column, key: Column) -> Column:
         return F.struct(
-            F.lit(number).alias("combination"), word.alias("word"), key.alias("evidence_key")
+            F.lit(number).alias("combination"), phrase.alias("phrase"), key.alias("evidence_key")
         )
 
-    none = F.array().cast("array<struct<combination:int,word:string,evidence_key:bigint>>")
+    none = F.array().cast("array<struct<combination:int,phrase:string,evidence_key:bigint>>")
     parts = []
     for number, combination in enumerate(used):
         present = F.lit(True)
@@ -198,23 +230,23 @@ def _notice_keys(used: list[tuple[str, ...]]) -> Column:
             if rule != V.KEYWORD:
                 present = present & value[rule].isNotNull()
         if V.KEYWORD in combination:
-            rows = _word_rows(number, combination, value, row)
+            rows = _phrase_rows(number, combination, value, row)
         else:
-            rows = F.array(row(number, no_word, _key(combination, value)))
+            rows = F.array(row(number, no_phrase, _key(combination, value)))
         parts.append(F.when(present, rows).otherwise(none))
     return F.flatten(F.array(*parts)) if parts else none
 
 
-def _word_rows(number: int, combination: tuple[str, ...], value: dict[str, Column], row) -> Column:
+def _phrase_rows(number: int, combination: tuple[str, ...], value: dict[str, Column], row) -> Column:
     return F.transform(
-        "shown_words", lambda w: row(number, w, _key(combination, {**value, V.KEYWORD: w}))
+        "phrases", lambda p: row(number, p, _key(combination, {**value, V.KEYWORD: p}))
     )
 
 
 def _first_shown(used: list[tuple[str, ...]], needed: dict[int, list[tuple[str, ...]]]) -> Column:
     """Number of the first combination that a profile needs and a pair shows."""
     shown = {
-        V.KEYWORD: F.arrays_overlap("shown_words", "wanted_words"),
+        V.KEYWORD: F.arrays_overlap("phrases", "wanted_phrases"),
         V.SEGMENT: F.array_contains("served", F.col("segment")),
         V.ESTIMATED_VALUE: F.col("value_octave").between(
             F.col("first_octave"), F.col("last_octave")
@@ -241,17 +273,16 @@ def candidate_pairs(
     """Prepared notices and profiles side by side, once for each pair that can reach the profile's
     ``floor_score``.
 
-    A pair may share several keys. With few profile keys and words these go to the notices, which never
-    move; a pair is kept at the first combination it shows, and there at the smallest word, which the
-    two rows tell without a shuffle. Otherwise keys meet as narrow rows of ids, a key that many notices
-    carry is split by Spark at run time, pairs are made distinct, and only then profile and text join
-    them; the text never leaves the place it has by control number. Both ways return the same pairs.
+    A pair may share several keys. With few profile keys these go to the notices, which never move; a pair
+    is kept at the first combination it shows, and there at the smallest keyword, which the two rows tell
+    without a shuffle. Otherwise keys meet as narrow rows of ids, a key that many notices carry is split by
+    Spark at run time, and pairs are made distinct before profile and notice join them. Keywords are
+    evidence as found, not word by word, so only pairs that share one meet. Both ways return the same pairs.
     """
     profiles = _with_profile_evidence(profiles)
     # At most 101 different thresholds exist.
     facts = profiles.agg(
         F.collect_set(F.greatest(F.least("floor_score", F.lit(100)), F.lit(0))).alias("thresholds"),
-        F.max(F.exists("matchers", lambda m: m["odd"].isNotNull())).alias("odd"),
     ).first()
     needed = {t: minimal_combinations(t, weights) for t in facts["thresholds"]}
     used = sorted({c for sets in needed.values() for c in sets})
@@ -266,32 +297,29 @@ def candidate_pairs(
     wanted = profiles.select(
         "profile_id", F.explode_outer(F.array_distinct(keys)).alias("evidence_key")
     )
-    vocabulary = profiles.select(F.explode("keyword_words").alias("word")).distinct()
-    odd = bool(facts["odd"])
     small = F.broadcast(profiles) if fits(profiles, broadcast_rows // 10) else profiles
-    if not (fits(vocabulary, min(broadcast_rows, VOCABULARY_WORDS)) and fits(wanted, broadcast_rows)):
-        shown = _with_notice_evidence(notices, odd).select(
-            "control_number", F.explode_outer(_notice_keys(used)).alias("_shown")
-        )
+    shown = notices.withColumn("value_octave", value_octave(F.col("estimated_value")))
+    if not fits(wanted, broadcast_rows):
+        keys = shown.select("control_number", F.explode_outer(_notice_keys(used)).alias("_shown"))
         ids = (
-            shown.select("control_number", "_shown.evidence_key")
+            keys.select("control_number", "_shown.evidence_key")
             .join(wanted.hint("merge"), "evidence_key")
             .select("control_number", "profile_id")
             .distinct()
         )
-        return ids.join(small, "profile_id").join(notices, "control_number").drop("wanted_words")
-    shown = _with_notice_evidence(_only_words(notices, vocabulary), odd).withColumn(
-        "_shown", F.explode_outer(_notice_keys(used))
-    ).select("*", "_shown.combination", "_shown.word", "_shown.evidence_key").drop("_shown")
-    smallest_word = F.array_min(F.array_intersect("shown_words", "wanted_words"))
+        return ids.join(small, "profile_id").join(notices, "control_number")
+    shown = shown.withColumn("_shown", F.explode_outer(_notice_keys(used))).select(
+        "*", "_shown.combination", "_shown.phrase", "_shown.evidence_key"
+    ).drop("_shown")
+    smallest = F.array_min(F.array_intersect("phrases", "wanted_phrases"))
     return (
         shown.join(F.broadcast(wanted), "evidence_key")
         .join(small, "profile_id")
         .filter(
             (F.col("combination") == _first_shown(used, needed))
-            & (F.col("word").isNull() | (F.col("word") == smallest_word))
+            & (F.col("phrase").isNull() | (F.col("phrase") == smallest))
         )
-        .drop("evidence_key", "combination", "word", "shown_words", "wanted_words")
+        .drop("evidence_key", "combination", "phrase")
     )
 
 
@@ -306,8 +334,7 @@ def scored(pairs: DataFrame, weights: dict[str, int], at: Column, horizon: Horiz
     for rule in rules:
         points = points + F.lit(float(weights[rule.name])) * rule.strength
         pending = pending | (rule.kind == V.PENDING)
-    present = F.array_intersect("object_words", "keyword_words")
-    with_hits = computed_once(pairs.withColumn("present_words", present), {"hits": keyword_hits()})
+    with_hits = computed_once(pairs, {"hits": keyword_hits()})
     numbers = {
         "score": round_half_up(points),
         "coverage": _coverage(rules, weights),
@@ -396,26 +423,12 @@ def near_misses(
 
 def _candidates(notices, enrichments, profiles, at, weights, horizon, margin, broadcast_rows):
     chosen = checked_weights(weights)
-    subject = prepare_notices(open_notices(notices, at), enrichments)
+    terms = keyword_terms(profiles)
+    subject = prepare_notices(open_notices(notices, at), enrichments, terms, broadcast_rows=broadcast_rows)
     prepared = prepare_profiles(profiles).withColumn(
         "floor_score", F.greatest(F.col("minimum_score") - margin, F.lit(0))
     )
-    pairs = candidate_pairs(subject, prepared, chosen, broadcast_rows)
-    hopeful = _at_most(chosen, instant(at), horizon) >= F.col("floor_score") - F.lit(0.5 + 1e-6)
-    return scored(pairs.filter(hopeful), chosen, instant(at), horizon)
-
-
-def _at_most(weights: dict[str, int], at: Column, horizon: Horizon) -> Column:
-    """The points a pair would have if all of its keywords were found, once any word of them is:
-    exact for the other rules, and cheaper than looking for every keyword."""
-    points = F.lit(0.0)
-    for rule in all_rules(at, horizon):
-        if rule.name != V.KEYWORD:
-            points = points + F.lit(float(weights[rule.name])) * rule.strength
-    any_word = F.arrays_overlap("object_words", "keyword_words") | F.exists(
-        "matchers", lambda m: m["odd"].isNotNull()
-    )
-    return points + F.when(any_word, float(weights[V.KEYWORD])).otherwise(0.0)
+    return scored(candidate_pairs(subject, prepared, chosen, broadcast_rows), chosen, instant(at), horizon)
 
 
 def disqualified(notices: DataFrame, at: datetime) -> DataFrame:
@@ -453,19 +466,20 @@ def keyword_matches(
     partitions: int | None = None,
 ) -> DataFrame:
     """Texts (``control_number``, ``object_description``) in which a profile's keywords occur, with
-    the keywords found and their share. Joined on words, over the whole text."""
-    only_keywords = dict.fromkeys(V.RULES, 0) | {V.KEYWORD: 100}
-    folded = _spread(texts, partitions).select(
-        "control_number",
-        fold(F.col("object_description")).alias("folded_object"),
-        *[F.lit(None).cast(t).alias(n) for n, t in _UNUSED.items()],
-    ).withColumn("object_words", words(F.col("folded_object")))
-    prepared = prepare_profiles(profiles).withColumn("floor_score", F.lit(1))
-    pairs = candidate_pairs(folded, prepared, only_keywords, broadcast_rows)
-    present = F.array_intersect("object_words", "keyword_words")
-    hits = computed_once(
-        pairs.withColumn("present_words", present), {"hits": keyword_hits()}
-    ).filter(F.size("hits") > 0)
+    the keywords found and their share, over the whole text."""
+    phrases = found_phrases(_folded_texts(texts, partitions), keyword_terms(profiles), broadcast_rows)
+    prepared = prepare_profiles(profiles).select("profile_id", "matchers", "wanted_phrases")
+    wanted = prepared.select("profile_id", F.explode("wanted_phrases").alias("phrase"))
+    found = phrases.select("control_number", F.explode("phrases").alias("phrase"))
+    few = fits(wanted, broadcast_rows)
+    pairs = (
+        found.join(F.broadcast(wanted) if few else wanted.hint("merge"), "phrase")
+        .groupBy("control_number", "profile_id")
+        .agg(F.collect_set("phrase").alias("phrases"))
+    )
+    named = prepared.select("profile_id", "matchers")
+    pairs = pairs.join(F.broadcast(named) if few and fits(named, broadcast_rows) else named, "profile_id")
+    hits = computed_once(pairs, {"hits": keyword_hits()})
     return hits.select(
         "control_number",
         "profile_id",
@@ -474,13 +488,6 @@ def keyword_matches(
     )
 
 
-# Columns of a notice that keyword search alone does not look at.
-_UNUSED = {
-    "segment": "string", "estimated_value": "decimal(38,10)",
-    "estimated_amount": "string", "state": "string",
-}
-
-
 def evaluate_pairs(
     pairs: DataFrame, notices: DataFrame, enrichments: DataFrame, profiles: DataFrame,
     at: datetime, weights: dict[str, int] | None = None, horizon: Horizon = Horizon(),
@@ -504,7 +511,8 @@ def evaluate_pairs(
             F.col("minimum_score").alias("threshold"),
         )
     )
-    subject = prepare_notices(notices.filter(open_now), enrichments)
+    mine = notices.filter(open_now).join(asked.select("control_number").distinct(), "control_number", "left_semi")
+    subject = prepare_notices(mine, enrichments, keyword_terms(profiles))
     joined = asked.join(subject, "control_number").join(prepare_profiles(profiles), "profile_id")
     numbers = explained(scored(joined, chosen, now, horizon), chosen, now, horizon)
     result = F.when(F.col("score") >= F.col("minimum_score"), V.MATCHED).otherwise(V.BELOW_THRESHOLD)

@@ -6,16 +6,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderloom.functions import canonical, text, times, values
+from tenderloom.operators.scoring import found_phrases, keyword_terms
 
 
 @pytest.fixture
 def found(spark):
     def check(keyword, body):
-        df = spark.createDataFrame([(keyword, body)], "k string, b string")
-        df = df.select(text.keyword_matcher(F.col("k")).alias("m"), text.fold(F.col("b")).alias("f"))
-        df = df.withColumn("w", text.words(F.col("f")))
-        present = F.array_intersect("w", text.keyword_words(F.array("m")))
-        return df.select(text.keyword_found(F.col("m"), F.col("f"), present)).first()[0]
+        texts = spark.createDataFrame([("n", body)], "control_number string, b string")
+        texts = texts.select("control_number", text.fold(F.col("b")).alias("folded_object"))
+        profiles = spark.createDataFrame([([keyword],)], "keywords array<string>")
+        rows = found_phrases(texts, keyword_terms(profiles)).collect()
+        assert not rows or len(rows[0].phrases) == 1
+        return bool(rows)
 
     return check
 
