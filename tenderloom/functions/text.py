@@ -108,24 +108,27 @@ def keyword_term(keyword: Column) -> Column:
     """Everything needed to look for one keyword in texts.
 
     A keyword of plain words is found by its words alone. One with other characters has a ``pattern``,
-    tried where a text has one of its ``anchors``: the forms of its first word, or else its first
-    character behind a ``#``, which no word has.
+    tried where a text has its ``run``: its words one after another, whatever stands between them. If it
+    has no word, that is its first character behind a ``#``.
     """
     parts = stems(keyword)
     joined = F.array_join(parts, " ")
     plain = F.forall(parts, lambda p: p.rlike(f"^{_WORD}+$"))
-    anchor = F.regexp_extract(joined, f"({_WORD}+)", 1)
+    inner = F.regexp_extract_all(joined, F.lit(f"({_WORD}+)"))
+    # At its start a keyword's own character tells which kind of edge that is.
+    start = F.when(joined.rlike(f"^{_WORD}"), f"(?<!{_WORD})").otherwise(f"(?<={_WORD})")
     pattern = F.concat(
-        F.lit(_EDGE),
+        start,
         F.array_join(F.transform(parts, lambda p: F.concat(_quoted(p), F.lit("(?:es|s)?"))), "\\s+"),
         F.lit(_EDGE),
     )
-    anchors = F.when(anchor != "", plural_forms(anchor)).otherwise(F.array(odd_key(F.substring(joined, 1, 1))))
+    run = F.when(F.size(inner) > 0, F.array_join(inner, " ")).otherwise(odd_key(F.substring(joined, 1, 1)))
     return F.struct(
         keyword_phrase(keyword).alias("phrase"),
         parts.alias("parts"),
         F.when(~plain, pattern).alias("pattern"),
-        F.when(~plain, anchors).alias("anchors"),
+        F.when(plain, joined).otherwise(run).alias("run"),
+        F.size(inner).alias("length"),
     )
 
 
@@ -133,28 +136,35 @@ def odd_key(character: Column) -> Column:
     return F.concat(F.lit("#"), character)
 
 
-def anchor_keys(folded: Column) -> Column:
-    """What a text has of possible anchors."""
-    return F.concat(words(folded), F.transform(odd_characters(folded), odd_key))
-
-
-def word_runs(folded: Column, lengths: list[int]) -> Column:
-    """Distinct runs of so many words with nothing but whitespace between them, joined by a space."""
-    stretches = F.split(folded, "[^A-Za-z0-9_\\s]+")
+def word_runs(folded: Column, lengths: list[int], between: str = "\\s+") -> Column:
+    """Distinct runs of so many words, joined by a space, with nothing but whitespace between them, or
+    what else ``between`` matches."""
+    stretches = F.split(folded, "[^A-Za-z0-9_\\s]+") if between == "\\s+" else F.array(folded)
 
     def split_up(stretch: Column) -> Column:
-        return F.filter(F.split(stretch, "\\s+"), lambda w: w != F.lit(""))
+        return F.filter(F.split(stretch, between), lambda w: w != F.lit(""))
 
     def runs(length: int) -> Column:
         if length == 1:
             return words(folded)
-        each = F.transform(F.filter(F.transform(stretches, split_up), lambda s: F.size(s) >= length), lambda s: F.transform(
-            F.sequence(F.lit(1), F.size(s) - length + 1), lambda i: F.array_join(F.slice(s, i, F.lit(length)), " ")))
-        return F.array_distinct(F.flatten(each))
+        parts = F.filter(F.transform(stretches, split_up), lambda s: F.size(s) >= length)
+
+        def each(s: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(s) - length + 1)
+            return F.transform(starts, lambda i: F.array_join(F.slice(s, i, F.lit(length)), " "))
+
+        return F.array_distinct(F.flatten(F.transform(parts, each)))
 
     return F.flatten(F.array(*[runs(n) for n in lengths]))
 
 
+def odd_runs(folded: Column, lengths: list[int]) -> Column:
+    """What a text has of the runs that keywords with other characters are looked for by."""
+    single = F.transform(odd_characters(folded), odd_key)
+    counted = [n for n in lengths if n]
+    return F.concat(single, word_runs(folded, counted, "[^A-Za-z0-9_]+")) if counted else single
+
+
 def run_key(run: Column) -> Column:
     """A hash that is the same for a run of words and each run of their forms: ``s`` and ``e`` at the end
     of a word don't count. Others may share it."""

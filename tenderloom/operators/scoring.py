@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from tenderloom import vocabulary as V
 from tenderloom.functions.rows import computed_once
 from tenderloom.functions.text import (
-    anchor_keys,
     fold,
     is_run_of,
     keyword_phrase,
     keyword_term,
+    odd_runs,
     run_key,
     word_runs,
 )
@@ -81,33 +81,29 @@ def found_phrases(texts: DataFrame, terms: DataFrame, broadcast_rows: int = BROA
     ``folded_object``), as whole words, in singular or plural, by name.
 
     Runs of words and keywords meet by one equality on a hash of their words without endings, and are
-    then compared word by word. Keywords with other characters meet the texts that have an anchor of
-    theirs, where their pattern decides. What travels is an id and a run of words, never a text.
+    then compared word by word. Keywords with other characters meet texts that have their words in a row,
+    where their pattern decides. What travels is an id and a run of words, never a text.
     """
+    odd = F.col("pattern").isNotNull()
     facts = terms.agg(
-        F.collect_set(F.when(F.col("pattern").isNull(), F.size("parts"))).alias("lengths"),
-        F.max(F.col("pattern").isNotNull()).alias("odd"),
+        F.collect_set(F.when(~odd, F.col("length"))).alias("plain"),
+        F.collect_set(F.when(odd, F.col("length"))).alias("odd"),
     ).first()
     small = fits(terms, broadcast_rows)
+    keyed = terms.withColumns({"run_key": run_key(F.col("run")), "start": F.col("parts")[0]}).drop("run", "length")
+    folded = F.col("folded_object")
 
-    def side(rows: DataFrame) -> DataFrame:
-        return F.broadcast(rows) if small else rows.hint("merge")
+    def meeting(runs: Column, wanted: DataFrame) -> DataFrame:
+        shown = texts.select("control_number", F.explode(runs).alias("run"))
+        side = F.broadcast(wanted) if small else wanted.hint("merge")
+        return shown.withColumn("run_key", run_key(F.col("run"))).join(side, "run_key")
 
-    plain = terms.filter(F.col("pattern").isNull()).select(
-        run_key(F.col("phrase")).alias("run_key"), "phrase", "parts"
-    )
-    runs = texts.select(
-        "control_number", F.explode(word_runs(F.col("folded_object"), sorted(facts["lengths"]) or [1])).alias("run")
-    ).withColumn("run_key", run_key(F.col("run")))
-    found = runs.join(side(plain), "run_key").filter(is_run_of(F.col("run"), F.col("parts")))
-    found = found.select("control_number", "phrase")
+    met = meeting(word_runs(folded, sorted(facts["plain"]) or [1]), keyed.filter(~odd))
+    found = met.filter(is_run_of(F.col("run"), F.col("parts"))).select("control_number", "phrase")
     if facts["odd"]:
-        odd = terms.filter(F.col("pattern").isNotNull()).select(
-            "phrase", "pattern", F.explode("anchors").alias("anchor")
-        )
-        anchors = texts.select("control_number", F.explode(anchor_keys(F.col("folded_object"))).alias("anchor"))
-        tried = anchors.join(side(odd), "anchor").select("control_number", "phrase", "pattern").distinct()
-        tried = texts.join(tried, "control_number").filter(F.rlike("folded_object", F.col("pattern")))
+        met = meeting(odd_runs(folded, sorted(facts["odd"])), keyed.filter(odd))
+        tried = texts.join(met.select("control_number", "phrase", "pattern", "start").distinct(), "control_number")
+        tried = tried.filter(F.contains(folded, F.col("start")) & F.rlike(folded, F.col("pattern")))
         found = found.unionByName(tried.select("control_number", "phrase"))
     return found.groupBy("control_number").agg(F.collect_set("phrase").alias("phrases"))
 
