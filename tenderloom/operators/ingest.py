@@ -261,7 +261,9 @@ def _first_of_key(rows: DataFrame, order: list[str], parts: int = 64) -> DataFra
     """Rows with ``_first``, true for exactly one row of each key. A busy key is ranked in parts
     first, so no task ranks all of its rows."""
     spread = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    # Ranks are worked out twice, for leaders and for the rest, so rows that tie must not change places.
     places = [F.col(c).asc_nulls_first() for c in order]
+    places.append(F.to_json(F.struct(*[F.col(c) for c in rows.columns])))
     own = W.partitionBy(KEY, "_part").orderBy(*places)
     ranked = spread.withColumn("_first", F.row_number().over(own) == 1)
     lead = W.partitionBy(KEY).orderBy(*places, "_part")

@@ -365,7 +365,30 @@ def match_ids(spark, folder):
     "SELECT control_number, score FROM matched WHERE profile_id = '1'",
 )
 def matches_of_profile(spark, folder):
-    return tables.find(_matched(spark, folder), profile_id="1").select("control_number", "score")
+    """Read from the stored table."""
+    return tables.find(_stored_matches(spark, folder)[0], profile_id="1").select("control_number", "score")
+
+
+def _stored_matches(spark, folder):
+    """Matches worked out once and stored by id; and where."""
+    home = shared_folder(spark, "matches")
+    found = _matched(spark, folder).select("match_id", "control_number", "profile_id", "score")
+    tables.store_keyed(found, home, "match_id", 16)
+    return tables.read_keyed(spark, home, found.schema), home
+
+
+@_query(
+    "match_by_id",
+    ["matched"],
+    """
+    SELECT match_id, control_number, profile_id, score FROM matched
+    WHERE match_id = (SELECT min(match_id) FROM matched)
+    """,
+)
+def match_by_id(spark, folder):
+    stored, _ = _stored_matches(spark, folder)
+    wanted = stored.agg(F.min("match_id")).first()[0]
+    return tables.find_keyed(stored, "match_id", wanted, 16)
 
 
 @_query(
@@ -379,11 +402,14 @@ def matches_of_profile(spark, folder):
 )
 def match_upsert(spark, folder):
     """Matches are stored once without a score, then those of enriched notices are scored again."""
-    found = _matched(spark, folder).select("match_id", "control_number", "profile_id", "score")
+    found, _ = _stored_matches(spark, folder)
+    found = found.drop("bucket")
+    home, scratch = shared_folder(spark, "matches"), shared_folder(spark, "matches-next")
+    tables.store_keyed(found.withColumn("score", F.lit(-1)), home, "match_id", 16)
     enriched = X.enrichments(spark, folder).select("control_number").distinct()
     again = found.join(enriched, "control_number", "left_semi").select(*found.columns)
-    before = found.withColumn("score", F.lit(-1))
-    return tables.upsert(before, again, "match_id")
+    tables.upsert_keyed(again, home, "match_id", scratch, 16)
+    return tables.read_keyed(spark, home, found.schema).drop("bucket")
 
 
 @_query(
@@ -1360,6 +1386,23 @@ def chunk_scan(spark, folder):
     return chunk.select("o_orderkey", "page_number")
 
 
+@_query(
+    "landed_chunk_pages",
+    ["raw"],
+    """
+    SELECT CAST(publication_date AS VARCHAR) AS publication_date, modality_code, state,
+      count(DISTINCT page_number) AS pages
+    FROM raw WHERE publication_date = DATE '2024-01-01' AND modality_code = 8 AND state = 'BA' GROUP BY ALL
+    """,
+)
+def landed_chunk_pages(spark, folder):
+    """One chunk of a stored landing table, with its number of pages."""
+    home = shared_folder(spark, "landing")
+    landing.write_landing(X.landing(spark, folder), home)
+    chunk = landing.scan_chunk(landing.read_landing(spark, home), date(2024, 1, 1), 8, "BA")
+    return landing.page_totals(chunk).select(_text("publication_date"), "modality_code", "state", "pages")
+
+
 _CHUNK_FACTS = """
     WITH pages AS (
       SELECT publication_date, modality_code, state, page_number,
@@ -1416,6 +1459,32 @@ def discovery_results(spark, folder):
     )
 
 
+@_query(
+    "landed_discovery",
+    ["raw", "landed"],
+    _CHUNK_FACTS.replace("WITH pages", "SELECT * FROM (WITH pages")
+    + """
+    SELECT CAST(publication_date AS VARCHAR) AS publication_date, modality_code, state, failure,
+      CASE WHEN failure IS NULL THEN pages END AS pages,
+      CASE WHEN failure IS NULL THEN published END AS published FROM chunks
+    WHERE year(publication_date) = 2024 AND modality_code = 8)
+    """,
+)
+def landed_discovery(spark, folder):
+    """A run over a stored landing table that owes a part of it: no other folder is opened."""
+    home = shared_folder(spark, "landing")
+    landing.write_landing(X.landing(spark, folder), home)
+    owed = X.owed_chunks(spark, folder).filter(
+        (F.year("publication_date") == 2024) & (F.col("modality_code") == 8)
+    )
+    chunk = ["publication_date", "modality_code", "state"]
+    run = discovery.discover(owed, landing.read_landing(spark, home), _now())
+    told = run.results.select(*chunk, "pages", "published")
+    return run.attempts.select(*chunk, "failure").join(told, chunk, "left").select(
+        _text("publication_date"), "modality_code", "state", "failure", "pages", "published"
+    )
+
+
 @_query(
     "discovery_messages",
     ["raw", "landed"],

@@ -13,7 +13,7 @@ from tenderloom.operators.coverage import complete_chunks, record_attempts, reso
 from tenderloom.operators.mapping import map_notices, with_change_token
 from tenderloom.plans.sizing import fits
 from tenderloom.schemas import LEDGER_KEY
-from tenderloom.sources.landing import CHUNK, open_pages, page_notices
+from tenderloom.sources.landing import CHUNK, of_chunks, open_pages, page_notices
 from tenderloom.sources.messages import arrival, messages_for, publish
 from tenderloom.sources.tables import write_batch
 
@@ -66,7 +66,7 @@ def discover(
     asked = chunks.select(*CHUNK).distinct()
     # The owed chunks bound every list of chunks below, so one check decides for all of them.
     few = fits(asked)
-    opened = open_pages(pages.join(F.broadcast(asked) if few else asked, CHUNK, "left_semi"))
+    opened = open_pages(of_chunks(pages, asked, few))
     # The notice has a state and a modality of its own, so the chunk's get other names.
     origin = {"modality_code": "chunk_modality", "state": "chunk_state"}
     page = ["publication_date", "chunk_modality", "chunk_state", "page_number"]

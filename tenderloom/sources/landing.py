@@ -16,21 +16,43 @@ from tenderloom.schemas import LANDING
 from tenderloom.vocabulary import EMPTY_BODY, QUOTE_LENGTH
 
 CHUNK = ["publication_date", "modality_code", "state"]
+# What a stored landing is laid out by, in the same order.
+FOLDERS = ["publication_day", "modality_dir", "state_dir"]
 
 
 def write_landing(pages: DataFrame, path: str) -> None:
     """Store pages partitioned by chunk; writing a chunk again replaces that chunk only."""
     (
-        pages.withColumn("publication_day", date_key("publication_date"))
-        .withColumn("modality_dir", F.col("modality_code"))
-        .withColumn("state_dir", F.col("state"))
-        .write.partitionBy("publication_day", "modality_dir", "state_dir")
+        with_folders(pages)
+        .write.partitionBy(*FOLDERS)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .parquet(path)
     )
 
 
+def with_folders(chunks: DataFrame) -> DataFrame:
+    """Where the pages of a chunk are stored."""
+    values = [date_key("publication_date"), F.col("modality_code"), F.col("state")]
+    return chunks.withColumns(dict(zip(FOLDERS, values)))
+
+
+def of_chunks(pages: DataFrame, chunks: DataFrame, few: bool) -> DataFrame:
+    """The pages of some chunks. Where few chunks are asked for from a stored landing, they are sent to
+    every executor first, and Spark opens no folder but theirs."""
+    on = CHUNK
+    if set(FOLDERS) <= set(pages.columns):
+        # The test on the day is always true; it tells the planner that the chunks are a selection.
+        chunks, on = with_folders(chunks).filter(F.col("publication_day") > ""), [*CHUNK, *FOLDERS]
+    found = pages.join(F.broadcast(chunks) if few else chunks, on, "left_semi")
+    return found.drop(*FOLDERS)
+
+
+def page_totals(pages: DataFrame) -> DataFrame:
+    """Pages landed for each chunk."""
+    return pages.groupBy(*CHUNK).agg(F.countDistinct("page_number").alias("pages"))
+
+
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     folders = "publication_day STRING, modality_dir INT, state_dir STRING"
     layout = T.StructType([*LANDING.fields, *T.StructType.fromDDL(folders).fields])

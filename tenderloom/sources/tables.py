@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tenderloom.schemas import FEEDBACK
 
@@ -62,6 +62,51 @@ def upsert(rows: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return rows.join(one.select(key), key, "left_anti").unionByName(one)
 
 
+BUCKETS = 256
+
+
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def store_keyed(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Store a table in folders by the key's hash. Only the folders that ``rows`` fall into are replaced."""
+    (
+        rows.withColumn("bucket", bucket_of(F.col(key), buckets))
+        .repartition("bucket")
+        .write.partitionBy("bucket")
+        .option("partitionOverwriteMode", "dynamic")
+        .mode("overwrite")
+        .parquet(path)
+    )
+
+
+def read_keyed(spark: SparkSession, path: str, layout: StructType) -> DataFrame:
+    """A stored table with its ``bucket``."""
+    return spark.read.schema(StructType([*layout.fields, StructField("bucket", IntegerType())])).parquet(path)
+
+
+def find_keyed(rows: DataFrame, key: str, value: str, buckets: int = BUCKETS) -> DataFrame:
+    """Point read by key: no bucket but the key's is opened."""
+    wanted = F.lit(value)
+    return rows.filter((F.col("bucket") == bucket_of(wanted, buckets)) & (F.col(key) == wanted)).drop("bucket")
+
+
+def upsert_keyed(incoming: DataFrame, path: str, key: str, scratch: str, buckets: int = BUCKETS) -> list[int]:
+    """``upsert`` into a stored table. Only buckets that incoming rows fall into are read and written, so
+    a batch costs what it touches, however many came before. Returns these buckets, of which there are at
+    most ``buckets``. The next state is whole in ``scratch`` before any bucket is replaced; a batch that
+    broke off is mended by running it again, which gives the same rows."""
+    spark = incoming.sparkSession
+    touched = incoming.select(bucket_of(F.col(key), buckets).alias("b")).distinct()
+    touched = sorted(r["b"] for r in touched.collect())
+    held = read_keyed(spark, path, incoming.schema)
+    held = held.filter(F.col("bucket").isin(touched)).select(*incoming.columns)
+    upsert(held, incoming, key).write.mode("overwrite").parquet(scratch)
+    store_keyed(spark.read.schema(incoming.schema).parquet(scratch), path, key, buckets)
+    return touched
+
+
 def feedback_events(match_ids: DataFrame, verdict: Column, given_at: Column) -> DataFrame:
     """Feedback to append: every judgement is a new event with its own id."""
     return match_ids.select(
