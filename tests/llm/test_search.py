@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tenderloom.llm import near
 from tenderloom.llm.common import common_subsequence
 from tenderloom.llm.leaks import benchmark_leaks, clean_documents
+from tenderloom.llm.leaks import words as leak_words
 from tenderloom.llm.licenses import BASE, license_scan, template_words
 from tenderloom.llm.mixing import apportion, mix, mixed_documents, targets
 from tenderloom.llm.near import near_duplicates
@@ -165,6 +166,47 @@ def test_leaks_are_found_and_clean_documents_left(spark, docs):
     assert left == set(range(49)) - {1, 2, 3, 4, 8}
 
 
+def held_by_brute_force(text, item, coverage=0.6, sure=0.8, answer=0.75):
+    """The item's words against every stretch of the text, wherever they stand."""
+    text, item = leak_words(text or ""), leak_words(item)
+    n, known = len(item), set(item)
+    width, step = n + n // 4 + 4, max(1, n // 8)
+    tail = item[-max(1, min(n, max(3, n // 5))) :]
+    for at in range(0, max(1, len(text) - width + step), step):
+        stretch = text[at : at + width]
+        if sum(w in known for w in stretch) < coverage * n:
+            continue
+        share = common_subsequence(item, stretch) / n
+        if share >= sure or share >= coverage and common_subsequence(tail, stretch) / len(tail) >= answer:
+            return True
+    return False
+
+
+def test_leaks_of_any_length_as_by_brute_force(spark, docs):
+    rng = random.Random(8)
+    # Common words are frequent, as in real texts.
+    words = [sentence(rng, 1) + str(i) for i in range(4_000)]
+    fill = lambda n: " ".join(words[int(4_000 * rng.random() ** 3)] for _ in range(n))
+    sizes = (10, 40, 64, 65, 129, 400, 1_200, 1_800, 2_048, 2_500, 5_000)
+    items = [fill(n) for n in sizes]
+    texts, planted = [], set()
+    for i, item in enumerate(items):
+        planted |= {(len(texts), i), (len(texts) + 1, i), (len(texts) + 2, i)}
+        texts.append(fill(170) + " " + item + " " + fill(90))
+        # A word in ten is another one; a word in ten is added.
+        texts.append(fill(37) + " " + " ".join("other" if rng.random() < 0.1 else w for w in item.split()))
+        texts.append(" ".join(w + " more" if rng.random() < 0.1 else w for w in item.split()) + " " + fill(500))
+        # Less than half of it is not the item.
+        texts.append(fill(30) + " " + " ".join(item.split()[: len(item.split()) * 9 // 20]) + " " + fill(60))
+    texts += [fill(n) for n in (50, 200, 3_000, 9_000)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    wanted = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if held_by_brute_force(t, item)}
+    assert planted <= wanted
+    got = benchmark_leaks(docs(*texts), bench, items=120).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == wanted and len(got) == len(wanted)
+    assert min(r.coverage for r in got if r.doc_id % 4 == 0) == 1.0
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     passage = " ".join(odd_rows()[7][1].split()[40:80])
     bench = spark.createDataFrame([(None, passage), (2, passage[:-1])], "item_id long, text string")
