@@ -2,7 +2,9 @@
 
 Targets are the sources' shares of all words, capped at a multiple of what a source has. Blocks of
 equal size go to the sources with the highest quotients ``target / (2 k + 1)``, then within a source
-to its shards, by the same rule. A shard takes its whole stream as often as its quota allows and the
+to its shards, by the same rule. A source whose target is worth few blocks takes part in an
+apportionment of smaller ones, as wide as its target over the words of a block, so that no source
+goes without. A shard takes its whole stream as often as its quota allows and the
 rest from blocks in a seeded order. A shard holds about ``shard_words`` words, so a source with a third
 of all rows is just more shards.
 """
@@ -110,14 +112,17 @@ def mixed(
     """``(did, th, size, source, source_size, target, taken)`` of each row.
 
     A null or empty text has size 0 and is taken 0 times; a null source is a source, the last one; a
-    null id stays null; repeated rows are taken each for itself; an empty table gives an empty one.
+    null id stays null; repeated rows are taken each for itself; an empty table gives an empty one;
+    texts and sources may have any length and size, and extra columns are left behind.
     ``taken`` is at most ``most`` times the size, and a run on the same rows takes the same words.
     """
     sized = written(sizes(docs), "mixing-sizes")
     wanted = targets(sized, weights, most)
-    blocks = F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block_words).cast("long")
+    width = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("target") / block_words)))
+    wanted = wanted.withColumn("width", width.cast("long"))
+    blocks = F.round(F.sum("target").over(W.partitionBy("width")) / F.col("width")).cast("long")
     quotas = written(
-        apportion(wanted.withColumn("seats", blocks), [], "source", "target", F.col("seats"))
+        apportion(wanted.withColumn("seats", blocks), ["width"], "source", "target", F.col("seats"))
         .withColumnRenamed("quota", "source_quota")
         .withColumn("shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long"))
         .drop("seats"),
@@ -128,21 +133,21 @@ def mixed(
     both = sized.withColumnRenamed("source", "name").join(
         quotas, F.col("name").eqNullSafe(F.col("source")), "left"
     )
-    rows = both.select("did", "th", "size", "source", "source_size", "target", place.alias("shard"))
+    rows = both.select("did", "th", "size", "source", "source_size", "target", "width", place.alias("shard"))
 
     shards = (
         rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
         .withColumnRenamed("source", "name")
-        .join(quotas.select("source", "source_quota"), F.col("name").eqNullSafe(F.col("source")))
+        .join(quotas.select("source", "source_quota", "width"), F.col("name").eqNullSafe(F.col("source")))
         .drop("name")
     )
     shards = apportion(shards, ["source"], "shard", "shard_size", F.col("source_quota"))
-    take = F.least(F.col("quota") * block_words, most * F.col("shard_size"))
+    take = F.least(F.col("quota") * F.col("width"), most * F.col("shard_size"))
     shards = (
         shards.withColumn("take", take)
         .withColumn("passes", F.when(F.col("shard_size") > 0, F.floor(F.col("take") / F.col("shard_size"))).otherwise(0))
         .withColumn("rest", F.col("take") - F.col("passes") * F.col("shard_size"))
-        .select("source", "shard", "shard_size", "passes", "rest")
+        .select("source", "shard", "shard_size", "width", "passes", "rest")
     )
     shards = written(shards, "mixing-shards")
 
@@ -151,17 +156,16 @@ def mixed(
     placed = rows.where("size > 0").withColumn(
         "start", F.sum("size").over(stream.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     )
-    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
+    width = F.col("width")
+    first, last = F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("size") - 1) / width)
     pieces = placed.withColumn("block", F.explode(F.sequence(first, last))).select(
         "*",
-        (F.greatest("start", F.col("block") * block_words) - F.col("block") * block_words).alias("from"),
-        F.least(
-            F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words)
-        ).alias("to"),
+        (F.greatest("start", F.col("block") * width) - F.col("block") * width).alias("from"),
+        F.least(F.col("start") + F.col("size") - F.col("block") * width, width).alias("to"),
     )
-    lasting = F.ceil(F.col("shard_size") / block_words) - 1
+    lasting = F.ceil(F.col("shard_size") / width) - 1
     cut = shards.where("shard_size > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), lasting)))
-    words = F.least(F.lit(block_words), F.col("shard_size") - F.col("block") * block_words)
+    words = F.least(width, F.col("shard_size") - F.col("block") * width)
     seeded = in_shard.orderBy(F.xxhash64(F.lit(seed + 2), "shard", "block"), "block")
     chosen = (
         cut.withColumn("words", words)

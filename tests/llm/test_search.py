@@ -236,6 +236,7 @@ def test_licence_places(docs):
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
         "Permission is hereby granted, free of any charge to any person obtaining one copy of this software",
         "All rights reserved. Licensed under CC BY-NC 4.0.", "licensed under cc by sa",
+        "All rights reserved. " * 3, "all rights reserved " * 40 + "mit license", "all rights all rights",
     ]
     got = {r.doc_id: r for r in license_scan(docs(*texts)).collect()}
     for i, text in enumerate(texts):
@@ -244,6 +245,8 @@ def test_licence_places(docs):
     assert got[7].labels == "mit" and got[7].score == 1.0
     assert got[8].labels == "mit" and 0.6 < got[8].score < 1.0
     assert got[9].labels == "cc-by-nc,proprietary" and got[10].labels == "" and got[3].score == 0.0
+    assert (got[11].labels, got[11].score) == ("proprietary", 1.0) and got[12].labels == "mit,proprietary"
+    assert got[13].labels == ""
 
 
 def test_licences_of_odd_rows(odd, none):
@@ -312,6 +315,25 @@ def test_mix_comes_near_its_targets(docs):
         assert sorted(mix(df.repartition(7), shard_words=shard).collect()) == sorted(rows)
 
 
+def test_mix_of_small_sources(spark):
+    rng = random.Random(10)
+    words = {"a": 8, "b": 1, "c": 70, "d": 6_000, "e": 40, None: 3}
+    rows, i = [], 0
+    for source, n in words.items():
+        while n:
+            take = min(n, rng.randint(1, 90))
+            rows.append((i, sentence(rng, take), source))
+            n, i = n - take, i + 1
+    for shard in (1_000_000, 20):
+        got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_words=shard).collect()
+        by = defaultdict(int)
+        for r in got:
+            assert 0 <= r.taken <= 3 * r["size"]
+            by[rows[r.doc_id][2], r.target] += r.taken
+        assert len(by) == 6
+        assert all(abs(taken - target) <= max(1, target / 32) for (_, target), taken in by.items()), by
+
+
 def test_mix_of_odd_rows(odd, none):
     rows = mix(odd).collect()
     assert len(rows) == len(odd_rows()) and all(r.taken <= 3 * r["size"] for r in rows)
