@@ -106,7 +106,8 @@ def license_scan(
 
     Own templates count from ``least`` of their word pairs, over diagonals at most ``slack`` apart;
     those of fewer than seven pairs need all. A null or empty text has no words and no labels (''); a null
-    id stays null; repeated rows are returned each; an empty table gives an empty one.
+    id stays null; repeated rows are returned each; texts may have any length; extra columns are left
+    behind; an empty table gives an empty one.
     """
     names = [label for label, _ in [*base, *own]]
     pairs = [len(template_words(text)) - 1 for _, text in [*base, *own]]
@@ -118,8 +119,15 @@ def license_scan(
     ).withColumn("votes", F.col("votes") / F.col("copies"))
     run = W.partitionBy("did", "th", "template").orderBy("diagonal")
     is_base = (F.col("template") >= 0) & (F.col("template") < len(base))
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(run) > slack, F.lit(True))
-    found = found.withColumn("run", F.sum((apart | is_base | (F.col("template") == EVERY)).cast("int")).over(run))
+    here = F.col("template") + 1
+    length = F.get(F.array(*map(F.lit, [1, *pairs])), here)
+    # A diagonal that holds all of its template is a span by itself, also beside others, and so is each of
+    # a template that needs all its pairs: it may stand several times in a row.
+    found = found.withColumn("alone", is_base | (length < 7) | (F.col("votes") >= length))
+    apart = F.coalesce(
+        (F.col("diagonal") - F.lag("diagonal").over(run) > slack) | F.lag("alone").over(run), F.lit(True)
+    )
+    found = found.withColumn("run", F.sum((apart | F.col("alone")).cast("int")).over(run))
     spans = found.groupBy("did", "th", "template", "run").agg(
         F.sum("votes").alias("votes"),
         F.min("diagonal").alias("diagonal"),
@@ -128,8 +136,6 @@ def license_scan(
         F.max("n_words").alias("n_words"),
         F.max("copies").alias("copies"),
     )
-    here = F.col("template") + 1
-    length = F.get(F.array(*map(F.lit, [1, *pairs])), here)
     label = F.get(F.array(*map(F.lit, ["", *names])), here)
     # A short template needs all its pairs, as most of them are in others too.
     needed = F.when(length < 7, F.lit(1.0)).otherwise(F.lit(least))
