@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tenderloom.llm.common import batches
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-# Up to here the pattern is spelled out below; texts with later characters go to the library whole.
+# Texts up to here are cut by a short form of the pattern, others by one that lists all planes.
 LAST = 0x4FF
 # Entries of a worker's cache, after which it starts anew.
 CACHE = 400_000
@@ -32,15 +32,44 @@ CACHE = 400_000
 SAMPLE_ROWS, FREQUENT = 1_000, 30_000
 
 
-def _class(wanted: str) -> str:
-    marks = [chr(c) for c in range(LAST + 1) if unicodedata.category(chr(c)).startswith(wanted)]
-    return "".join(re.escape(c) for c in marks)
+def _ranges(codes: list[int]) -> str:
+    """Characters as a class of a pattern, runs of them as ranges."""
+    out, start = [], 0
+    for i in range(1, len(codes) + 1):
+        if i == len(codes) or codes[i] != codes[i - 1] + 1:
+            first, last = (re.escape(chr(codes[at])) for at in (start, i - 1))
+            out.append(first if start == i - 1 else f"{first}-{last}")
+            start = i
+    return "".join(out)
+
+
+def _kind(category: str) -> str:
+    """Letters and numbers are told apart, and blanks (Z); all else is one kind."""
+    return category[0] if category[0] in "LNZ" else "other"
+
+
+@functools.cache
+def classes(last: int = sys.maxunicode) -> tuple[str, str, str, str]:
+    """Letters, numbers, blanks, and later characters than ``LAST`` that not every version of Unicode has
+    as the same kind: a library may take these either way. An old version is compared with this one, and
+    what is not assigned yet may be anything."""
+    kinds: dict[str, list[int]] = {"L": [], "N": [], "Z": [], "unsure": []}
+    old = unicodedata.ucd_3_2_0.category
+    for code in range(last + 1):
+        c = chr(code)
+        if 0xD800 <= code <= 0xDFFF:
+            continue
+        kind = "Z" if code in (9, 10, 11, 12, 13, 0x85) else _kind(unicodedata.category(c))
+        if code > LAST and (kind != _kind(old(c)) or unicodedata.category(c) == "Cn"):
+            kind = "unsure"
+        if kind != "other":
+            kinds[kind].append(code)
+    return tuple(_ranges(kinds[k]) for k in ("L", "N", "Z", "unsure"))
 
 
 @functools.cache
-def pattern() -> re.Pattern:
-    """The byte-level pre-token pattern, for characters up to ``LAST``."""
-    letter, number, blank = _class("L"), _class("N"), "\\t-\\r \\x85\\xa0"
+def pattern(letter: str, number: str, blank: str) -> re.Pattern:
+    """The byte-level pre-token pattern."""
     return re.compile(
         f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+"
         f"|[{blank}]+(?![^{blank}])|[{blank}]+"
@@ -70,14 +99,18 @@ class Lengths(dict):
 class TokenCounter:
     """Counts the tokens of whole texts as the library does with its default settings."""
 
-    def __init__(self, definition: str, known: dict[str, int]):
+    def __init__(self, definition: str, known: dict[str, int], kinds: tuple | None = None):
+        """``kinds``: what ``classes`` returns, if at hand."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.lengths = Lengths(self.tokenizer, known)
-        self.pieces = pattern().findall
+        letter, number, blank, unsure = kinds or classes()
+        self.short = pattern(*classes(LAST)[:3]).findall
+        self.wide = pattern(letter, number, blank).findall
+        self.unsure = re.compile(f"[{unsure}]")
         facts = json.loads(definition)
         self.special = [t["content"] for t in facts["added_tokens"]]
         plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in facts["added_tokens"])
@@ -96,17 +129,24 @@ class TokenCounter:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def count(self, text: str) -> int:
-        if not self.fast or BEYOND.search(text):
+        if not self.fast:
             return self.whole(text)
         if self.cut is not None and self.cut.search(text):
             parts = self.cut.split(text)
             return len(parts) - 1 + sum(self.count(p) for p in parts)
-        return sum(map(self.lengths.__getitem__, self.pieces(text)))
+        pieces = self.pieces(text)
+        return self.whole(text) if pieces is None else sum(map(self.lengths.__getitem__, pieces))
+
+    def pieces(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text; None where the library alone can tell."""
+        if not BEYOND.search(text):
+            return self.short(text)
+        return None if self.unsure.search(text) else self.wide(text)
 
 
 @functools.lru_cache(maxsize=2)
-def _worker(key: str, definition: str, known: tuple) -> TokenCounter:
-    return TokenCounter(definition, dict(known))
+def _worker(key: str, definition: str, known: tuple, kinds: tuple) -> TokenCounter:
+    return TokenCounter(definition, dict(known), kinds)
 
 
 def frequent(docs: DataFrame, definition: str, rows: int = SAMPLE_ROWS, size: int = FREQUENT) -> dict[str, int]:
@@ -115,8 +155,7 @@ def frequent(docs: DataFrame, definition: str, rows: int = SAMPLE_ROWS, size: in
     if not counter.fast:
         return {}
     for row in docs.select(F.substring("text", 1, 20_000).alias("text")).limit(rows).toLocalIterator():
-        if row.text and not BEYOND.search(row.text):
-            seen.update(p for p in counter.pieces(row.text) if len(p) <= 64)
+        seen.update(p for p in counter.pieces(row.text or "") or () if len(p) <= 64)
     return {sys.intern(p): counter.lengths[p] for p, _ in seen.most_common(size)}
 
 
@@ -130,7 +169,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     """
     definition = Path(tokenizer).read_text(encoding="utf-8")
     shared = docs.sparkSession.sparkContext.broadcast(
-        (tokenizer, definition, tuple(frequent(docs, definition).items()))
+        (tokenizer, definition, tuple(frequent(docs, definition).items()), classes())
     )
 
     def count(frames):

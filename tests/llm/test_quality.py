@@ -148,6 +148,32 @@ def test_pretokens_of_random_texts():
         assert counter.count(text) == counter.whole(text), ascii(text)
 
 
+def test_pretokens_of_all_planes():
+    counter = TokenCounter(open(FILE, encoding="utf-8").read(), {})
+    rng = random.Random(6)
+    spans = [(0x20, 0x7E), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+    spans += [(0x600, 0x6FF), (0x900, 0x97F), (0x1F300, 0x1F6FF), (0x20000, 0x2A6D6), (0x1D400, 0x1D7FF), (0, 0x10FFFF)]
+    cut = 0
+    for _ in range(4000):
+        first, last = rng.choice(spans)
+        codes = [rng.choice([32, 97, 10, 49, rng.randint(first, last), rng.randint(first, last)]) for _ in range(9)]
+        text = "".join(chr(c) for c in codes if not 0xD800 <= c <= 0xDFFF)
+        cut += counter.pieces(text) is not None
+        assert counter.count(text) == counter.whole(text), ascii(text)
+    assert cut > 2_000
+    # Each character, after a letter and after a digit.
+    pre = counter.tokenizer.pre_tokenizer
+    for code in range(LAST + 1, 0x110000):
+        if 0xD800 <= code <= 0xDFFF:
+            continue
+        text = "a" + chr(code) + "1" + chr(code) + " " + chr(code)
+        pieces = counter.pieces(text)
+        if pieces is not None:
+            assert len(pieces) == len(pre.pre_tokenize_str(text)), hex(code)
+    plain = "The “quick” fox — €5, 東京 and 😀!"
+    assert counter.pieces(plain) is not None and "".join(counter.pieces(plain)) == plain
+
+
 def test_the_sample_is_the_smallest_by_hash(spark):
     from tenderloom.llm.common import fewest
 
