@@ -9,7 +9,8 @@ far, source time, arrival). That is a maximum, so a key's history can be cut int
 order, each block reduced on its own, and the blocks chained: no key has to fit in one task.
 
 This holds when equal hashes carry equal times, which is so whenever the hash covers the source
-time, as the change token does. Keys where it does not hold are found and folded in arrival order.
+time, as the change token does. Keys where it does not hold are found and walked in arrival order,
+all blocks at once and again where a block turns out to start from another row.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderloom.session import shared_folder
 from tenderloom.vocabulary import STALE, STORED, UNCHANGED
 
 KEY = "control_number"
@@ -153,19 +155,26 @@ def _with_verdict(rows: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).drop(*helpers)
 
 
-def _fold(deliveries: DataFrame) -> DataFrame:
-    """The same decision taken one delivery at a time, streaming over sorted partitions with one
-    stored row in memory."""
-    schema = T.StructType([*deliveries.schema.fields, T.StructField("outcome", T.StringType())])
+def _walk(rows: DataFrame) -> DataFrame:
+    """The same decision taken one delivery at a time, block by block: streaming over sorted
+    partitions with one stored row in memory, which starts as the block's ``_entry`` (null: none)."""
+    kept = [f for f in rows.schema.fields if f.name != "_entry"]
+    schema = T.StructType([*kept, T.StructField("outcome", T.StringType())])
+    entered = rows.withColumns({
+        "_known": F.col("_entry").isNotNull(), "_hash": F.col("_entry.hash"), "_time": F.col("_entry.ts"),
+    }).drop("_entry")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = stored_hash = stored_time = None
+        group, known, stored_hash, stored_time = None, False, None, None
         for batch in batches:
             outcomes = []
-            times = batch[TIME].astype(object).where(batch[TIME].notna(), None)
-            for k, h, t in zip(batch[KEY], batch[HASH], times):
-                if k != key:
-                    key, stored_hash, outcome = k, None, STORED
+            times, entries = (batch[c].astype(object).where(batch[c].notna(), None) for c in (TIME, "_time"))
+            columns = (batch[KEY], batch["_block"], batch[HASH], times, batch["_known"], batch["_hash"], entries)
+            for k, b, h, t, entry_known, entry_hash, entry_time in zip(*columns):
+                if (k, b) != group:
+                    group, known, stored_hash, stored_time = (k, b), entry_known, entry_hash, entry_time
+                if not known:
+                    outcome = STORED
                 elif h == stored_hash:
                     outcome = UNCHANGED
                 elif t is not None and stored_time is not None and t < stored_time:
@@ -173,15 +182,68 @@ def _fold(deliveries: DataFrame) -> DataFrame:
                 else:
                     outcome = STORED
                 if outcome == STORED:
-                    stored_hash, stored_time = h, t
+                    known, stored_hash, stored_time = True, h, t
                 outcomes.append(outcome)
-            yield batch.assign(outcome=outcomes)
+            yield batch.drop(columns=["_known", "_hash", "_time"]).assign(outcome=outcomes)
 
     return (
-        deliveries.repartition(KEY).sortWithinPartitions(KEY, "seq").mapInPandas(walk, schema)
+        entered.repartition(KEY, "_block")
+        .sortWithinPartitions(KEY, "_block", "seq")
+        .mapInPandas(walk, schema)
     )
 
 
+_ENTRY = T.StructType([T.StructField("hash", T.StringType()), T.StructField("ts", T.TimestampType())])
+
+
+def _entries(cut: DataFrame) -> DataFrame:
+    """The stored row each block of arrivals starts from.
+
+    All blocks are walked at once, as if nothing were stored before them. Each block then gets the
+    last row stored before it, and blocks that started from another row are walked again, until
+    none is. The first n blocks of a key are right after n rounds; mostly two or three rounds do, as
+    what a block ends with seldom depends on what it starts from. Rounds are written tables.
+    """
+    spark, home = cut.sparkSession, shared_folder(cut.sparkSession, "uneven")
+    block = [KEY, "_block"]
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{home}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{home}/{name}")
+
+    rows = written(cut.select(*block, "seq", HASH, TIME), "rows")
+    owed = rows.select(*block).distinct().withColumn("_entry", F.lit(None).cast(_ENTRY))
+    settled, turn = None, 0
+    earlier = W.partitionBy(KEY).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    while True:
+        stored = _walk(rows.join(owed, block)).filter(F.col("outcome") == STORED)
+        # A stored row of the table has no arrival, so the greatest struct, which may hold a null.
+        last = stored.groupBy(*block).agg(F.max(F.struct("seq", HASH, TIME)).alias("_last")).select(
+            *block,
+            F.struct(F.col(f"_last.{HASH}").alias("hash"), F.col(f"_last.{TIME}").alias("ts")).alias("_exit"),
+        )
+        walked = owed.join(last, block, "left")
+        if settled is not None:
+            walked = walked.unionByName(settled.drop("_next").join(owed.select(*block), block, "left_anti"))
+        following = walked.withColumn("_next", F.last("_exit", ignorenulls=True).over(earlier))
+        settled, turn = written(following, f"round-{turn}"), turn + 1
+        owed = settled.filter(~F.col("_next").eqNullSafe(F.col("_entry"))).select(
+            *block, F.col("_next").alias("_entry")
+        )
+        if owed.isEmpty():
+            return settled.select(*block, "_entry")
+
+
+def _fold(deliveries: DataFrame, bounds: list[int]) -> DataFrame:
+    """Verdicts in arrival order for keys whose hashes don't fix the time."""
+    cut = deliveries.withColumn("_block", _block(_coordinate(deliveries), bounds))
+    if bounds:
+        cut = cut.join(_entries(cut), [KEY, "_block"])
+    else:
+        cut = cut.withColumn("_entry", F.lit(None).cast(_ENTRY))
+    return _walk(cut).drop("_block")
+
+
 def _uneven_keys(deliveries: DataFrame) -> DataFrame:
     """Keys with a hash that came with more than one time (or with and without one)."""
     return (
@@ -216,7 +278,7 @@ def verdicts(
         return _scan(deliveries, bounds)
     uneven = _uneven_keys(deliveries)
     even = _scan(deliveries.join(uneven, KEY, "left_anti"), bounds)
-    return even.unionByName(_fold(deliveries.join(uneven, KEY, "left_semi")))
+    return even.unionByName(_fold(deliveries.join(uneven, KEY, "left_semi"), bounds))
 
 
 def verdicts_against(
