@@ -62,6 +62,17 @@ def failed_chunks(log: DataFrame) -> DataFrame:
     return counts_by_scope(log.filter(F.col("failure").isNotNull()), "failed")
 
 
+def with_published(results: DataFrame, messages: DataFrame) -> DataFrame:
+    """Results of a run with ``published`` counted on the messages that were written for each chunk,
+    so that the report shows what was found and never left."""
+    chunk = ["publication_date", "modality_code", "state"]
+    sent = messages.groupBy(*[F.col(f"seq.{c}").alias(c) for c in chunk]).agg(
+        F.count(F.lit(1)).cast("int").alias("_sent")
+    )
+    counted = results.join(sent, chunk, "left").withColumn("published", F.coalesce("_sent", F.lit(0)))
+    return counted.select(*results.columns)
+
+
 def run_report(results: DataFrame) -> DataFrame:
     """Notices discovered and published per cycle. More published than discovered is impossible
     and is flagged."""

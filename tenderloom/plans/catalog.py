@@ -228,6 +228,29 @@ def rule_breakdown(spark, folder):
     )
 
 
+@_query(
+    "keyword_reasons",
+    ["strengths", "asked", "texts", "keyword_patterns"],
+    """
+    SELECT control_number, profile_id, 'matched ' || count(*) || ' of ' || any_value(total)
+      || ' keywords: ' || string_agg(keyword, ', ' ORDER BY place) AS reason
+    FROM (SELECT control_number, profile_id FROM strengths JOIN asked USING (control_number, profile_id)
+      WHERE NOT closed)
+    JOIN (SELECT control_number, object_description FROM notices) USING (control_number)
+    JOIN (SELECT profile_id, len(keywords) AS total, unnest(keywords) AS keyword,
+      generate_subscripts(keywords, 1) AS place FROM profiles) USING (profile_id)
+    JOIN (SELECT object_description, keyword FROM texts, keyword_patterns
+      WHERE regexp_matches(folded, pattern)) USING (object_description, keyword)
+    GROUP BY control_number, profile_id
+    """,
+)
+def keyword_reasons(spark, folder):
+    """The sentence of every keyword hit: which of the profile's keywords, as they are written there."""
+    reasons = _evaluated(spark, folder).select("control_number", "profile_id", F.explode("reasons").alias("r"))
+    hit = (F.col("r.rule") == V.KEYWORD) & (F.col("r.outcome") == V.CONTRIBUTED)
+    return reasons.filter(hit).select("control_number", "profile_id", F.col("r.reason").alias("reason"))
+
+
 @_query(
     "evidence_coverage",
     ["scored", "asked"],
@@ -560,6 +583,38 @@ def lww_verdicts_in_blocks(spark, folder):
     return decided.select("control_number", "seq", "outcome")
 
 
+_UNEVEN = """CASE WHEN d.content = w.content THEN 'unchanged' WHEN d.t < w.t THEN 'stale'
+      ELSE 'stored' END"""
+
+
+@_query(
+    "lww_verdicts_uneven",
+    [],
+    f"""
+    SELECT control_number, seq, outcome FROM (
+      WITH RECURSIVE numbered AS MATERIALIZED (
+        SELECT *, row_number() OVER (PARTITION BY control_number ORDER BY seq) AS n FROM (
+          SELECT 'S-' || l_suppkey AS control_number, ((CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 4000
+              + date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))) * 1000000 + l_partkey AS seq,
+            l_partkey % 3 AS content,
+            CASE WHEN l_returnflag <> 'R' THEN date_trunc('month', CAST(l_shipdate AS TIMESTAMP)) END AS t
+          FROM lineitem)),
+      walk AS (
+        SELECT control_number, n, seq, content, t, 'stored' AS outcome FROM numbered WHERE n = 1
+        UNION ALL
+        SELECT control_number, d.n, d.seq,
+          CASE WHEN {_UNEVEN} = 'stored' THEN d.content ELSE w.content END,
+          CASE WHEN {_UNEVEN} = 'stored' THEN d.t ELSE w.t END, {_UNEVEN}
+        FROM walk w JOIN numbered d USING (control_number) WHERE d.n = w.n + 1)
+      SELECT * FROM walk)
+    """,
+)
+def lww_verdicts_uneven(spark, folder):
+    """Line items as deliveries of their supplier, with hashes that don't cover the time."""
+    arrivals = X.uneven_deliveries(spark, folder)
+    return ingest.verdicts(arrivals, blocks=8).select("control_number", "seq", "outcome")
+
+
 @_query(
     "lww_current",
     ["plain_verdicts"],
@@ -1231,6 +1286,30 @@ def rejected_notices(spark, folder):
     return mapping.rejected(_mapped_pages(spark, folder)).drop("payload")
 
 
+@_query(
+    "quoted_rejections",
+    ["raw"],
+    f"""
+    SELECT control_number, field, reason, CASE WHEN kind = 0 THEN CASE WHEN length(body) <= {V.QUOTE_LENGTH}
+      THEN body ELSE body[1:{V.QUOTE_LENGTH}] || '... <truncated, ' || length(body) || ' chars>' END END AS payload
+    FROM (SELECT *, '{{"objetoCompra":"Aquisição de ' || repeat('muito ', CAST(k % 100 AS INTEGER)) || trade
+        || '","unidadeOrgao":{{"ufNome":null,"ufSigla":" ' || lower(state) || '"}},"valorTotalEstimado":'
+        || amount || ',"modalidadeId":' || modality_code || ',"modalidadeNome":"modalidade"'
+        || ',"dataPublicacaoPncp":"' || strftime(day, '%Y-%m-%dT00:00:00')
+        || '","dataAberturaProposta":"' || strftime(day + 1, '%Y-%m-%dT08:00')
+        || '","dataEncerramentoProposta":"' || strftime(day + 14, '%Y-%m-%dT17:30:00.5')
+        || '","dataAtualizacaoGlobal":"' || strftime(day, '%Y-%m-%dT12:00:00') || '"}}' AS body FROM raw)
+    WHERE outcome = 'rejected'
+    """,
+)
+def quoted_rejections(spark, folder):
+    """Rejected notices, some with long descriptions; those without a number show what they were."""
+    longer = F.concat(F.lit("Aquisição de "), F.repeat(F.lit("muito "), (F.col("o_orderkey") % 100).cast("int")))
+    raw = X.raw_notices(spark, folder).withColumn("payload", F.replace("payload", F.lit("Aquisição de "), longer))
+    stripped = raw.withColumn("payload", F.concat(F.lit(" \n"), "payload", F.lit("  ")))
+    return mapping.rejected(mapping.map_notices(stripped))
+
+
 @_query("not_biddable_notices", ["landed"],
         "SELECT control_number, reason FROM landed WHERE outcome = 'not_biddable'")
 def not_biddable_notices(spark, folder):
@@ -1322,6 +1401,42 @@ def canonical_hash(spark, folder):
     return mapping.with_change_token(dated).select("o_orderkey", "source_payload_hash")
 
 
+@_query(
+    "canonical_hash_any",
+    ["raw"],
+    r"""
+    SELECT k AS o_orderkey, sha256('{' || concat_ws(',', '"aspas":"\"\\"',
+      CASE WHEN kind <> 8 THEN '"dataAberturaProposta":"' || strftime(day + 1, '%Y-%m-%dT08:00') || '"' END,
+      CASE WHEN kind = 11 THEN '"dataAtualizacaoGlobal":"yesterday"' WHEN kind <> 15
+        THEN '"dataAtualizacaoGlobal":"' || strftime(day, '%Y-%m-%dT12:00:00') || '"' END,
+      CASE WHEN kind = 6 THEN '"dataEncerramentoProposta":"' || strftime(day - 5, '%Y-%m-%dT17:30:00') || '"'
+        WHEN kind NOT IN (7, 8)
+        THEN '"dataEncerramentoProposta":"' || strftime(day + 14, '%Y-%m-%dT17:30:00.5') || '"' END,
+      '"dataPublicacaoPncp":"' || CASE WHEN kind = 9 THEN '' ELSE strftime(day, '%Y-%m-%dT00:00:00') END || '"',
+      '"itens":[1.5,1000,0,null,{"a":"xç/' || chr(10) || '","b":true},[],' || k || ']',
+      '"modalidadeId":' || CASE kind WHEN 4 THEN '"6"' WHEN 12 THEN '0' ELSE CAST(modality_code AS VARCHAR) END,
+      '"modalidadeNome":"modalidade"',
+      CASE WHEN kind <> 0 THEN '"numeroControlePNCP":"C-' || k || '"' END,
+      CASE WHEN kind = 2 THEN '"objetoCompra":"  "'
+        WHEN kind <> 1 THEN '"objetoCompra":"Aquisição de ' || trade || '"' END,
+      CASE WHEN kind = 3 THEN '"unidadeOrgao":{"ufSigla":"XX"}'
+        WHEN kind <> 10 THEN '"unidadeOrgao":{"ufSigla":" ' || lower(state) || '"}' END,
+      CASE WHEN kind = 5 THEN '"valorTotalEstimado":-1.5' WHEN kind NOT IN (13, 14)
+        THEN '"valorTotalEstimado":' || regexp_replace(CAST(amount AS VARCHAR), '\.?0+$', '') END)
+      || '}') AS source_payload_hash
+    FROM raw
+    """,
+)
+def canonical_hash_any(spark, folder):
+    """Hashes of all raw payloads, mapped or not, with arrays, exponents and escapes put in front."""
+    extra = (
+        r'{"aspas":"\"\\","itens":[1.50,1e3,-0.0,null,{"z":null,"b":true,"a":"x\u00e7\/\n"},[],'
+    )
+    front = F.concat(F.lit(extra), F.col("o_orderkey").cast("string"), F.lit(".0],"))
+    raw = X.raw_notices(spark, folder).withColumn("payload", F.concat(front, F.expr("substring(payload, 2)")))
+    return mapping.with_change_token(raw).select("o_orderkey", "source_payload_hash")
+
+
 @_query(
     "range_scan",
     ["raw"],
@@ -1521,9 +1636,7 @@ def _stored_run(spark, folder, crash: bool):
     """Runs that write. With ``crash`` the first one dies between publishing and the ledger."""
     home = shared_folder(spark, "discovery")
     owed = X.owed_chunks(spark, folder)
-    gaps = owed.select(
-        "publication_date", "modality_code", "state", "planned_at",
-    ).withColumnRenamed("planned_at", "detected_at").withColumn("resolved_at", F.lit(None).cast("timestamp"))
+    gaps = X.gaps_of(owed)
     pages = X.landing(spark, folder)
     if crash:
         earlier = F.timestamp_micros(F.unix_micros(_now()) - 3_600_000_000)
@@ -1570,7 +1683,12 @@ def discovery_replay(spark, folder):
     """,
 )
 def run_report(spark, folder):
-    report = reports.run_report(_discovered(spark, folder).results)
+    """Discovered is counted on the pages, published on the messages that were written."""
+    home = shared_folder(spark, "report")
+    owed = X.owed_chunks(spark, folder)
+    gaps = X.gaps_of(owed)
+    run = discovery.run_and_store(owed, X.landing(spark, folder), owed, gaps, _now(), home, 1)
+    report = reports.run_report(run.results)
     return report.withColumn("cycle_date", F.col("cycle_date").cast("string"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tenderloom import vocabulary as V
 from tenderloom.operators.coverage import complete_chunks, record_attempts, resolve_gaps
 from tenderloom.operators.mapping import map_notices, with_change_token
+from tenderloom.operators.reports import with_published
 from tenderloom.plans.sizing import fits
 from tenderloom.schemas import LEDGER_KEY
 from tenderloom.sources.landing import CHUNK, of_chunks, open_pages, page_notices
@@ -46,6 +47,8 @@ def run_and_store(
 
     found = discover(owed, pages, now, keep=once)
     publish(found.messages, f"{home}/messages", run)
+    sent = spark.read.schema(found.messages.schema).parquet(f"{home}/messages/run={run}")
+    found = replace(found, results=with_published(found.results, sent))
     write_batch(found.next_ledger(ledger), f"{home}/ledger", run)
     following = spark.read.schema(ledger.schema).parquet(f"{home}/ledger/batch_id={run}")
     write_batch(resolve_gaps(gaps, following), f"{home}/gaps", run)

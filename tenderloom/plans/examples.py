@@ -204,6 +204,19 @@ def deliveries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def uneven_deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as deliveries of their supplier, hundreds each, whose hashes don't cover the time."""
+    time = F.date_trunc("month", F.col("l_shipdate").cast("timestamp"))
+    day = F.date_diff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date"))
+    line = F.col("l_orderkey").cast("bigint") * 10 + F.col("l_linenumber")
+    return table(spark, folder, "lineitem").select(
+        F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("control_number"),
+        ((line * 4000 + day) * F.lit(1_000_000) + F.col("l_partkey")).alias("seq"),
+        F.md5((F.col("l_partkey") % 3).cast("string")).alias("source_payload_hash"),
+        F.when(F.col("l_returnflag") != "R", time).alias("source_updated_at"),
+    )
+
+
 def _version_hash(content: Column, time: Column) -> Column:
     """Covers the time, as the change token of a notice does."""
     return F.md5(
@@ -433,6 +446,14 @@ def owed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gaps_of(owed: DataFrame) -> DataFrame:
+    """An open gap for every owed chunk."""
+    return owed.select(
+        "publication_date", "modality_code", "state", F.col("planned_at").alias("detected_at"),
+        F.lit(None).cast("timestamp").alias("resolved_at"),
+    )
+
+
 def _arrival(place: Column, run: Column | None = None) -> Column:
     """A place in the runs of consecutive days, the first of them at the time of evaluation."""
     day = F.lit(0) if run is None else run

@@ -143,6 +143,12 @@ def test_a_failed_chunk_publishes_nothing(spark):
     assert after[2].completed_at is None and after[2].last_failure
     report = reports.run_report(run.results).first()
     assert (report.discovered, report.published, report.consistent) == (2, 2, True)
+    # What left is counted on the messages: one of two was written, then one was written twice.
+    for sent, told in [(run.messages.limit(1), (2, 1, True)),
+                       (run.messages.unionByName(run.messages.limit(1)), (2, 3, False)),
+                       (run.messages.limit(0), (2, 0, True))]:
+        report = reports.run_report(reports.with_published(run.results, sent)).first()
+        assert (report.discovered, report.published, report.consistent) == told
 
 
 def test_volume(spark):
