@@ -24,6 +24,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to as many tasks as any shuffle has. A table may come in one or two files, and what
+    is made of its rows costs more than reading them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def pick(values: list, index: Column) -> Column:
     """An element of a fixed list by an index column."""
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
@@ -381,7 +387,8 @@ def raw_notices(spark: SparkSession, folder: str) -> DataFrame:
             ),
         ),
     ]
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return _spread(joined, "o_orderkey").select(
         F.trunc(day, "year").alias("publication_date"),
         code.alias("modality_code"),
         state.alias("state"),
@@ -399,7 +406,8 @@ def landing(spark: SparkSession, folder: str) -> DataFrame:
     number = F.col("page_number")
     day = F.dayofyear("publication_date")
     spoiled = (F.year("publication_date") == 2025) & (F.col("modality_code") == 4)
-    pages = raw.groupBy(*chunk, "page_number").agg(
+    # Pages stay where their notices meet, for what opens them.
+    pages = _spread(raw, *chunk, "page_number").groupBy(*chunk, "page_number").agg(
         F.array_join(
             F.collect_list(
                 F.when(spoiled, F.regexp_replace("payload", '"objetoCompra":', '"objeto":')).otherwise(
