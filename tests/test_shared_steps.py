@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.plans import catalog
 from tenderloom.plans import examples as X
+from tenderloom.sources import messages
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -45,3 +46,10 @@ def test_raw_notices_and_pages_are_spread(spark):
 
     assert tasks(X.raw_notices(spark, SMALLEST)) > 1
     assert tasks(X.landing(spark, SMALLEST)) > 1
+
+
+def test_few_messages_are_published_in_few_files(spark, tmp_path):
+    published = str(tmp_path / "messages")
+    messages.publish(X.delivery_messages(spark, SMALLEST), published, 0)
+    files = spark.read.parquet(f"{published}/run=0").inputFiles()
+    assert len(files) == 1
