@@ -53,3 +53,14 @@ def test_few_messages_are_published_in_few_files(spark, tmp_path):
     messages.publish(X.delivery_messages(spark, SMALLEST), published, 0)
     files = spark.read.parquet(f"{published}/run=0").inputFiles()
     assert len(files) == 1
+
+
+def test_feedback_scores_judged_notices_only(spark, monkeypatch):
+    scored = []
+    matches = catalog.scoring.matches
+    monkeypatch.setattr(catalog.scoring, "matches", lambda notices, *rest: scored.append(notices) or matches(notices, *rest))
+    found = catalog.latest_feedback(spark, SMALLEST)
+    labels = {str(r[0]) for r in X.table(spark, SMALLEST, "labels").select("doc_id").collect()}
+    assert {r[0] for r in scored[0].select("control_number").collect()} <= labels
+    every = catalog._matched(spark, SMALLEST).select("match_id", "control_number")
+    assert found.count() == every.filter(F.col("control_number").isin(labels)).count() > 0
