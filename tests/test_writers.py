@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderloom.operators import ingest
+from tenderloom.sources import tables
 
 
 def arrivals(spark):
@@ -40,3 +41,18 @@ def test_keys_with_few_rows_are_ranked_at_once(spark):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert any("_part" not in line for line in windows)
     assert "struct(source_updated_at" in plan and "struct(control_number" not in plan
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 60_000, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), "id")
+    home = str(tmp_path / "kept")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        tables.store_keyed(rows, home, "key", 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    stored = tables.read_keyed(spark, home, rows.schema)
+    assert len(stored.inputFiles()) > 2
+    assert stored.count() == 60_000 == stored.select("id").distinct().count()
+    assert stored.filter(F.col("bucket") != tables.bucket_of(F.col("key"), 2)).count() == 0
+    assert tables.find_keyed(stored, "key", stored.first().key, 2).count() == 1
