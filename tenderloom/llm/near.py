@@ -5,8 +5,9 @@ function and keeps them in the order of the text, so that equal sketches mean ne
 of words. Exact copies are one text from the start. Texts with an equal sketch are a bucket. They are first
 compared with the bucket's head, the text with the most company; those that are in different classes then
 are compared with the neighbours that look most alike, in an order that brings texts with several common
-sketches together. An exhaustive form goes on, in rounds, until no two texts of a bucket are left that were
-neither compared nor put in one class. Comparing means the Jaccard similarity of the shingles, then a
+sketches together. What may still be near in a bucket without being in one class is found by its rarest
+shingles, with no limit to their number, so that no link within a bucket is lost. An exhaustive form compares
+all that is left, in rounds. Comparing means the Jaccard similarity of the shingles, then a
 banded alignment. Links become classes by alternating star contractions, in tables.
 """
 
@@ -32,7 +33,12 @@ SEED = 97
 MARKS, DOUBT = 64, 2.5
 # Texts of a bucket that a text is held against, and those of them that it is compared with.
 REACH, NEAREST = 32, 3
-# Of the exhaustive form: a round has so many times the heads of the one before; a part is about so many texts of a bucket.
+# Slots of the table by which shingles are told to be rare, of a fixed size however many there are.
+SLOTS = 1 << 18
+# Longs of a text's parity bits: in how many ranges of hashes two texts' numbers of shingles differ by an odd
+# number is at least so many shingles that only one of them has.
+PARITIES = 8
+# Of the exhaustive form: a round has so many times the heads of the one before; a part is about so many texts of a bucket or a shingle.
 GROWTH, PART = 16, 1_024
 # Diagonals of the alignment's band; beyond, the whole matrix is worked out bit by bit.
 BAND = 1_500
@@ -218,6 +224,102 @@ def mixed_buckets(rest: DataFrame, labels: DataFrame) -> DataFrame:
     return written(named.join(open_.hint("merge"), "key"), "near-mixed")
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _packed_shingles(data: bytes) -> np.ndarray:
+    return np.unique(shingles(unpacked(data).split()))
+
+
+def _shingle_counts(open_: DataFrame) -> np.ndarray:
+    """How many texts have a shingle in each of ``SLOTS`` slots."""
+
+    def run(frames):
+        total = np.zeros(SLOTS, np.int64)
+        for _, data in batches(frames, "data"):
+            for one in data:
+                np.add.at(total, _slots(_packed_shingles(one)), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+    found = open_.select("data").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = found.toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    bits = 64 * PARITIES
+    many = np.bincount((hashes >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits)
+    return np.packbits((many & 1).astype(np.uint8)).view(np.int64)
+
+
+def _prefixes(open_: DataFrame) -> DataFrame:
+    """``(token, sig, n, label, at, p0, p1, ...)``: the rarest shingles of each text, with their place in that
+    order, and the text's parity bits. Two texts
+    that share none of them have less than ``SIMILARITY``: of all but one more than a text may have of its
+    own, at least one is in the other, and in either the rarest of these stands that early."""
+    counts = open_.sparkSession.sparkContext.broadcast(_shingle_counts(open_))
+    names = [f"p{i}" for i in range(PARITIES)]
+
+    def run(frames):
+        for _, sig, label, data in batches(frames, "sig", "label", "data"):
+            rows, many = [], 0
+            for i, text in enumerate(data):
+                hashes = _packed_shingles(text)
+                n = len(hashes)
+                most = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1
+                order = np.lexsort((hashes, counts.value[_slots(hashes)]))[:most]
+                rows.append((hashes[order].view(np.int64), i, n, _parities(hashes)))
+                many += most
+                if many > 50_000 or i == len(data) - 1:
+                    sizes = [len(tokens) for tokens, *_ in rows]
+                    text_of = pa.array(np.repeat([i for _, i, *_ in rows], sizes))
+                    columns = [
+                        pa.array(np.concatenate([tokens for tokens, *_ in rows])),
+                        pa.array(sig, pa.binary()).take(text_of),
+                        pa.array(np.repeat([n for _, _, n, _ in rows], sizes), pa.int32()),
+                        pa.array(label, pa.binary()).take(text_of),
+                        pa.array(np.concatenate([np.arange(k) for k in sizes]), pa.int32()),
+                    ]
+                    parities = np.repeat(np.stack([p for *_, p in rows]), sizes, axis=0)
+                    columns += [pa.array(np.ascontiguousarray(parities[:, k])) for k in range(PARITIES)]
+                    yield pa.RecordBatch.from_arrays(columns, ["token", "sig", "n", "label", "at", *names])
+                    rows, many = [], 0
+
+    rows = open_.select("sig", "label", "data")
+    schema = "token long, sig binary, n int, label binary, at int, " + ", ".join(f"{p} long" for p in names)
+    return rows.mapInArrow(run, schema)
+
+
+def rarest_pairs(mixed: DataFrame, held: DataFrame) -> DataFrame:
+    """Distinct ``(a, b)`` with a < b: all pairs of these texts, in different classes, that may reach
+    ``SIMILARITY``; exact, whatever the size of a bucket. Texts meet at their rarest shingles; the places
+    of these bound what the two can have in common, and their parity bits what they have not."""
+    open_ = mixed.select("sig", "label").distinct().join(held.hint("merge"), "sig")
+    rows = written(_prefixes(written(open_, "near-open")), "near-prefixes")
+    shared = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("one"), F.max("label").alias("other")
+    )
+    shared = shared.where("one <> other").select("token", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    rows = rows.join(shared.hint("merge"), "token")
+    here = rows.withColumn("part", F.pmod(F.xxhash64("sig", F.lit(SEED + 3)), F.col("parts")).cast("int"))
+    there = rows.select(
+        "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        *[F.col(c).alias(f"{c}_b") for c in rows.columns if c not in ("token", "parts")],
+    )
+    both = F.least("at", "at_b") + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    apart = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITIES)), F.lit(0))
+    near = (F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b") - 1e-9) & (
+        (1 + SIMILARITY) * both >= SIMILARITY * (F.col("n") + F.col("n_b")) - 1e-9
+    ) & ((1 + SIMILARITY) * apart <= (1 - SIMILARITY) * (F.col("n") + F.col("n_b")) + 1e-9)
+    pairs = here.drop("parts").join(there.hint("merge"), ["token", "part"])
+    pairs = pairs.where((F.col("sig") < F.col("sig_b")) & (F.col("label") != F.col("label_b")) & near)
+    return pairs.select(F.col("sig").alias("a"), F.col("sig_b").alias("b")).distinct()
+
+
 def head_pairs(mixed: DataFrame) -> DataFrame:
     """Distinct ``(a, b)`` with a < b: each head and the texts of its bucket that are in another class and
     not too short or long to be near."""
@@ -355,8 +457,10 @@ def class_labels(sketches: DataFrame, docs: DataFrame, exhaustive: bool = False)
     """``(sig, label)`` as of ``classes``.
 
     Texts are compared with the heads of their buckets, then those of mixed buckets with their most similar
-    neighbours; both grow with the number of texts. If ``exhaustive``, rounds follow until any two texts of
-    a bucket are in one class or compared, which grows with the square of a bucket of dissimilar texts: a
+    neighbours; both grow with the number of texts. Then what is left in mixed buckets is compared with all
+    that share one of its rarest shingles, so that any two texts of a bucket are in one class, compared, or
+    known to be less similar. If ``exhaustive``, rounds follow until any two are in one class or compared,
+    to the same classes, which grows with the square of a bucket of dissimilar texts: a
     round compares its heads with all the rest, in other classes, of their buckets, and then they leave.
     """
     member = bucket_members(sketches)
@@ -378,6 +482,9 @@ def class_labels(sketches: DataFrame, docs: DataFrame, exhaustive: bool = False)
 
     rest = member.select("key", "sig", "n")
     more(neighbour_pairs(mixed_buckets(rest, labels), sketches))
+    mixed = mixed_buckets(rest, labels)
+    if mixed.limit(1).count():
+        more(rarest_pairs(mixed, held))
     heads = GROWTH
     while exhaustive:
         mixed = mixed_buckets(rest, labels)

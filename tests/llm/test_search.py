@@ -85,6 +85,54 @@ def test_true_pairs_in_a_family_of_dissimilar_texts(docs):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def template_family(rng, members, size, changes, edits):
+    """Copies of one template with ``changes`` words of their own, and a copy of each with ``edits`` more."""
+    template, texts = sentence(rng, size).split(), []
+
+    def changed(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"edit{rng.randint(0, 10**9)}"
+        return out
+
+    for _ in range(members):
+        member = changed(template, changes)
+        texts += [" ".join(member), " ".join(changed(member, rng.choice(edits)))]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_links_that_the_neighbours_miss_are_found(docs, spark, monkeypatch):
+    """Only the nearest texts of a bucket are compared at first; no link may hang on that."""
+    none = spark.createDataFrame([], "a binary, b binary")
+    monkeypatch.setattr(near, "neighbour_pairs", lambda mixed, sketches: none)
+    texts = template_family(random.Random(7), 40, 300, 11, [4, 6, 7])
+    want = true_classes(texts)
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(*texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_rarest_pairs_hold_every_link(docs, spark):
+    """Against all pairs, whatever the length; texts of one class are left alone."""
+    rng = random.Random(8)
+    texts = template_family(rng, 24, 200, 6, [1, 2, 3]) + template_family(rng, 8, 30, 1, [1])
+    texts += [sentence(rng, n) for n in (1, 3, 5, 6)] + ["a b c d e f g h i j", "b a b c d e f g h i j"]
+    sigs = [near._signature(t.encode().split()) for t in texts]
+    sets = [set(near.shingles(t.encode().split()).tolist()) for t in texts]
+    rows = [(s, s if i else sigs[1]) for i, s in enumerate(sigs)]
+    open_ = spark.createDataFrame(rows, "sig binary, label binary")
+    pairs = spark.createDataFrame([(a, a) for a in sigs], "a binary, b binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in near.rarest_pairs(open_, near.held_texts(pairs, docs(*texts))).collect()}
+    want = {
+        (min(sigs[i], sigs[j]), max(sigs[i], sigs[j]))
+        for i in range(len(texts))
+        for j in range(i)
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and {i, j} != {0, 1}
+    }
+    assert len(want) > 20 and want <= got and all(a < b for a, b in got)
+    assert tuple(sorted([sigs[0], sigs[1]])) not in got
+
+
 def test_shuffled_paragraphs_are_not_near(docs):
     rng = random.Random(2)
     parts = [sentence(rng, 120) for _ in range(6)]
