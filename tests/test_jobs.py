@@ -26,6 +26,33 @@ def place(n):
     return (dt.datetime(2026, 9, 1), dt.date(2026, 9, 1), 6, "SP", 1, n)
 
 
+def test_keyed_verdicts_follow_arrival_without_moving_rows():
+    """Deliveries of a number out of order and in two frames: judged by arrival, handed on as they came."""
+
+    class State:
+        getOption = ("h0", dt.datetime(2026, 9, 1))
+
+        def update(self, value):
+            self.kept = value
+
+    def frame(*rows):
+        names = ["seq", "source_payload_hash", "source_updated_at"]
+        made = pd.DataFrame(rows, columns=names)
+        return made.assign(source_updated_at=pd.to_datetime(made["source_updated_at"]))
+
+    seq = lambda n: {"run": None if n < 3 else dt.datetime(2026, 9, 2), "place": n}
+    frames = [
+        frame((seq(5), "h2", "2026-09-03"), (seq(1), "h0", None)),
+        frame((seq(4), "h1", "2026-08-01"), (seq(2), "h2", "2026-09-03"), (seq(6), "h3", None)),
+    ]
+    state = State()
+    got = pd.concat(streaming._decide(("a",), iter(frames), state))
+    assert [(s["place"], o) for s, o in zip(got["seq"], got["outcome"])] == [
+        (5, "unchanged"), (1, "unchanged"), (4, "stale"), (2, "stored"), (6, "stored")
+    ]
+    assert state.kept == ("h3", None)
+
+
 def test_stream_and_replay(spark, tmp_path):
     home = str(tmp_path)
     late = dict(numeroControlePNCP="a", dataAtualizacaoGlobal="2026-09-03T10:00:00")
