@@ -106,7 +106,7 @@ def test_links_that_the_neighbours_miss_are_found(docs, spark, monkeypatch):
     """Only the nearest texts of a bucket are compared at first; no link may hang on that."""
     none = spark.createDataFrame([], "a binary, b binary")
     monkeypatch.setattr(near, "neighbour_pairs", lambda mixed, sketches: none)
-    texts = template_family(random.Random(7), 40, 300, 11, [4, 6, 7])
+    texts = template_family(random.Random(7), 100, 300, 4, [6])
     want = true_classes(texts)
     got = {r.doc_id: r.class_id for r in near_duplicates(docs(*texts)).collect()}
     assert [got[i] for i in range(len(texts))] == want
