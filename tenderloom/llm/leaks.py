@@ -10,6 +10,8 @@
 4. Candidates are verified on the words: longest common subsequence of item and text, and whether
    the end of the item, its answer, is there too. A very long item is verified in parts, whose words
    are added up.
+5. What the cosine misses is found by counting: a stretch that holds enough of an item has a certain
+   number of its rarest words, and where a text has so many within a stretch, every stretch is verified.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SKETCH, ITEMS = 24, 256
 # A word in a smaller share of passages is telling. Items with few of them are looked for by all their
 # words. A passage is compared with the items that its telling words alone bring so near.
 RARE, TELLING, REACH = 0.01, 8, 0.18
+# Of the words that a stretch needs, the share that is counted, and how many of them a task holds at once.
+COUNTED, COUNTS = 1 / 3, 2_000_000
 SEED = 11
 PARTS = "item_id long, key long, n int, part int, last boolean, pieces int, text string"
 HELD = "did long, th int, place int, cosine double, covered int, answer double, first_word int, last_word int"
@@ -80,6 +84,19 @@ def item_parts(benchmark: DataFrame) -> DataFrame:
     return known.select("item_id", F.xxhash64("item_id", "text").alias("key"), "text").mapInArrow(run, PARTS)
 
 
+def fewest_of(n: int, share: float) -> int:
+    """The smallest whole number of ``n`` that makes up such a share."""
+    few = max(0, int(share * n) - 1)
+    while few / n < share:
+        few += 1
+    return few
+
+
+def stretch_of(n: int) -> int:
+    """Words of the stretch that a part is looked for in: it may have some more in the text, not many."""
+    return n + n // 4 + 4
+
+
 class Benchmark:
     """Parts of items of one block, as numbers of a vocabulary of their own, and their pieces."""
 
@@ -94,6 +111,7 @@ class Benchmark:
             part[-max(1, min(len(part), max(3, n // 5))) :] if last else None
             for part, (_, n, last) in zip(self.parts, rows)
         ]
+        self.alone = [len(part) == n for part, (_, n, _) in zip(self.parts, rows)]
         places = [(i, a, b) for i, part in enumerate(self.parts) for a, b in even_cuts(len(part), PASSAGE)]
         self.items = [self.parts[i][a:b] for i, a, b in places]
         self.part_of = [i for i, _, _ in places]
@@ -113,6 +131,31 @@ class Benchmark:
         self.many = np.bincount([w for w, _ in pairs], minlength=len(self.vocabulary)).astype(np.int64)
         self.from_ = np.cumsum(self.many) - self.many
 
+    def anchor(self, frequency: np.ndarray, least: float) -> None:
+        """The rarest words of each part, so many that a stretch with a share of ``least`` of the part
+        cannot do without ``must`` of them."""
+        pairs, self.must = [], np.ones(len(self.parts), np.int64)
+        for i, part in enumerate(self.parts):
+            own, times = np.unique(part, return_counts=True)
+            need = max(1, fewest_of(len(part), least))
+            order = np.argsort(frequency[own], kind="stable")
+            without = np.cumsum(times[order]) - (len(part) - need)
+            last = int(np.searchsorted(without, max(1, math.ceil(need * COUNTED))))
+            self.must[i] = without[last]
+            pairs += [(w, i) for w in own[order[: last + 1]].tolist()]
+        pairs.sort()
+        self.anchored = np.array([i for _, i in pairs], np.int64)
+        self.anchors = np.bincount([w for w, _ in pairs], minlength=len(self.vocabulary)).astype(np.int64)
+        self.anchors_from = np.cumsum(self.anchors) - self.anchors
+        self.width = np.array([stretch_of(len(part)) for part in self.parts], np.int64)
+
+    def cosine(self, part: int, stretch: np.ndarray) -> float:
+        """The cosine of a stretch and the nearest piece of a part in the latent space."""
+        at, n = np.unique(stretch[stretch >= 0], return_counts=True)
+        latent = ((1 + np.log(n)) * self.idf[at]) @ self.basis[at]
+        mine = self.latent[np.flatnonzero(np.array(self.part_of) == part)]
+        return float((mine @ latent).max() / max(np.linalg.norm(latent), 1e-12))
+
     def vectors(self) -> np.ndarray:
         out = np.zeros((len(self.items), len(self.vocabulary)))
         for i, item in enumerate(self.items):
@@ -265,8 +308,7 @@ def _verified(bench: Benchmark, part: int, text: np.ndarray, first: int, last: i
     much of the answer is in it; None where no stretch can hold a share of ``least``."""
     words_, tail = bench.parts[part], bench.tails[part]
     n, region = len(words_), text[first:last]
-    # The part may have some words more in the text, not many: every stretch of such a length.
-    width, best, place = min(len(region), n + n // 4 + 4), 0, 0
+    width, best, place = min(len(region), stretch_of(n)), 0, 0
     inside = np.concatenate([[0], np.cumsum(np.isin(region, words_))])
     step = max(1, n // 8)
     for at in range(0, max(1, len(region) - width + step), step):
@@ -298,8 +340,95 @@ def _stretches(hits: list[tuple[int, float]], n: int) -> list[tuple[int, int, fl
     return [stretch[:3] for stretch in out]
 
 
-def _search(rows: DataFrame, shared, size: int, cosine: float, least: float) -> DataFrame:
-    """The parts of items, by place in the block, that texts hold a share of ``least`` of."""
+def _counted(bench: Benchmark, texts: list[np.ndarray]):
+    """``(owner, part, low, high)``: where in a text stretches have as many of a part's rarest words as
+    any must that holds enough of it. No other stretch does."""
+    sizes = [int(bench.anchors[t[t >= 0]].sum()) for t in texts]
+    first = 0
+    while first < len(texts):
+        after, held = first + 1, sizes[first]
+        while after < len(texts) and held + sizes[after] <= COUNTS:
+            held += sizes[after]
+            after += 1
+        yield from _counted_at_once(bench, texts[first:after], first)
+        first = after
+
+
+def _counted_at_once(bench: Benchmark, texts: list[np.ndarray], first: int):
+    flat, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    begin = np.cumsum(lengths) - lengths
+    at = np.flatnonzero(flat >= 0)
+    at = at[bench.anchors[flat[at]] > 0]
+    many = bench.anchors[flat[at]]
+    ends = np.cumsum(many)
+    step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many)
+    part = bench.anchored[np.repeat(bench.anchors_from[flat[at]], many) + step]
+    owner = np.repeat(np.repeat(np.arange(len(texts)), lengths)[at], many)
+    key, place = owner * len(bench.parts) + part, np.repeat(at, many)
+    order = np.argsort(key, kind="stable")
+    key, place, part = key[order], place[order], part[order]
+    end = np.arange(len(key)) + bench.must[part] - 1
+    inside = end < len(key)
+    end = np.where(inside, end, 0)
+    dense = np.flatnonzero(inside & (key[end] == key) & (place[end] - place < bench.width[part]))
+    open_ = None
+    for i in dense.tolist():
+        mine, which, width = int(key[i]) // len(bench.parts), int(part[i]), int(bench.width[part[i]])
+        low = max(0, int(place[end[i]] - begin[mine]) - width + 1)
+        high = min(int(lengths[mine]), int(place[i] - begin[mine]) + width)
+        if open_ and open_[:2] == (first + mine, which) and low <= open_[3]:
+            open_ = (*open_[:3], max(high, open_[3]))
+            continue
+        if open_:
+            yield open_
+        open_ = first + mine, which, low, high
+    if open_:
+        yield open_
+
+
+def _held(
+    bench: Benchmark, part: int, text: np.ndarray, first: int, last: int, least: float, sure: float, answer: float
+):
+    """What ``_verified`` tells, from every stretch of ``text[first:last]``. Of an item in one part, the first
+    stretch that holds it; of another the most words and the most of the answer. None where there is none.
+
+    Neither can grow by more than one from a stretch to the next, so those that cannot get there are
+    left out.
+    """
+    words_, tail = bench.parts[part].tolist(), bench.tails[part]
+    n, region, alone = len(words_), text[first:last], bench.alone[part]
+    need, width = max(1, fewest_of(n, least)), min(len(region), stretch_of(n))
+    inside = np.concatenate([[0], np.cumsum(np.isin(region, bench.parts[part]))])
+    tail = [] if tail is None else tail.tolist()
+    never = len(region) + n
+    # What a stretch must have to count: so many words, or ``need`` and so many of the answer.
+    enough = max(need, fewest_of(n, sure)) if alone else need
+    ending = (fewest_of(len(tail), answer) if alone else 1) if tail else never
+    best, most, place, free = 0, 0, 0, 0
+    for at in np.flatnonzero(inside[width:] - inside[: len(inside) - width] >= need).tolist():
+        if at < free:
+            continue
+        stretch = region[at : at + width].tolist()
+        got = common_subsequence(words_, stretch)
+        end = common_subsequence(tail, stretch) if tail and got >= need else 0
+        if got >= enough or got >= need and end >= ending:
+            if alone:
+                return got, end / len(tail), first + at, first + at + width - 1
+            if got > best:
+                best, place = got, at
+            most = max(most, end)
+            enough, ending = max(enough, best + 1), most + 1 if most < len(tail) else never
+        free = at + max(1, min(enough - got, max(need - got, ending - end if got >= need else 1)))
+    if not best:
+        return None
+    return best, most / len(tail) if tail else 0.0, first + place, first + place + width - 1
+
+
+def _search(
+    rows: DataFrame, shared, size: int, cosine: float, coverage: float, sure: float, answer: float
+) -> DataFrame:
+    """The parts of items, by place in the block, that texts hold enough of."""
+    least = min(coverage, sure)
 
     def run(frames):
         bench = shared.value
@@ -316,16 +445,32 @@ def _search(rows: DataFrame, shared, size: int, cosine: float, least: float) ->
                     key = int(passages.owner[passage]), bench.part_of[piece]
                     start = int(passages.start[passage]) - bench.offset[piece]
                     hits.setdefault(key, []).append((start, float(near[row, piece])))
-            out = []
+            found = {}
             for (owner, part), places in hits.items():
-                did, th, text = group[owner]
-                best = None
+                text, best = group[owner][2], None
                 for low, high, near in _stretches(places, len(bench.parts[part])):
                     got = _verified(bench, part, text, max(0, low), min(len(text), high), least)
                     if got is not None and (best is None or (near, *got) > best):
                         best = (near, *got)
                 if best is not None:
-                    out.append((did, th, part, *best))
+                    found[owner, part] = best
+            for owner, part, low, high in _counted(bench, [t for _, _, t in group]):
+                known, text = found.get((owner, part)), group[owner][2]
+                n = len(bench.parts[part])
+                held = known is not None and (known[1] / n >= sure or known[1] / n >= coverage and known[2] >= answer)
+                if held and bench.alone[part]:
+                    continue
+                got = _held(bench, part, text, low, high, least, sure, answer)
+                if got is None:
+                    continue
+                if known is None or bench.alone[part]:
+                    near = max(known[0] if known else -1.0, bench.cosine(part, text[got[2] : got[3] + 1]))
+                    found[owner, part] = (near, *got)
+                else:
+                    # Words and answer count each for itself, as parts are added up.
+                    place = got if got[0] > known[1] else known[1:]
+                    found[owner, part] = known[0], place[0], max(got[1], known[2]), *place[2:]
+            out = [(*group[owner][:2], part, *best) for (owner, part), best in found.items()]
             columns = list(zip(*out)) if out else [[] for _ in range(8)]
             types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
             names = ["did", "th", "place", "cosine", "covered", "answer", "first_word", "last_word"]
@@ -346,7 +491,7 @@ def found_leaks(
     """``(did, th, item_id, ...)`` per document and benchmark item that it holds.
 
     An item is held where at least ``sure`` of its words stand in order in a stretch little longer than
-    it, or at least ``coverage`` of them with ``answer`` of its last fifth. Items of more than ``PART``
+    it (``stretch_of``), wherever that begins and whatever its ``cosine``, or at least ``coverage`` of them with ``answer`` of its last fifth. Items of more than ``PART``
     words are verified in parts, each in a stretch of its own: a part counts with the words found from
     ``coverage`` on, and the last part tells of the answer. The benchmark is searched in blocks of about
     ``items`` pieces of items, chosen by hash, each over all documents; only a block is on the driver.
@@ -366,9 +511,11 @@ def found_leaks(
         bench = Benchmark([(r.text, r.n, r.last) for r in chosen])
         size = len(bench.vocabulary)
         rows = written(numbered(docs, spark.sparkContext.broadcast(bench)), "leaks-words")
-        bench.weigh(*_frequencies(rows, size))
+        frequency, passages = _frequencies(rows, size)
+        bench.weigh(frequency, passages)
+        bench.anchor(frequency, min(coverage, sure))
         bench.span(_sketched(rows, spark.sparkContext.broadcast(bench), size, min(SKETCH, size)))
-        here = _search(rows, spark.sparkContext.broadcast(bench), size, cosine, min(coverage, sure))
+        here = _search(rows, spark.sparkContext.broadcast(bench), size, cosine, coverage, sure, answer)
         place = F.col("place")
         listed = lambda name, kind: F.get(F.array(*[F.lit(r[name]).cast(kind) for r in chosen]), place)
         here = here.select(

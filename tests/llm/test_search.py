@@ -255,6 +255,44 @@ def test_leaks_of_any_length_as_by_brute_force(spark, docs):
     assert min(r.coverage for r in got if r.doc_id % 4 == 0) == 1.0
 
 
+def every_stretch(text, item, coverage=0.6, sure=0.8, answer=0.75):
+    """``held_by_brute_force`` from every word of the text."""
+    text, item = leak_words(text), leak_words(item)
+    n, width = len(item), len(item) + len(item) // 4 + 4
+    tail = item[-max(1, min(n, max(3, n // 5))) :]
+    for at in range(max(1, len(text) - width + 1)):
+        stretch = text[at : at + width]
+        share = common_subsequence(item, stretch) / n
+        if share >= sure or share >= coverage and common_subsequence(tail, stretch) / len(tail) >= answer:
+            return True
+    return False
+
+
+def test_leaks_far_from_their_item_are_found(spark, docs):
+    rng = random.Random(21)
+    # Items of words that are everywhere, in texts full of other items' rare words.
+    common, rare = [f"c{i}" for i in range(40)], [f"r{i}" for i in range(900)]
+    some = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    items = [some(common, n) for n in (3, 8, 12, 12, 16, 24)] + [some(rare, 40) for _ in range(20)]
+    items.append(" ".join(f"r{i} c{i % 40}" for i in range(0, 900, 4)))
+
+    def kept(item, share):
+        words = item.split()
+        left = set(rng.sample(range(len(words)), round(share * len(words))))
+        return " ".join(w if i in left else rng.choice(rare) for i, w in enumerate(words))
+
+    texts = [some(common, 60) + " " + some(rare, 90) for _ in range(150)]
+    for item in items:
+        for share in (0.6, 0.7, 0.8, 0.9):
+            texts.append(some(rare, rng.randint(20, 70)) + " " + kept(item, share) + " " + some(rare, rng.randint(20, 70)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    wanted = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if every_stretch(t, item)}
+    got = benchmark_leaks(docs(*texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == wanted and len(got) == len(wanted)
+    in_blocks = benchmark_leaks(docs(*texts), bench, items=9).collect()
+    assert {(r.doc_id, r.item_id) for r in in_blocks} == wanted
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     passage = " ".join(odd_rows()[7][1].split()[40:80])
     bench = spark.createDataFrame([(None, passage), (2, passage[:-1])], "item_id long, text string")
