@@ -34,8 +34,8 @@ def _plain_letters() -> tuple[str, str]:
 
 
 def is_blank(text: Column) -> Column:
-    """Empty or whitespace of any script."""
-    return text.rlike(f"^[{_SPACES}]*$")
+    """Empty or whitespace of any script. A text that starts with a visible ASCII character needs no pattern."""
+    return ~((text >= F.lit("!")) & (text < F.lit("\x7f"))) & text.rlike(f"^[{_SPACES}]*$")
 
 
 def stripped(text: Column) -> Column:
@@ -45,7 +45,7 @@ def stripped(text: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without surrounding spaces and control characters."""
-    return F.regexp_replace(text, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
+    return F.btrim(text, F.lit("".join(map(chr, range(0x21)))))
 
 
 def fold(text: Column) -> Column:

@@ -14,10 +14,15 @@ _CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.(\d{3}|\d{6}|\d{9}))?Z$"
 
 def local_instant(text: Column, zone: str = PUBLICATION_ZONE) -> Column:
     """Instant of a naive ISO local date-time; null when it is not one (an offset is refused)."""
-    body = trimmed(text)
-    seconds = F.when(body.rlike("T[0-9]{2}:[0-9]{2}$"), F.lit(":00")).otherwise(F.lit(""))
-    zoned = F.concat(body, seconds, F.lit(f" {zone}"))
-    return F.when(body.rlike(_LOCAL) & ~body.contains("T24:"), zoned.try_cast("timestamp"))
+    return trimmed_instant(trimmed(text), zone)
+
+
+def trimmed_instant(body: Column, zone: str = PUBLICATION_ZONE) -> Column:
+    """The same for a text without surrounding blanks, best a column, as it is read several times."""
+    # Without seconds it has 16 characters.
+    seconds = F.when(F.octet_length(body) == 16, F.lit(":00Z")).otherwise(F.lit("Z"))
+    wall_clock = F.concat(body, seconds).try_cast("timestamp")
+    return F.when(body.rlike(_LOCAL) & ~body.contains("T24:"), F.to_utc_timestamp(wall_clock, zone))
 
 
 def local_date(instant: Column, zone: str = PUBLICATION_ZONE) -> Column:

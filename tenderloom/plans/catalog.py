@@ -1552,8 +1552,13 @@ _CHUNK_FACTS = """
     """
 
 
+def _owed(spark, folder):
+    """The ledger of owed chunks, as it is stored: a run reads it many times."""
+    return _stored_once(spark, X.owed_chunks(spark, folder), "owed")
+
+
 def _discovered(spark, folder):
-    return discovery.discover(X.owed_chunks(spark, folder), X.landing(spark, folder), _now())
+    return discovery.discover(_owed(spark, folder), X.landing(spark, folder), _now())
 
 
 @_query(
@@ -1647,12 +1652,15 @@ _AFTER_RUN = """
 def _stored_run(spark, folder, crash: bool):
     """Runs that write. With ``crash`` the first one dies between publishing and the ledger."""
     home = shared_folder(spark, "discovery")
-    owed = X.owed_chunks(spark, folder)
+    owed = _owed(spark, folder)
     gaps = X.gaps_of(owed)
     pages = X.landing(spark, folder)
     if crash:
+        # Both runs read the pages that landed.
+        pages = _stored_once(spark, pages, "landed")
         earlier = F.timestamp_micros(F.unix_micros(_now()) - 3_600_000_000)
-        messages.publish(discovery.discover(owed, pages, earlier).messages, f"{home}/messages", 0)
+        found = discovery.discover(owed, pages, earlier, keep=lambda rows: _stored_once(spark, rows, "mapped"))
+        messages.publish(found.messages, f"{home}/messages", 0)
     discovery.run_and_store(owed, pages, owed, gaps, _now(), home, 1)
     chunk = ["publication_date", "modality_code", "state"]
     sent = spark.read.parquet(f"{home}/messages").select(
@@ -1697,7 +1705,7 @@ def discovery_replay(spark, folder):
 def run_report(spark, folder):
     """Discovered is counted on the pages, published on the messages that were written."""
     home = shared_folder(spark, "report")
-    owed = X.owed_chunks(spark, folder)
+    owed = _owed(spark, folder)
     gaps = X.gaps_of(owed)
     run = discovery.run_and_store(owed, X.landing(spark, folder), owed, gaps, _now(), home, 1)
     report = reports.run_report(run.results)

@@ -140,7 +140,7 @@ def open_pages(pages: DataFrame) -> DataFrame:
         .when(F.col("_page").isNull(), F.concat(F.lit("the page is not JSON: "), quoted))
         .when(F.col("_data").isNull(), F.concat(F.lit("the page has no data array: "), quoted))
     )
-    delicate = F.col("_data").isNotNull() & F.col("body").rlike("[0-9][eE][+-]?[0-9]|[0-9]{17}")
+    delicate = F.col("_data").isNotNull() & F.col("body").rlike("[0-9](?:[eE][+-]?[0-9]|[0-9]{16})")
     rendered = F.when(
         ~delicate, F.transform("_data", lambda v: F.coalesce(F.to_json(v), F.lit("null")))
     )

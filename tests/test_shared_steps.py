@@ -64,3 +64,26 @@ def test_feedback_scores_judged_notices_only(spark, monkeypatch):
     assert {r[0] for r in scored[0].select("control_number").collect()} <= labels
     every = catalog._matched(spark, SMALLEST).select("match_id", "control_number")
     assert found.count() == every.filter(F.col("control_number").isin(labels)).count() > 0
+
+
+def test_replay_lands_pages_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(body):
+        made.add(1)
+        return body
+
+    pages = X.landing(spark, SMALLEST).localCheckpoint()
+    counted = pages.withColumn("body", seen.asNondeterministic()("body"))
+    monkeypatch.setattr(catalog.X, "landing", lambda *_: counted)
+    chunks = catalog.discovery_replay(spark, SMALLEST).collect()
+    assert chunks and made.value == pages.count()
+
+
+def test_outcomes_are_told_without_typed_columns(spark):
+    opened = X.raw_notices(spark, SMALLEST).select("payload")
+    outcomes = catalog.mapping.map_notices(opened).groupBy("outcome").count()
+    assert "decimal(38,10)" not in outcomes._jdf.queryExecution().optimizedPlan().toString()
+    # No pattern is matched twice for one instant: its trimmed text is a column.
+    assert outcomes._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace") == 0
