@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MARKS = "[\\u0300-\\u036f]+"
@@ -115,13 +116,14 @@ def keyword_term(keyword: Column) -> Column:
     joined = F.array_join(parts, " ")
     plain = F.forall(parts, lambda p: p.rlike(f"^{_WORD}+$"))
     inner = F.regexp_extract_all(joined, F.lit(f"({_WORD}+)"))
-    # At its start a keyword's own character tells which kind of edge that is.
-    start = F.when(joined.rlike(f"^{_WORD}"), f"(?<!{_WORD})").otherwise(f"(?<={_WORD})")
-    pattern = F.concat(
-        start,
-        F.array_join(F.transform(parts, lambda p: F.concat(_quoted(p), F.lit("(?:es|s)?"))), "\\s+"),
-        F.lit(_EDGE),
+    # At its start a keyword's own character tells which kind of edge that is. It is looked at behind the
+    # first stem, so that a pattern begins with plain text, which is found much faster.
+    first = _quoted(F.get(parts, F.lit(0)))
+    before = F.when(joined.rlike(f"^{_WORD}"), f"(?<!{_WORD}").otherwise(f"(?<={_WORD}")
+    others = F.transform(
+        F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(F.lit("\\s+"), _quoted(p), F.lit("(?:es|s)?"))
     )
+    pattern = F.concat(first, before, first, F.lit(")(?:es|s)?"), F.array_join(others, ""), F.lit(_EDGE))
     run = F.when(F.size(inner) > 0, F.array_join(inner, " ")).otherwise(odd_key(F.substring(joined, 1, 1)))
     return F.struct(
         keyword_phrase(keyword).alias("phrase"),
@@ -136,33 +138,43 @@ def odd_key(character: Column) -> Column:
     return F.concat(F.lit("#"), character)
 
 
-def word_runs(folded: Column, lengths: list[int], between: str = "\\s+") -> Column:
-    """Distinct runs of so many words, joined by a space, with nothing but whitespace between them, or
-    what else ``between`` matches."""
-    stretches = F.split(folded, "[^A-Za-z0-9_\\s]+") if between == "\\s+" else F.array(folded)
-
-    def split_up(stretch: Column) -> Column:
-        return F.filter(F.split(stretch, between), lambda w: w != F.lit(""))
-
-    def runs(length: int) -> Column:
-        if length == 1:
-            return words(folded)
-        parts = F.filter(F.transform(stretches, split_up), lambda s: F.size(s) >= length)
-
-        def each(s: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.size(s) - length + 1)
-            return F.transform(starts, lambda i: F.array_join(F.slice(s, i, F.lit(length)), " "))
-
-        return F.array_distinct(F.flatten(F.transform(parts, each)))
-
-    return F.flatten(F.array(*[runs(n) for n in lengths]))
-
-
-def odd_runs(folded: Column, lengths: list[int]) -> Column:
-    """What a text has of the runs that keywords with other characters are looked for by."""
-    single = F.transform(odd_characters(folded), odd_key)
+def run_rows(texts: DataFrame, folded: Column, lengths: list[int], *keep: str, across: bool = False) -> DataFrame:
+    """Runs of so many words as rows of ``run`` and ``run_key``, beside the columns to keep, with nothing but
+    whitespace between the words, or anything (``across``). A run that a text has several times comes as often.
+    Lambdas are not compiled, so there are none: each word is laid beside those that follow it."""
+    # What is neither word nor whitespace stands alone, and nothing runs over it.
+    apart = F.split(F.regexp_replace(folded, "[^A-Za-z0-9_\\s]+", " # "), "\\s+")
+    tokens = F.split(folded, "[^A-Za-z0-9_]+") if across else apart
+    most = max(lengths)
+    rest = [F.slice("_tokens", place + 1, F.size("_tokens")).alias(f"w{place}") for place in range(1, most)]
+    rows = texts.select(*keep, tokens.alias("_tokens"))
+    rows = rows.select(*keep, F.explode(F.arrays_zip(F.col("_tokens").alias("w0"), *rest)).alias("_at"))
+    word = [F.nullif(F.nullif(F.col(f"_at.w{place}"), F.lit("")), F.lit("#")) for place in range(most)]
+    rows = rows.select(*keep, *[w.alias(f"_w{place}") for place, w in enumerate(word)])
+    rows = rows.filter(F.col("_w0").isNotNull())
+
+    def joined(words: list[Column]) -> Column:
+        return F.concat(words[0], *[part for w in words[1:] for part in (F.lit(" "), w)])
+
+    def one(length: int) -> Column:
+        own = [F.col(f"_w{place}") for place in range(length)]
+        key = F.xxhash64(joined([F.rtrim(w, F.lit("es")) for w in own]))
+        return F.struct(joined(own).alias("run"), key.alias("run_key"))
+
+    runs = rows.select(*keep, F.inline(F.array(*[one(n) for n in lengths])))
+    return runs.filter(F.col("run").isNotNull())
+
+
+def odd_runs(texts: DataFrame, folded: Column, lengths: list[int], *keep: str) -> DataFrame:
+    """What texts have of the runs that keywords with other characters are looked for by. Those of no word
+    are looked for by a character."""
     counted = [n for n in lengths if n]
-    return F.concat(single, word_runs(folded, counted, "[^A-Za-z0-9_]+")) if counted else single
+    found = run_rows(texts, folded, counted, *keep, across=True) if counted else None
+    if 0 not in lengths:
+        return found
+    single = texts.select(*keep, F.explode(F.transform(odd_characters(folded), odd_key)).alias("run"))
+    single = single.withColumn("run_key", run_key(F.col("run")))
+    return found.unionByName(single) if counted else single
 
 
 def run_key(run: Column) -> Column:
@@ -179,6 +191,17 @@ def is_run_of(run: Column, parts: Column) -> Column:
     return (F.size(found) == F.size(parts)) & F.forall(forms, lambda f: f)
 
 
+def sentence(template: str, *values: Column) -> Column:
+    """``format_string`` for texts (``%s``) and whole numbers (``%d``) alone, put together without a formatter."""
+    pieces = [piece.replace("%%", "%") for piece in re.split("(?<!%)%[sd]", template)]
+    if len(pieces) != len(values) + 1:
+        raise ValueError(f"{len(values)} values for {template}")
+    parts = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:]):
+        parts += [F.coalesce(value.cast("string"), F.lit("null")), F.lit(piece)]
+    return F.concat(*parts)
+
+
 def quoted_payload(payload: Column, limit: int, empty: str) -> Column:
     """A payload for a report: stripped, and cut with its length when long."""
     body = stripped(payload)

@@ -19,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tenderloom import vocabulary as V
+from tenderloom.functions.text import sentence
 from tenderloom.functions.times import instant_text
 from tenderloom.functions.values import plain_number
 
@@ -90,9 +91,9 @@ def keyword_rule() -> Rule:
         F.when(total == 0, V.UNAVAILABLE).when(hits == 0, V.SILENT).otherwise(V.CONTRIBUTED),
         F.when(total > 0, hits.cast("double") / total).otherwise(0.0),
         F.when(total == 0, V.NO_KEYWORDS)
-        .when(hits == 0, F.format_string(V.NO_KEYWORD_HIT, total))
+        .when(hits == 0, sentence(V.NO_KEYWORD_HIT, total))
         .otherwise(
-            F.format_string(
+            sentence(
                 V.KEYWORD_HITS,
                 hits,
                 total,
@@ -118,10 +119,10 @@ def segment_rule() -> Rule:
         F.when(none, V.NO_CNAES)
         .when(~known, V.NOT_ENRICHED)
         .when(
-            served, F.format_string(V.SEGMENT_SERVED, F.col("segment"), percent.cast("string"))
+            served, sentence(V.SEGMENT_SERVED, F.col("segment"), percent.cast("string"))
         )
         .otherwise(
-            F.format_string(
+            sentence(
                 V.SEGMENT_NOT_SERVED, F.col("segment"), F.array_join("served", ", ")
             )
         ),
@@ -156,8 +157,8 @@ def value_rule() -> Rule:
         F.when(inside, 1.0).otherwise(0.0),
         F.when(no_range, V.NO_RANGE)
         .when(value.isNull(), V.SECRET_BUDGET)
-        .when(inside, F.format_string(V.VALUE_INSIDE, *texts))
-        .otherwise(F.format_string(V.VALUE_OUTSIDE, *texts)),
+        .when(inside, sentence(V.VALUE_INSIDE, *texts))
+        .otherwise(sentence(V.VALUE_OUTSIDE, *texts)),
         no_range | value.isNull(),
     )
 
@@ -170,8 +171,8 @@ def state_rule() -> Rule:
         F.when(none, V.UNAVAILABLE).when(wanted, V.CONTRIBUTED).otherwise(V.SILENT),
         F.when(wanted, 1.0).otherwise(0.0),
         F.when(none, V.NO_STATES)
-        .when(wanted, F.format_string(V.STATE_WANTED, F.col("state")))
-        .otherwise(F.format_string(V.STATE_NOT_WANTED, F.col("state"))),
+        .when(wanted, sentence(V.STATE_WANTED, F.col("state")))
+        .otherwise(sentence(V.STATE_NOT_WANTED, F.col("state"))),
         none,
     )
 
@@ -195,13 +196,13 @@ def deadline_rule(at: Column, horizon: Horizon) -> Rule:
         V.PROPOSAL_DEADLINE,
         F.lit(V.CONTRIBUTED),
         deadline_strength(closes_at, at, horizon),
-        F.format_string(V.DEADLINE_OPEN, instant_text(closes_at), days),
+        sentence(V.DEADLINE_OPEN, instant_text(closes_at), days),
         F.lit(False),
     )
 
 
 def closed_reason(at: Column) -> Column:
-    return F.format_string(
+    return sentence(
         V.DEADLINE_CLOSED, instant_text(F.col("proposal_closes_at")), instant_text(at)
     )
 

@@ -23,7 +23,7 @@ from tenderloom.functions.text import (
     keyword_term,
     odd_runs,
     run_key,
-    word_runs,
+    run_rows,
 )
 from tenderloom.functions.values import match_id, round_half_up, segment_of, value_octave
 from tenderloom.operators.enrich import latest_enrichments
@@ -96,15 +96,17 @@ def found_phrases(texts: DataFrame, terms: DataFrame, broadcast_rows: int = BROA
     keyed = terms.withColumns({"run_key": run_key(F.col("run")), "start": F.col("parts")[0]}).drop("run", "length")
     folded = F.col("folded_object")
 
-    def meeting(runs: Column, wanted: DataFrame) -> DataFrame:
-        shown = texts.select("control_number", F.explode(runs).alias("run"))
-        side = F.broadcast(wanted) if small else wanted.hint("merge")
-        return shown.withColumn("run_key", run_key(F.col("run"))).join(side, "run_key")
+    def meeting(shown: DataFrame, wanted: DataFrame) -> DataFrame:
+        if small:
+            return shown.join(F.broadcast(wanted), "run_key")
+        return shown.distinct().join(wanted.hint("merge"), "run_key")
 
-    met = meeting(word_runs(folded, sorted(facts["plain"]) or [1]), keyed.filter(~odd))
+    shown = run_rows(texts, folded, sorted(facts["plain"]) or [1], "control_number")
+    met = meeting(shown, keyed.filter(~odd))
     found = met.filter(is_run_of(F.col("run"), F.col("parts"))).select("control_number", "phrase")
     if facts["odd"]:
-        met = meeting(odd_runs(folded, sorted(facts["odd"])), keyed.filter(odd))
+        shown = odd_runs(texts, folded, sorted(facts["odd"]), "control_number")
+        met = meeting(shown, keyed.filter(odd))
         tried = texts.join(met.select("control_number", "phrase", "pattern", "start").distinct(), "control_number")
         tried = tried.filter(F.contains(folded, F.col("start")) & F.rlike(folded, F.col("pattern")))
         found = found.unionByName(tried.select("control_number", "phrase"))
@@ -399,26 +401,22 @@ def _coverage(rules: list[Rule], weights: dict[str, int]) -> Column:
 
 
 def breakdown(rules: list[Rule], weights: dict[str, int]) -> Column:
-    """Reasons with individually rounded points, by points descending, then by rule name."""
-    reasons = F.array(
-        *[
-            F.struct(
-                F.lit(rule.name).alias("rule"),
-                rule.kind.alias("outcome"),
-                rule.strength.cast("double").alias("strength"),
-                round_half_up(F.lit(float(weights[rule.name])) * rule.strength).alias("points"),
-                rule.reason.alias("reason"),
-            )
-            for rule in rules
-        ]
-    )
-    ordered = F.array_sort(
-        F.transform(
-            reasons,
-            lambda r: F.struct((-r["points"]).alias("o"), r["rule"].alias("n"), r.alias("r")),
+    """Reasons with individually rounded points, by points descending, then by rule name.
+
+    Lambdas are not compiled, nor is anything inside them, so there are none.
+    """
+    reasons = []
+    for rule in rules:
+        points = round_half_up(F.lit(float(weights[rule.name])) * rule.strength)
+        reason = F.struct(
+            F.lit(rule.name).alias("rule"),
+            rule.kind.alias("outcome"),
+            rule.strength.cast("double").alias("strength"),
+            points.alias("points"),
+            rule.reason.alias("reason"),
         )
-    )
-    return F.transform(ordered, lambda x: x["r"])
+        reasons.append(F.struct((-points).alias("o"), F.lit(rule.name).alias("n"), reason.alias("r")))
+    return F.sort_array(F.array(*reasons)).getField("r")
 
 
 def explained(pairs: DataFrame, weights: dict[str, int], at: Column, horizon: Horizon) -> DataFrame:
