@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tenderloom.functions.values import uuid_bytes, uuid_text
+from tenderloom.plans import catalog
 from tenderloom.sources import tables
 from tests.test_stored import plan
 
@@ -62,3 +64,12 @@ def test_rows_in_their_buckets_are_written_as_they_lie(spark, tmp_path):
     again = tables.read_keyed(spark, str(tmp_path / "b"), rows.schema)
     assert sorted(map(str, again.collect())) == sorted(map(str, lying.collect()))
     assert sorted(map(str, again.drop("bucket").collect())) == sorted(map(str, rows.collect()))
+
+
+@pytest.mark.parametrize("ids", [["m1", "m2"], [ID, "m2"]])
+def test_feedback_deals_events_once(spark, monkeypatch, ids):
+    rows = spark.createDataFrame([(i,) for i in ids], "match_id string")
+    monkeypatch.setattr(catalog, "_matched", lambda *_: rows)
+    told = catalog.feedback_appended(spark, "/root/testdata/sf0.001")
+    assert len(dealt(told)) == 1
+    assert sorted(map(tuple, told.collect())) == sorted((i, 2, 2, "NOT_RELEVANT") for i in ids)
